@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 U = np.uint64
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,7 +34,12 @@ def written(df: DataFrame) -> DataFrame:
     """The same rows, read from a table in the shared folder: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")  # the shuffle files of this step go when it ends
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
