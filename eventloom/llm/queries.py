@@ -7,13 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import chat, paritysketch
+from eventloom.llm import chat, hypervector, packing, paritysketch, templates
+from eventloom.llm.subwords import VOCABULARY
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    langs, protos = hypervector.prototypes(docs.where(hypervector.fold("doc_id", 5) != 0))
+    held_out = (hypervector.fold("doc_id", 5) == 0).alias("held_out")
+    return hypervector.identify(docs, langs, protos).select("doc_id", held_out, "lang_pred", "score")
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op6_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op7_chat_prefix_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marked = "</s>[INST] ok [/INST]"
@@ -21,12 +39,19 @@ def op7_chat_prefix_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.prefix_targets(rows.unionByName(planted)))
 
 
+def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paritysketch.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_hyperdimensional_langid": op2_hyperdimensional_langid,
+    "op6_cutting_stock_packing": op6_cutting_stock_packing,
     "op7_chat_prefix_target": op7_chat_prefix_target,
+    "op8_template_decontamination": op8_template_decontamination,
     "op9_parity_sketch_join": op9_parity_sketch_join,
 }
 
