@@ -73,7 +73,25 @@ def _price(sizes: np.ndarray, values: np.ndarray, room: int) -> tuple[float, np.
     return float(best[room]), pattern
 
 
-def patterns(histogram: dict[int, int], room: int = UNITS, rounds: int = 5000) -> list[tuple[int, dict[int, int]]]:
+def _first_fit(sizes: np.ndarray, need: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """A first basis: patterns that take the largest class that fits, each repeated until a class is used up."""
+    columns, x, left = np.diag(room // sizes).astype(np.float64), np.zeros(len(sizes)), need.copy()
+    while left.any():
+        free, pattern = room, np.zeros(len(sizes))
+        for i in range(len(sizes) - 1, -1, -1):
+            pattern[i] = min(left[i], free // sizes[i])
+            free -= int(pattern[i] * sizes[i])
+        used = np.flatnonzero(pattern)
+        times = np.floor(left[used] / pattern[used]).min()
+        # the class that ends the repetition stands for this column: it is in no later one
+        ends = used[np.flatnonzero(np.floor(left[used] / pattern[used]) == times)[0]]
+        left -= times * pattern
+        left[ends] = 0  # fewer than one pattern's: packed after rounding
+        columns[:, ends], x[ends] = pattern, times
+    return columns, x
+
+
+def patterns(histogram: dict[int, int], room: int = UNITS, rounds: int = 2000) -> list[tuple[int, dict[int, int]]]:
     """(times, {class: pieces}) that use up the histogram exactly, in few sequences.
 
     A revised simplex on the covering program with priced columns; its solution is
@@ -84,8 +102,8 @@ def patterns(histogram: dict[int, int], room: int = UNITS, rounds: int = 5000) -
     if not len(sizes):
         return []
     need = np.array([histogram[int(c)] for c in sizes], np.float64)
-    columns = np.diag(room // sizes).astype(np.float64)
-    inverse, x = np.diag(1 / (room // sizes)), need / (room // sizes)
+    columns, x = _first_fit(sizes, need, room)
+    inverse = np.linalg.inv(columns)
     for _ in range(rounds):
         worth, column = _price(sizes, inverse.sum(0), room)
         if worth <= 1 + 1e-6:

@@ -1,6 +1,7 @@
 """N-gram Jaccard self-join by parity sketches.
 
-Every distinct shingle flips one bit of a sketch that is cut into 64-bit pieces, so the
+Every distinct shingle flips one bit of a sketch that is cut into pieces of 65,536 bits
+(mostly zero, so that a piece is kept as a hash of its set bits), and the
 Hamming distance of two sketches is at most the symmetric difference of the sets. Sets
 of a Jaccard similarity of t or more, both of at most ``hi`` shingles, differ in at most
 D = 2 hi (1 - t) / (1 + t) shingles and hence in at most D pieces: with more pieces than
@@ -9,7 +10,8 @@ layouts by size band, and every candidate is verified on its exact sets.
 
 Exact at any size of bucket: a bucket first compares everybody with its first member,
 which settles copies in a number of pairs linear in the bucket; members that are then
-still in different components are compared with each other, in every bucket they share.
+still in different components are compared with each other if they share as many pieces
+as a linked pair must.
 
 Defined cases: a null, empty or blank text has no shingle and links with nothing; a text
 of fewer than ``k`` words is one shingle; equal sets are one class; sets are told apart by
@@ -90,11 +92,18 @@ def piece_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """
     keys, needs = [], []
     for band, pieces, most in layout(len(s), percent):
-        at = ((s >> U(32)) * U(pieces) >> U(32)).astype(np.int64) * 64 + (s & U(63)).astype(np.int64)
-        bits = (np.bincount(at, minlength=pieces * 64) & 1).astype(np.uint8)
-        value = np.packbits(bits).view(U)
-        poor = (value & (value - U(1))) == 0
-        kept = ~poor if poor.sum() < pieces - most else np.ones(pieces, bool)
+        at = ((s >> U(32)) * U(pieces) >> U(32) << U(16)) | (s & U(0xFFFF))
+        at, times = np.unique(at, return_counts=True)
+        at = at[times & 1 == 1]
+        owner = (at >> U(16)).astype(np.int64)
+        bits = np.bincount(owner, minlength=pieces)
+        value = np.zeros(pieces, U)
+        full = np.flatnonzero(bits)
+        value[full] = np.add.reduceat(mix(at), np.concatenate([[0], np.cumsum(bits[full])[:-1]])) if len(full) else 0
+        kept = np.ones(pieces, bool)
+        for few in (0, 1):
+            if (bits <= few).sum() < pieces - most:
+                kept = bits > few
         names = mix(np.arange(pieces, dtype=U) + U(band << 32))
         keys.append(mix(value[kept] ^ names[kept]))
         needs.append(np.full(kept.sum(), max(1, pieces - most - int(pieces - kept.sum())), np.int32))
@@ -182,8 +191,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         both = ids.join(one, "rep_v").join(two, "rep_u")
         return both.select("u", "v", "text_u", "text_v").mapInArrow(_verified(k, percent), "u long, v long").distinct()
 
-    near = members.where("class <> first").select(F.col("first").alias("u"), F.col("class").alias("v")).distinct()
-    tried = written(near)
+    near = members.where("class <> first").groupBy(F.col("first").alias("u"), F.col("class").alias("v")).agg(F.count("*").alias("n"), F.max("need").alias("need"))
+    tried = written(near.where("n >= need").select("u", "v"))
     edges = written(verify(tried))
     group = components(edges)
     # what shares a bucket and is in different components yet
