@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import chat, hypervector, packing, paritysketch, templates
+from eventloom.llm import chat, hypervector, packing, paritysketch, templates, vectorgraph, warc
 from eventloom.llm.subwords import VOCABULARY
 
 
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_and_read(table(spark, sf_dir, "pages"), payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     langs, protos = hypervector.prototypes(docs.where(hypervector.fold("doc_id", 5) != 0))
@@ -22,6 +27,10 @@ def op2_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hypervector.identify(docs, langs, protos).select("doc_id", held_out, "lang_pred", "score")
 
 
+def op4_robust_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorgraph.near_duplicates(table(spark, sf_dir, "embeddings"))[0]
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -48,11 +57,21 @@ def op9_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_sequential": op1_warc_sequential,
     "op2_hyperdimensional_langid": op2_hyperdimensional_langid,
+    "op4_robust_pruned_graph": op4_robust_pruned_graph,
     "op6_cutting_stock_packing": op6_cutting_stock_packing,
     "op7_chat_prefix_target": op7_chat_prefix_target,
     "op8_template_decontamination": op8_template_decontamination,
     "op9_parity_sketch_join": op9_parity_sketch_join,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc_sequential": """
+        with p as (select page_id, coalesce(html, '') as body from pages),
+        g as (select body, min(page_id) as first from p where octet_length(encode(body)) >= 100 group by body)
+        select page_id, octet_length(encode(p.body)) as payload_bytes, sha256(p.body) as payload_digest,
+            case when first is null or page_id is not distinct from first then 'response' else 'revisit' end as record_type,
+            case when page_id is distinct from first then first end as refers_to
+        from p left join g on p.body = g.body""",
+}
