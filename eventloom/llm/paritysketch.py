@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,10 @@ from eventloom.llm.common import U, chunks, components, dropped, mix, only, word
 MULTIPLIERS = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53)]
 #: Texts whose class a task remembers, so as to emit the pieces of a copy once: bounds its memory, not the result.
 REMEMBERED = 500_000
+SKETCH = 2048
+#: Buckets of more members than this are compared by sketches in blocks, smaller ones by a join.
+SMALL = 32
+BLOCK = 2048
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -110,12 +115,18 @@ def piece_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(keys), np.concatenate(needs)) if keys else (np.zeros(0, U), np.zeros(0, np.int32))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """SKETCH bits in which every shingle flips one: the Hamming distance of two is at most the symmetric difference."""
+    bits = np.bincount((s & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(len(s), class_of(s)) for _, s in shingle_sets(batch.column("text"), k)]
-            size, cls = (list(x) for x in zip(*found, strict=True)) if found else ([], [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(cls, pa.int64())], ["doc_id", "n_shingles", "class"])
+            found = [(len(s), class_of(s), sketch(s)) for _, s in shingle_sets(batch.column("text"), k)]
+            size, cls, bits = (list(x) for x in zip(*found, strict=True)) if found else ([], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "class", "sketch"])
 
     return run
 
@@ -168,6 +179,25 @@ def _verified(k: int, percent: int):
     return run
 
 
+def _compared(percent: int):
+    """Pairs of a block pair of one large bucket that are in different components and that sketches do not tell apart."""
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        x = np.frombuffer(b"".join(group["sketch"]), U).reshape(len(group), -1)
+        size, cls, comp, block = (group[c].to_numpy() for c in ("n_shingles", "class", "component", "block"))
+        one, two = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
+        keys, pairs = group["keys"].to_numpy(), []
+        for i in one:
+            differ = np.bitwise_count(x[two] ^ x[i]).sum(1, dtype=np.int64)
+            hit = two[(differ * (100 + percent) <= (size[two] + size[i]) * (100 - percent)) & (comp[two] != comp[i])]
+            if len(hit):  # a pair counts in the first bucket that it shares
+                own = keys[i][keys[i] < key[0]]
+                pairs += [(min(cls[i], cls[j]), max(cls[i], cls[j])) for j in hit.tolist() if not len(own) or not np.isin(keys[j], own).any()]
+        return pd.DataFrame(list(dict.fromkeys(pairs)), columns=["u", "v"], dtype="int64")
+
+    return run
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of (doc_id, text).
 
@@ -175,7 +205,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     of distinct ``k``-word shingles; component_id is the smallest doc_id that links reach.
     """
     docs = only(docs, "doc_id", "text")
-    sets = written(docs.mapInArrow(_sets(k), "doc_id long, n_shingles long, class long"))
+    sets = written(docs.mapInArrow(_sets(k), "doc_id long, n_shingles long, class long, sketch binary"))
     classes = written(sets.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     rows = docs.mapInArrow(_keys(k, percent), "key long, class long, need int").repartition("key")
     shared = rows.groupBy("key").agg(F.min("class").alias("first"), F.max("class").alias("final")).where("first <> final")
@@ -197,12 +227,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     group = components(edges)
     # what shares a bucket and is in different components yet
     placed = members.join(group.withColumnRenamed("node", "class"), "class", "left").select("key", "class", "need", F.coalesce("component", "class").alias("component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    left = written(placed.join(open_keys, "key", "left_semi"))
-    x = left.select("key", F.col("class").alias("u"), F.col("component").alias("cu"), F.col("need").alias("nu"))
-    y = left.select("key", F.col("class").alias("v"), F.col("component").alias("cv"), F.col("need").alias("nv"))
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size"))
+    left = written(placed.join(open_keys.where("a <> b").select("key", "size"), "key"))
+    few = left.where(F.col("size") <= SMALL)
+    x = few.select("key", F.col("class").alias("u"), F.col("component").alias("cu"), F.col("need").alias("nu"))
+    y = few.select("key", F.col("class").alias("v"), F.col("component").alias("cv"), F.col("need").alias("nv"))
     rest = x.join(y, "key").where("u < v and cu <> cv").groupBy("u", "v").agg(F.count("*").alias("n"), F.max(F.greatest("nu", "nv")).alias("need"))
-    rest = rest.where("n >= need").select("u", "v").join(tried, ["u", "v"], "left_anti")
+    many = left.where(F.col("size") > SMALL)
+    who = many.groupBy("class").agg(F.collect_list("key").alias("keys")).join(classes.select("class", "rep"), "class").withColumnRenamed("rep", "doc_id")
+    who = who.join(sets.select("doc_id", "n_shingles", "sketch"), "doc_id").dropDuplicates(["class"]).select("class", "keys", "n_shingles", "sketch")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    many = many.join(who, "class").withColumn("block", F.pmod(F.hash("class"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    many = many.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "component", "keys", "n_shingles", "sketch")
+    alike = many.groupBy("key", "i", "j").applyInPandas(_compared(percent), "u long, v long")
+    rest = rest.where("n >= need").select("u", "v").unionByName(alike).distinct().join(tried, ["u", "v"], "left_anti")
     more = written(verify(rest))
     dropped(members)
     if not more.isEmpty():
