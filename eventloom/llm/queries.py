@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import chat, hypervector, packing, paritysketch, templates, vectorgraph, warc
+from eventloom.llm import attentionlm, chat, htmlblocks, hypervector, packing, paritysketch, templates, vectorgraph, warc
 from eventloom.llm.subwords import VOCABULARY
 
 
@@ -27,10 +27,21 @@ def op2_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hypervector.identify(docs, langs, protos).select("doc_id", held_out, "lang_pred", "score")
 
 
+def op3_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = attentionlm.scores(docs, hypervector.fold("doc_id", 7) != 2, vocabulary_path())
+    held_out = (hypervector.fold("doc_id", 7) == 2).alias("held_out")
+    return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_robust_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorgraph.near_duplicates(table(spark, sf_dir, "embeddings"))[0]
 
 
+def op5_recurrent_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlblocks.extract(table(spark, sf_dir, "pages"))
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -59,7 +70,9 @@ def op9_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_sequential": op1_warc_sequential,
     "op2_hyperdimensional_langid": op2_hyperdimensional_langid,
+    "op3_attention_lm": op3_attention_lm,
     "op4_robust_pruned_graph": op4_robust_pruned_graph,
+    "op5_recurrent_blocks": op5_recurrent_blocks,
     "op6_cutting_stock_packing": op6_cutting_stock_packing,
     "op7_chat_prefix_target": op7_chat_prefix_target,
     "op8_template_decontamination": op8_template_decontamination,
