@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventloom.llm.common import only
 
@@ -110,8 +111,8 @@ def prototypes(training: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, out / np.where(norm > 0, norm, 1)
 
 
-def identify(docs: DataFrame, langs: list[str], protos: np.ndarray, block: int = 128) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row of (doc_id, text); score: the cosine, 0 if negative."""
+def identify(docs: DataFrame, langs: list[str], protos: np.ndarray, block: int = 128, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``carry``, lang_pred and score of every row of docs; score: the cosine with the prototype, 0 if negative."""
     protos = protos.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,9 +132,12 @@ def identify(docs: DataFrame, langs: list[str], protos: np.ndarray, block: int =
                     known = len(g) > 0 and len(langs) > 0
                     names.append(langs[best[j]] if known else "und")
                     scores.append(float(min(1.0, max(0.0, cosine[j, best[j]]))) if known else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            kept = [batch.column(c) for c in carry]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*carry, "lang_pred", "score"])
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    rows = only(docs, *carry, *({"text"} - set(carry)))
+    schema = T.StructType([*(rows.schema[c] for c in carry), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def fold(doc_id: str, folds: int) -> Column:

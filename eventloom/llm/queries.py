@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import attentionlm, chat, htmlblocks, hypervector, packing, paritysketch, templates, vectorgraph, warc
+from eventloom.llm import attentionlm, chat, htmlblocks, hypervector, packing, paritysketch, runindex, templates, vectorgraph, warc
 from eventloom.llm.subwords import VOCABULARY
 
 
@@ -67,6 +67,10 @@ def op9_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paritysketch.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op10_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runindex.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_sequential": op1_warc_sequential,
     "op2_hyperdimensional_langid": op2_hyperdimensional_langid,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chat_prefix_target": op7_chat_prefix_target,
     "op8_template_decontamination": op8_template_decontamination,
     "op9_parity_sketch_join": op9_parity_sketch_join,
+    "op10_run_length_index": op10_run_length_index,
 }
 
 ORACLES: dict[str, str] = {
