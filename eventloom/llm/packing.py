@@ -33,12 +33,12 @@ def _cut(path: str, capacity: int, end_id: int):
     unit = capacity // UNITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task, counts = WordIds(path), TaskContext.get().partitionId(), np.zeros(UNITS + 1, np.int64)
+        encoder, task, counts = WordIds.shared(path), TaskContext.get().partitionId(), np.zeros(UNITS + 1, np.int64)
         for batch in batches:
             out: list[tuple] = []
             ids = batch.column("doc_id").to_pylist()
             for doc, found in zip(ids, encoder.texts(batch.column("text").to_pylist()), strict=True):
-                whole = b"".join(found) + end
+                whole = found.tobytes() + end
                 n = len(whole) // 4
                 for start in range(0, n, capacity):
                     length = min(capacity, n - start)

@@ -180,20 +180,19 @@ def _verified(k: int, percent: int):
 
 
 def _compared(percent: int):
-    """Pairs of a block pair of one large bucket that are in different components and that sketches do not tell apart."""
+    """For the classes of a block pair of one large bucket, those of other components that sketches do not tell apart."""
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         x = np.frombuffer(b"".join(group["sketch"]), U).reshape(len(group), -1)
         size, cls, comp, block = (group[c].to_numpy() for c in ("n_shingles", "class", "component", "block"))
         one, two = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
-        keys, pairs = group["keys"].to_numpy(), []
+        found = []
         for i in one:
             differ = np.bitwise_count(x[two] ^ x[i]).sum(1, dtype=np.int64)
             hit = two[(differ * (100 + percent) <= (size[two] + size[i]) * (100 - percent)) & (comp[two] != comp[i])]
-            if len(hit):  # a pair counts in the first bucket that it shares
-                own = keys[i][keys[i] < key[0]]
-                pairs += [(min(cls[i], cls[j]), max(cls[i], cls[j])) for j in hit.tolist() if not len(own) or not np.isin(keys[j], own).any()]
-        return pd.DataFrame(list(dict.fromkeys(pairs)), columns=["u", "v"], dtype="int64")
+            if len(hit):
+                found.append((cls[i], cls[hit]))
+        return pd.DataFrame(found, columns=["u", "near"])
 
     return run
 
@@ -234,12 +233,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     y = few.select("key", F.col("class").alias("v"), F.col("component").alias("cv"), F.col("need").alias("nv"))
     rest = x.join(y, "key").where("u < v and cu <> cv").groupBy("u", "v").agg(F.count("*").alias("n"), F.max(F.greatest("nu", "nv")).alias("need"))
     many = left.where(F.col("size") > SMALL)
-    who = many.groupBy("class").agg(F.collect_list("key").alias("keys")).join(classes.select("class", "rep"), "class").withColumnRenamed("rep", "doc_id")
-    who = who.join(sets.select("doc_id", "n_shingles", "sketch"), "doc_id").dropDuplicates(["class"]).select("class", "keys", "n_shingles", "sketch")
+    who = many.select("class").distinct().join(classes.select("class", "rep"), "class").withColumnRenamed("rep", "doc_id")
+    who = who.join(sets.select("doc_id", "n_shingles", "sketch"), "doc_id").dropDuplicates(["class"]).select("class", "n_shingles", "sketch")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     many = many.join(who, "class").withColumn("block", F.pmod(F.hash("class"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    many = many.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "component", "keys", "n_shingles", "sketch")
-    alike = many.groupBy("key", "i", "j").applyInPandas(_compared(percent), "u long, v long")
+    many = many.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "component", "n_shingles", "sketch")
+    alike = many.groupBy("key", "i", "j").applyInPandas(_compared(percent), "u long, near array<long>")
+    alike = alike.groupBy("u").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")).select("u", F.explode("near").alias("v"))
+    alike = alike.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     rest = rest.where("n >= need").select("u", "v").unionByName(alike).distinct().join(tried, ["u", "v"], "left_anti")
     more = written(verify(rest))
     dropped(members)

@@ -6,17 +6,33 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import regex
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a task remembers with their ids; bounds its memory, not the result.
-REMEMBERED = 250_000
+REMEMBERED = 1_000_000
+#: Fixed value: the vocabulary's own pattern of units that its merges never cross.
+UNITS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_encoders: dict[str, WordIds] = {}
+
+
+class _Numbers(dict):
+    """Numbers of words in order of appearance; a new word is noted."""
+
+    new: list[str]
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = number = len(self)
+        return number
 
 
 class WordIds:
     """``add_special_tokens=False`` ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     The vocabulary drops white space and never merges across it, so the ids of a text are
-    those of its words one after another, and every distinct word is encoded once.
+    those of its words one after another. A word's ids are remembered; new words are
+    encoded many at a time and cut apart at the ids that end a unit.
     """
 
     def __init__(self, path: str) -> None:
@@ -27,44 +43,86 @@ class WordIds:
         self.ends = np.zeros(self.size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        plain, pretokens = [], []
-        for w in words:
-            core = w[:-1] if w[-1:] in (".", ",") else w
-            if core.isalpha() and (core.isascii() or len(core.lower()) == len(core) and core.lower().isalpha() and unicodedata.is_normalized("NFC", core)):
-                plain.append(w)
-                pretokens.append(1 if core is w else 2)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers, self.new = _Numbers(), []
+        self.numbers.new = self.new
+        self.flat, self.starts = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    @classmethod
+    def shared(cls, path: str) -> WordIds:
+        """One for all tasks of a Python worker."""
+        if path not in _encoders:
+            _encoders[path] = cls(path)
+        return _encoders[path]
+
+    def _alone(self, word: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self) -> None:
+        """Gives every new word its ids."""
+        done, found, fresh, units, at = len(self.starts) - 1, [None] * len(self.new), [], [], []
+        stop = {c: self._alone(c) for c in ".,"} if self.new else {}
+        later = []
+        for i, w in enumerate(self.new):
+            if w.isascii() and w.isalpha():
+                units.append(1)
+            elif "<|" in w:
+                found[i] = self._alone(w)
+                continue
+            elif w[-1] in stop and w[:-1].isalpha() and (core := self.numbers.get(w[:-1])) is not None:
+                later.append((i, core, stop[w[-1]]))
+                continue
             else:
-                self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        for i in range(0, len(plain), 1000):
-            group = plain[i : i + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(group), add_special_tokens=False).ids, "<u4")
+                units.append(len(UNITS.findall(unicodedata.normalize("NFC", w).lower())))
+            fresh.append(w)
+            at.append(i)
+        for i in range(0, len(fresh), 1000):
+            group, place = fresh[i : i + 1000], at[i : i + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
-            upto = np.cumsum(pretokens[i : i + 1000])
-            if len(ends) == upto[-1] and ends[-1] == len(ids):
-                at = ends[upto - 1].tolist()
-                for w, a, b in zip(group, [0, *at], at, strict=False):
-                    self.known[w] = ids[a:b].tobytes()
+            upto = np.cumsum(units[i : i + 1000])
+            if len(ends) == upto[-1] and (not len(ids) or ends[-1] == len(ids)):
+                cut = np.append(0, ends)[upto].tolist()
+                for p, a, b in zip(place, [0, *cut], cut, strict=False):
+                    found[p] = ids[a:b]
             else:
-                for w in group:
-                    self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+                for p, w in zip(place, group, strict=True):
+                    found[p] = self._alone(w)
+        for i, core, mark in later:
+            known = found[core - done] if core >= done else self.flat[self.starts[core] : self.starts[core + 1]]
+            found[i] = np.concatenate([known, mark])
+        if found:
+            self.flat = np.concatenate([self.flat, *found])
+            self.starts = np.append(self.starts, self.starts[-1] + np.cumsum([len(x) for x in found]))
+        self.new.clear()
 
     def words(self, text: str | None) -> list[str]:
-        return [w for w in (text or "").replace("\n", " ").split(" ") if w]
+        """The words ``[^\\x20\\x09-\\x0D]+`` of a text, in lower case where that cannot change an id."""
+        text = text or ""
+        if "<|" not in text and "Σ" not in text:
+            text = text.lower()
+        for c in "\n\t\r\x0b\x0c":
+            if c in text:
+                text = text.replace(c, " ")
+        return [w for w in text.split(" ") if w]
 
-    def texts(self, texts: list[str | None], most: int = 1 << 20) -> Iterator[list[bytes]]:
-        """Per text, the id bytes of each of its words."""
+    def texts(self, texts: list[str | None], most: int = 1 << 20) -> Iterator[np.ndarray]:
+        """The ids of each text, little-endian unsigned 32 bits."""
         i = 0
         while i < len(texts):
             rows, held = [], 0
             while i < len(texts) and (not rows or held < most):
-                rows.append(self.words(texts[i]))
+                rows.append(list(map(self.numbers.__getitem__, self.words(texts[i]))))
                 held += len(texts[i] or "")
                 i += 1
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            self._learn({w for row in rows for w in row if w not in self.known})
+            self._learn()
             for row in rows:
-                yield list(map(self.known.__getitem__, row))
+                number = np.array(row, np.int64)
+                start = self.starts[number]
+                size = self.starts[number + 1] - start
+                upto = np.cumsum(size)
+                yield self.flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(start - upto + size, size)]
+            if len(self.numbers) > REMEMBERED:
+                self._forget()
