@@ -91,6 +91,20 @@ def _first_fit(sizes: np.ndarray, need: np.ndarray, room: int) -> tuple[np.ndarr
     return columns, x
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with pivoting, row by row: small, and without threads of a linear-algebra library on the driver."""
+    n = len(matrix)
+    both = np.hstack([matrix, np.eye(n)])
+    for i in range(n):
+        j = i + int(np.abs(both[i:, i]).argmax())
+        both[[i, j]] = both[[j, i]]
+        both[i] /= both[i, i]
+        rest = both[:, i].copy()
+        rest[i] = 0
+        both -= rest[:, None] * both[i]
+    return both[:, n:]
+
+
 def patterns(histogram: dict[int, int], room: int = UNITS, rounds: int = 2000) -> list[tuple[int, dict[int, int]]]:
     """(times, {class: pieces}) that use up the histogram exactly, in few sequences.
 
@@ -103,12 +117,12 @@ def patterns(histogram: dict[int, int], room: int = UNITS, rounds: int = 2000) -
         return []
     need = np.array([histogram[int(c)] for c in sizes], np.float64)
     columns, x = _first_fit(sizes, need, room)
-    inverse = np.linalg.inv(columns)
+    inverse = _inverse(columns)
     for _ in range(rounds):
         worth, column = _price(sizes, inverse.sum(0), room)
         if worth <= 1 + 1e-6:
             break
-        d = inverse @ column
+        d = (inverse * column).sum(1)
         able = d > 1e-9
         if not able.any():
             break
