@@ -2,6 +2,8 @@ import os
 import sys
 from pathlib import Path
 
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # before numpy is imported: its threads do not survive the fork that starts the JVM
+
 import pytest
 from pyspark.sql import SparkSession
 
