@@ -1,5 +1,6 @@
 """Every registered query of the library's own operators, with its SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+from eventloom.plans.reports import ORACLES, QUERIES
+
+FLAGSHIP = "trailing_views"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,7 +105,7 @@ def escape_html(c: Column) -> Column:
 
 
 def escape_ics(c: Column) -> Column:
-    pairs = [("\\", "\\\\"), ("\;", "\;"), (",", "\\,"), ("\n", "\\n")]
+    pairs = [("\\", "\\\\"), (";", "\\;"), (",", "\\,"), ("\n", "\\n")]
     return reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), pairs, c)
 
 
@@ -178,10 +180,6 @@ def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 
 def nfkc(c: Column) -> Column:
     """Unicode compatibility composition, which Spark lacks: a pandas UDF over Arrow batches."""
-    import unicodedata
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
