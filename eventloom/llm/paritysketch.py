@@ -11,7 +11,7 @@ layouts by size band, and every candidate is verified on its exact sets.
 Exact at any size of bucket: a bucket first compares everybody with its first member,
 which settles copies in a number of pairs linear in the bucket; members that are then
 still in different components are compared with each other if they share as many pieces
-as a linked pair must.
+of a layout as a linked pair must: the smaller of the two sets' needs.
 
 Defined cases: a null, empty or blank text has no shingle and links with nothing; a text
 of fewer than ``k`` words is one shingle; equal sets are one class; sets are told apart by
@@ -88,14 +88,15 @@ def layout(size: int, percent: int) -> list[tuple[int, int, int]]:
     return [(b, d + 1 + -(-(d + 1) // 12), d) for b, h in out if (d := 2 * h * (100 - percent) // (100 + percent))]
 
 
-def piece_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Join keys of a set's sketch pieces, and with each how many a linked partner shares at least.
+def banded_keys(s: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray, int]]:
+    """Per layout: its band, the join keys of a set's sketch pieces, and what is left of the equal pieces.
 
     A piece with one bit or none says little and would join strangers. As a partner has
     at least pieces - D equal pieces, those pieces are left out whenever fewer than that
-    many of the set's pieces are such: an equal piece that says more must remain.
+    many of the set's pieces are such: an equal piece that says more must remain. The
+    partner may leave out more or fewer, so of two linked sets only the SMALLER number
+    (the last of the three) is sure to be shared in a common layout.
     """
-    keys, needs = [], []
     for band, pieces, most in layout(len(s), percent):
         at = ((s >> U(32)) * U(pieces) >> U(32) << U(16)) | (s & U(0xFFFF))
         at, times = np.unique(at, return_counts=True)
@@ -110,8 +111,15 @@ def piece_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
             if (bits <= few).sum() < pieces - most:
                 kept = bits > few
         names = mix(np.arange(pieces, dtype=U) + U(band << 32))
-        keys.append(mix(value[kept] ^ names[kept]))
-        needs.append(np.full(kept.sum(), max(1, pieces - most - int(pieces - kept.sum())), np.int32))
+        yield band, mix(value[kept] ^ names[kept]), max(1, pieces - most - int(pieces - kept.sum()))
+
+
+def piece_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of ``banded_keys`` over all layouts, and with each key its layout's number."""
+    keys, needs = [], []
+    for _, key, need in banded_keys(s, percent):
+        keys.append(key)
+        needs.append(np.full(len(key), need, np.int32))
     return (np.concatenate(keys), np.concatenate(needs)) if keys else (np.zeros(0, U), np.zeros(0, np.int32))
 
 
@@ -135,7 +143,7 @@ def _keys(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys, needs, classes, held = [], [], [], 0
+            keys, needs, bands, classes, held = [], [], [], [], 0
             for _, s in shingle_sets(batch.column("text"), k):
                 c = class_of(s)
                 if not len(s) or c in seen:
@@ -143,19 +151,20 @@ def _keys(k: int, percent: int):
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(c)
-                key, need = piece_keys(s, percent)
-                keys.append(key.astype(np.int64))
-                needs.append(need)
-                classes.append(np.full(len(key), c, np.int64))
-                held += len(key)
+                for band, key, need in banded_keys(s, percent):
+                    keys.append(key.astype(np.int64))
+                    needs.append(np.full(len(key), need, np.int32))
+                    bands.append(np.full(len(key), band, np.int32))
+                    classes.append(np.full(len(key), c, np.int64))
+                    held += len(key)
                 if held > 1_000_000:
-                    yield _batch(keys, classes, needs)
-                    keys, needs, classes, held = [], [], [], 0
+                    yield _batch(keys, classes, needs, bands)
+                    keys, needs, bands, classes, held = [], [], [], [], 0
             if held:
-                yield _batch(keys, classes, needs)
+                yield _batch(keys, classes, needs, bands)
 
-    def _batch(keys: list, classes: list, needs: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, classes, needs)], ["key", "class", "need"])
+    def _batch(*columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], ["key", "class", "need", "band"])
 
     return run
 
@@ -206,9 +215,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     docs = only(docs, "doc_id", "text")
     sets = written(docs.mapInArrow(_sets(k), "doc_id long, n_shingles long, class long, sketch binary"))
     classes = written(sets.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    rows = docs.mapInArrow(_keys(k, percent), "key long, class long, need int").repartition("key")
-    shared = rows.groupBy("key").agg(F.min("class").alias("first"), F.max("class").alias("final")).where("first <> final")
-    members = written(rows.join(shared.hint("shuffle_hash"), "key").select("key", "class", "need", "first"))
+    rows = docs.mapInArrow(_keys(k, percent), "key long, class long, need int, band int").repartition("key")
+    shared = rows.groupBy("key").agg(F.min("class").alias("first"), F.max("class").alias("final"), F.min_by("need", "class").alias("first_need")).where("first <> final")
+    members = written(rows.join(shared.hint("shuffle_hash"), "key").select("key", "class", "need", "band", "first", "first_need"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Pairs of classes (u, v) that link, judged on the texts of their first documents."""
@@ -220,18 +229,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         both = ids.join(one, "rep_v").join(two, "rep_u")
         return both.select("u", "v", "text_u", "text_v").mapInArrow(_verified(k, percent), "u long, v long").distinct()
 
-    near = members.where("class <> first").groupBy(F.col("first").alias("u"), F.col("class").alias("v")).agg(F.count("*").alias("n"), F.max("need").alias("need"))
-    tried = written(near.where("n >= need").select("u", "v"))
+    # linked sets share the smaller of their two needs in every layout that both are in
+    least_need = F.min(F.least("nu", "nv")).alias("need")
+    near = members.where("class <> first").select(F.col("first").alias("u"), F.col("class").alias("v"), "band", F.col("first_need").alias("nu"), F.col("need").alias("nv"))
+    near = near.groupBy("u", "v", "band").agg(F.count("*").alias("n"), least_need)
+    tried = written(near.where("n >= need").select("u", "v").distinct())
     edges = written(verify(tried))
     group = components(edges)
     # what shares a bucket and is in different components yet
-    placed = members.join(group.withColumnRenamed("node", "class"), "class", "left").select("key", "class", "need", F.coalesce("component", "class").alias("component"))
+    placed = members.join(group.withColumnRenamed("node", "class"), "class", "left").select("key", "class", "need", "band", F.coalesce("component", "class").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size"))
     left = written(placed.join(open_keys.where("a <> b").select("key", "size"), "key"))
     few = left.where(F.col("size") <= SMALL)
-    x = few.select("key", F.col("class").alias("u"), F.col("component").alias("cu"), F.col("need").alias("nu"))
+    x = few.select("key", "band", F.col("class").alias("u"), F.col("component").alias("cu"), F.col("need").alias("nu"))
     y = few.select("key", F.col("class").alias("v"), F.col("component").alias("cv"), F.col("need").alias("nv"))
-    rest = x.join(y, "key").where("u < v and cu <> cv").groupBy("u", "v").agg(F.count("*").alias("n"), F.max(F.greatest("nu", "nv")).alias("need"))
+    rest = x.join(y, "key").where("u < v and cu <> cv").groupBy("u", "v", "band").agg(F.count("*").alias("n"), least_need)
     many = left.where(F.col("size") > SMALL)
     who = many.select("class").distinct().join(classes.select("class", "rep"), "class").withColumnRenamed("rep", "doc_id")
     who = who.join(sets.select("doc_id", "n_shingles", "sketch"), "doc_id").dropDuplicates(["class"]).select("class", "n_shingles", "sketch")
