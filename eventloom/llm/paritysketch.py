@@ -8,14 +8,17 @@ D = 2 hi (1 - t) / (1 + t) shingles and hence in at most D pieces: with more pie
 that, some piece is equal (pigeonhole). Documents are joined on equal pieces within
 layouts by size band, and every candidate is verified on its exact sets.
 
-Exact at any size of bucket: a bucket first compares everybody with its first member,
-which settles copies in a number of pairs linear in the bucket; members that are then
-still in different components are compared with each other if they share as many pieces
-of a layout as a linked pair must: the smaller of the two sets' needs.
+Exact at any size of bucket: every class of equal sets is first compared with two of the
+first members of its buckets (the least, and the one it shares most with), which settles
+copies in a number of pairs linear in the table; members that are then still in different
+components are compared with each other if they share as many pieces of a layout as a
+linked pair must: the smaller of the two sets' needs.
 
 Defined cases: a null, empty or blank text has no shingle and links with nothing; a text
 of fewer than ``k`` words is one shingle; equal sets are one class; sets are told apart by
-64-bit hashes. An empty table gives an empty result. Other columns are ignored.
+64-bit hashes. A row without doc_id links with nothing and has no component_id; rows that
+share a doc_id but not the text each have the component of their own text, and repeated
+rows are repeated. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ REMEMBERED = 500_000
 SKETCH = 2048
 #: Buckets of more members than this are compared by sketches in blocks, smaller ones by a join.
 SMALL = 32
-BLOCK = 2048
+BLOCK = 1024
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -172,17 +175,18 @@ def _keys(k: int, percent: int):
 def _verified(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cache: dict[int, np.ndarray] = {}
+            cache: dict[int, tuple[int, np.ndarray]] = {}
             u, v = batch.column("u").to_pylist(), batch.column("v").to_pylist()
             second = shingle_sets(batch.column("text_v"), k)
             texts = batch.column("text_u")
             ok = []
-            for (i, b), x in zip(second, u, strict=True):
+            for (i, b), x, y in zip(second, u, v, strict=True):
                 if x not in cache:
                     if len(cache) > 256:
                         cache.clear()
-                    cache[x] = next(shingle_sets(texts.slice(i, 1), k))[1]
-                ok.append(linked(cache[x], b, percent))
+                    a = next(shingle_sets(texts.slice(i, 1), k))[1]
+                    cache[x] = class_of(a), a
+                ok.append(cache[x][0] == x and class_of(b) == y and linked(cache[x][1], b, percent))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, y in zip(c, ok, strict=True) if y], pa.int64()) for c in (u, v)], ["u", "v"])
 
     return run
@@ -214,28 +218,31 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     """
     docs = only(docs, "doc_id", "text")
     sets = written(docs.mapInArrow(_sets(k), "doc_id long, n_shingles long, class long, sketch binary"))
-    classes = written(sets.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    rows = docs.mapInArrow(_keys(k, percent), "key long, class long, need int, band int").repartition("key")
-    shared = rows.groupBy("key").agg(F.min("class").alias("first"), F.max("class").alias("final"), F.min_by("need", "class").alias("first_need")).where("first <> final")
+    classes = written(sets.where("n_shingles > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    rows = docs.where("doc_id is not null").mapInArrow(_keys(k, percent), "key long, class long, need int, band int").repartition("key")
+    # both sides read all four columns, so that one exchange serves both
+    shared = rows.groupBy("key").agg(F.min("class").alias("first"), F.max("class").alias("final"), F.min_by("need", "class").alias("first_need"), F.max("band").alias("band"))
+    shared = shared.where("first <> final and band >= 0").drop("final", "band")
     members = written(rows.join(shared.hint("shuffle_hash"), "key").select("key", "class", "need", "band", "first", "first_need"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Pairs of classes (u, v) that link, judged on the texts of their first documents."""
         reps = classes.select("class", "rep")
         ids = pairs.join(reps.withColumnsRenamed({"class": "u", "rep": "rep_u"}), "u").join(reps.withColumnsRenamed({"class": "v", "rep": "rep_v"}), "v")
-        of = docs.where("doc_id is not null")
-        one = of.select(F.col("doc_id").alias("rep_v"), F.col("text").alias("text_v"))
-        two = of.select(F.col("doc_id").alias("rep_u"), F.col("text").alias("text_u"))
+        one = docs.select(F.col("doc_id").alias("rep_v"), F.col("text").alias("text_v"))
+        two = docs.select(F.col("doc_id").alias("rep_u"), F.col("text").alias("text_u"))
         both = ids.join(one, "rep_v").join(two, "rep_u")
         return both.select("u", "v", "text_u", "text_v").mapInArrow(_verified(k, percent), "u long, v long").distinct()
 
     # linked sets share the smaller of their two needs in every layout that both are in
     least_need = F.min(F.least("nu", "nv")).alias("need")
     near = members.where("class <> first").select(F.col("first").alias("u"), F.col("class").alias("v"), "band", F.col("first_need").alias("nu"), F.col("need").alias("nv"))
-    near = near.groupBy("u", "v", "band").agg(F.count("*").alias("n"), least_need)
-    tried = written(near.where("n >= need").select("u", "v").distinct())
+    near = near.groupBy("u", "v", "band").agg(F.count("*").alias("n"), least_need).where("n >= need")
+    # of the first members that a class meets, the least and the one it shares most with: two pairs a class at most
+    best = near.groupBy("v").agg(F.min("u").alias("a"), F.max(F.struct("n", "u"))["u"].alias("b"))
+    tried = written(best.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("u"), "v"))
     edges = written(verify(tried))
-    group = components(edges)
+    group = written(components(edges))
     # what shares a bucket and is in different components yet
     placed = members.join(group.withColumnRenamed("node", "class"), "class", "left").select("key", "class", "need", "band", F.coalesce("component", "class").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size"))
@@ -246,7 +253,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     rest = x.join(y, "key").where("u < v and cu <> cv").groupBy("u", "v", "band").agg(F.count("*").alias("n"), least_need)
     many = left.where(F.col("size") > SMALL)
     who = many.select("class").distinct().join(classes.select("class", "rep"), "class").withColumnRenamed("rep", "doc_id")
-    who = who.join(sets.select("doc_id", "n_shingles", "sketch"), "doc_id").dropDuplicates(["class"]).select("class", "n_shingles", "sketch")
+    who = who.join(sets.select("doc_id", "class", "n_shingles", "sketch"), ["doc_id", "class"]).dropDuplicates(["class"]).select("class", "n_shingles", "sketch")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     many = many.join(who, "class").withColumn("block", F.pmod(F.hash("class"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     many = many.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "component", "n_shingles", "sketch")
@@ -255,10 +262,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     alike = alike.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     rest = rest.where("n >= need").select("u", "v").unionByName(alike).distinct().join(tried, ["u", "v"], "left_anti")
     more = written(verify(rest))
-    dropped(members)
+    for done in (members, left, tried):
+        dropped(done)
     if not more.isEmpty():
         group = components(edges.unionByName(more))
     roots = classes.join(group.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = roots.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = roots.join(least, "component").select("class", "component_id")
-    return sets.join(named, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return sets.join(named, "class", "left").select("doc_id", "n_shingles", own.alias("component_id"))

@@ -78,3 +78,18 @@ def test_shingles_do_not_depend_on_the_batch():
     for t, s in zip(texts, whole, strict=True):
         groups[P.class_of(np.array(s, np.uint64))].add(tuple(s))
     assert all(len(g) == 1 for g in groups.values())
+
+
+def test_null_and_shared_ids(spark):
+    """No doc_id: linked with nothing; a shared doc_id: each row by its own text."""
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y"
+    rows = [(None, near), (None, near + " z"), (9, near), (9, "quite another text of some eight words here"), (4, near + " z"), (7, "quite another text of some eight words here"), (8, None), (None, None)]
+    got = P.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85)
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [(None, 22, None), (None, 23, None), (9, 22, 4), (9, 5, 7), (4, 23, 4), (7, 5, 7), (8, 0, 8), (None, 0, None)]))
+
+
+def test_very_long_and_many_equal_texts(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, long), (2, long + " more"), *[(10 + i, "the same few words in every row") for i in range(300)]]
+    got = {r["doc_id"]: r["component_id"] for r in P.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert got[2] == 1 and all(got[10 + i] == 10 for i in range(300))
