@@ -7,7 +7,7 @@ A text has the language whose prototype has the largest cosine with it.
 
 Letters are folded to lower case; a run of anything else is one word boundary. Letters
 beyond the first ``LETTERS`` - 1 code slots share slots by a hash of the code point, so
-any script works. Bundling is linear: prototypes need only n-gram counts per language,
+any script of any plane works. Bundling is linear: prototypes need only n-gram counts per language,
 which every task adds up before the shuffle, so that no group is ever gathered.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; ties go to
@@ -34,14 +34,17 @@ GRAM = 3
 GRAMS = LETTERS**GRAM
 
 
+def _slot(c: str) -> int:
+    """The slot of a character: 0 if it is not a letter."""
+    low = c.lower()[0]
+    if not c.isalpha():
+        return 0
+    return ord(low) - 96 if "a" <= low <= "z" else 27 + zlib.crc32(low.encode("utf-8", "surrogatepass")) % (LETTERS - 27)
+
+
 def _slots() -> np.ndarray:
-    """A slot for every code point of the basic plane: 0 if not a letter."""
-    out = np.zeros(1 << 16, np.uint8)
-    for c in range(1 << 16):
-        low = chr(c).lower()[0]
-        if chr(c).isalpha():
-            out[c] = ord(low) - 96 if "a" <= low <= "z" else 27 + zlib.crc32(low.encode("utf-8", "surrogatepass")) % (LETTERS - 27)
-    return out
+    """A slot for every code point of the basic plane; letters of other planes are looked up as they come."""
+    return np.array([_slot(chr(c)) for c in range(1 << 16)], np.uint8)
 
 
 _cache: dict[str, np.ndarray] = {}
@@ -68,6 +71,10 @@ def grams(text: str | None) -> np.ndarray:
     """Codes of all n-grams of a text, with boundaries around words; empty without a letter."""
     points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
     code = slots()[np.minimum(points, 0xFFFF)]
+    high = points > 0xFFFF
+    if high.any():
+        found, at = np.unique(points[high], return_inverse=True)
+        code[high] = np.array([_slot(chr(c)) for c in found.tolist()], np.uint8)[at]
     if not code.any():
         return np.zeros(0, np.int32)
     code = np.concatenate([[0], code, [0]]).astype(np.int32)
