@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import regex
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a task remembers with their ids; bounds its memory, not the result.
 REMEMBERED = 1_000_000
-#: Fixed value: the vocabulary's own pattern of units that its merges never cross.
-UNITS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _encoders: dict[str, WordIds] = {}
 
 
@@ -32,7 +28,7 @@ class WordIds:
 
     The vocabulary drops white space and never merges across it, so the ids of a text are
     those of its words one after another. A word's ids are remembered; new words are
-    encoded many at a time and cut apart at the ids that end a unit.
+    encoded many at a time and cut apart by the bytes that each id stands for.
     """
 
     def __init__(self, path: str) -> None:
@@ -40,9 +36,9 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        self.ends = np.zeros(self.size, bool)
+        self.ends, self.lengths = np.zeros(self.size, bool), np.zeros(self.size, np.int64)
         for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
+            self.ends[i], self.lengths[i] = token.endswith("</w>"), len(token.removesuffix("</w>"))
         self._forget()
 
     def _forget(self) -> None:
@@ -57,45 +53,31 @@ class WordIds:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def _alone(self, word: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4")
+    def encode(self, words: list[str], group: int = 250) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some words one after another, and how many each has; nothing is remembered."""
+        flat, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for i in range(0, len(words), group):
+            part = words[i : i + group]
+            text = " ".join(part)
+            size = np.fromiter((len(w.encode()) for w in part), np.int64, len(part))  # an id's token has a character per byte
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            upto, until = np.cumsum(size), np.cumsum(self.lengths[ids])
+            at = np.searchsorted(until, upto)
+            if not len(ids) or at[-1] != len(ids) - 1 or (until[at] != upto).any():  # some id's bytes are not the word's own
+                found = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                ids = np.array([x for one in found for x in one], "<u4")
+                sizes.append(np.fromiter(map(len, found), np.int64, len(part)))
+            else:
+                sizes.append(np.diff(at, prepend=-1))
+            flat.append(ids)
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def _learn(self) -> None:
         """Gives every new word its ids."""
-        done, found, fresh, units, at = len(self.starts) - 1, [None] * len(self.new), [], [], []
-        stop = {c: self._alone(c) for c in ".,"} if self.new else {}
-        later = []
-        for i, w in enumerate(self.new):
-            if w.isascii() and w.isalpha():
-                units.append(1)
-            elif "<|" in w:
-                found[i] = self._alone(w)
-                continue
-            elif w[-1] in stop and w[:-1].isalpha() and (core := self.numbers.get(w[:-1])) is not None:
-                later.append((i, core, stop[w[-1]]))
-                continue
-            else:
-                units.append(len(UNITS.findall(unicodedata.normalize("NFC", w).lower())))
-            fresh.append(w)
-            at.append(i)
-        for i in range(0, len(fresh), 1000):
-            group, place = fresh[i : i + 1000], at[i : i + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            upto = np.cumsum(units[i : i + 1000])
-            if len(ends) == upto[-1] and (not len(ids) or ends[-1] == len(ids)):
-                cut = np.append(0, ends)[upto].tolist()
-                for p, a, b in zip(place, [0, *cut], cut, strict=False):
-                    found[p] = ids[a:b]
-            else:
-                for p, w in zip(place, group, strict=True):
-                    found[p] = self._alone(w)
-        for i, core, mark in later:
-            known = found[core - done] if core >= done else self.flat[self.starts[core] : self.starts[core + 1]]
-            found[i] = np.concatenate([known, mark])
-        if found:
-            self.flat = np.concatenate([self.flat, *found])
-            self.starts = np.append(self.starts, self.starts[-1] + np.cumsum([len(x) for x in found]))
+        if self.new:
+            flat, sizes = self.encode(self.new)
+            self.flat = np.concatenate([self.flat, flat])
+            self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(sizes))
         self.new.clear()
 
     def words(self, text: str | None) -> list[str]:
