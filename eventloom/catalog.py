@@ -1,6 +1,8 @@
 """Every registered query of the library's own operators, with its SQL."""
 
-from eventloom.plans.reports import ORACLES, QUERIES
+from eventloom.plans import cases, compared, reports
 
 FLAGSHIP = "trailing_views"
+QUERIES = reports.QUERIES | compared.QUERIES | cases.QUERIES
+ORACLES = reports.ORACLES | compared.ORACLES | cases.ORACLES
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

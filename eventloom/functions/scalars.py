@@ -38,10 +38,17 @@ def blank_to_null(c: Column) -> Column:
 
 
 def dedup_key(c: Column) -> Column:
-    """A title without brackets and what stands in them, marks and spaces."""
+    """A title without brackets and what stands in them, marks and spaces, and the words that spellings leave out."""
     t = half_width(c)
-    for p in (r"[（(][^）)]*[）)]", r"[［\[【][^］\]】]*[］\]】]", r"[\s　・|｜/／&＆!！?？.。、,，:：~〜～\-－]"):
-        t = F.regexp_replace(t, p, "")
+    # What two spellings of a title may differ in, in this order.
+    for p, new in (
+        (r"[（(][^）)]*[）)]", ""),
+        (r"[［\[【][^］\]】]*[］\]】]", ""),
+        (r"[\s　・|｜/／&＆!！?？.。、,，:：~〜～\-－]", ""),
+        ("陸上自衛隊|海上自衛隊|航空自衛隊|自衛隊", ""),
+        ("部隊見学", "見学"),
+    ):
+        t = F.regexp_replace(t, p, new)
     return t
 
 
@@ -79,10 +86,13 @@ def html_digest(c: Column) -> Column:
 
 
 def short_hash(c: Column) -> Column:
-    """Five base-36 digits of a 32-bit hash (h * 33 xor unit) over the text's basic-plane characters."""
-    points = F.transform(F.split(c, ""), lambda x: F.ascii(x).cast("long"))
+    """Five base-36 digits of a 32-bit hash (h * 33 xor unit) over the text's UTF-16 units."""
+    units = F.hex(F.encode(c, "UTF-16BE"))
+    count = F.char_length(units) / 4
+    starts = F.when(count >= 1, F.sequence(F.lit(0), (count - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    points = F.transform(starts, lambda i: F.conv(F.substring(units, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
     h = F.aggregate(points, F.lit(5381).cast("long"), lambda a, x: ((a * 33) % 4294967296).bitwiseXOR(x))
-    return F.right(F.lpad(F.lower(F.conv(h.cast("string"), 10, 36)), 5, "0"), F.lit(5))
+    return F.right(F.concat(F.lit("00000"), F.lower(F.conv(h.cast("string"), 10, 36))), F.lit(5))
 
 
 def clean_field(c: Column, most: int) -> Column:
@@ -152,8 +162,9 @@ def year_by_weekday(month: Column, day: Column, name: Column, this_year: Column)
 
 
 def era_year(era: Column, n: Column) -> Column:
-    """令和 1 is 2019, 平成 1 is 1989."""
-    return F.when(era == "令和", n + 2018).when(era == "平成", n + 1988)
+    """令和 1 is 2019, 平成 1 is 1989; 元 is 1."""
+    number = F.when(n.cast("string") == "元", 1).otherwise(n.cast("string").try_cast("int"))
+    return F.when(era == "令和", number + 2018).when(era == "平成", number + 1988)
 
 
 def year_before(c: Column) -> Column:

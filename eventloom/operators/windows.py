@@ -68,11 +68,20 @@ def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column)
 
 
 def uniquify(df: DataFrame, id_: str, order: Sequence[str], name: str) -> DataFrame:
-    """The second and later rows of an id get -2, -3, ...; a name that some id has already is passed over once more with ``~``."""
-    w = Window.partitionBy(id_).orderBy(*order)
-    tried = df.withColumn("_n", F.row_number().over(w)).withColumn(name, F.when(F.col("_n") == 1, F.col(id_)).otherwise(F.concat_ws("-", id_, F.col("_n").cast("string"))))
-    taken = df.select(F.col(id_).alias(name)).distinct().withColumn("_taken", F.lit(True))
-    return tried.join(taken, name, "left").withColumn(name, F.when((F.col("_n") > 1) & F.col("_taken"), F.concat(name, F.lit("~"))).otherwise(F.col(name))).drop("_n", "_taken")
+    """The second and later rows of an id get the next free of -2, -3, ...: numbers that some id's own name has are passed over.
+
+    Names taken are those of the ids themselves; they are counted per id up to the number of its
+    rows and its taken names, so no key gathers more than its own rows.
+    """
+    base, number = F.regexp_extract(id_, r"(?s)^(.*)-([1-9]\d*)$", 1), F.regexp_extract(id_, r"-([1-9]\d*)$", 1).try_cast("int")
+    taken = df.select(base.alias("_base"), number.alias("_number")).where("_number >= 2").distinct()
+    again = df.groupBy(F.col(id_).alias("_base")).agg(F.count("*").alias("_rows")).where("_rows > 1")
+    near = again.join(taken.groupBy("_base").agg(F.count("*").alias("_used")), "_base", "left")
+    tries = near.select("_base", F.explode(F.sequence(F.lit(2), (F.col("_rows") + F.coalesce("_used", F.lit(0))).cast("int"))).alias("_number"))
+    free = tries.join(taken, ["_base", "_number"], "left_anti").withColumn("_n", F.row_number().over(Window.partitionBy("_base").orderBy("_number")) + 1)
+    counted = df.withColumn("_n", F.row_number().over(Window.partitionBy(id_).orderBy(*order)))
+    both = counted.join(free.withColumnRenamed("_base", id_), [id_, "_n"], "left")
+    return both.select(*df.columns, F.when(F.col("_n") == 1, F.col(id_)).otherwise(F.concat_ws("-", id_, F.col("_number").cast("string"))).alias(name))
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -93,5 +102,16 @@ def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> Dat
 
 def rotated(df: DataFrame, order: Sequence[str], run: int, size: int, stride: int = 17, name: str = "turn") -> DataFrame:
     """Place of each of ``size`` rows in an order that starts further on with each run."""
-    w = Window.orderBy(*order)
-    return df.withColumn(name, F.pmod(F.row_number().over(w) - 1 - (run * stride) % size, F.lit(size)))
+    return numbered(df, order, "_at").withColumn(name, F.pmod(F.col("_at") - 1 - (run * stride) % size, F.lit(size))).drop("_at")
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Places from 1 in a total order, without a window over all rows: sorted by range, numbered within
+    each range, and shifted by the rows of the ranges before (one count per range)."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: both uses of the ranges agree
+    ranged = df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
+    placed = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    first = F.struct(*order)
+    sizes = placed.groupBy("_range").agg(F.min(first).alias("_least"), F.count("*").alias("_size"))
+    shift = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_least")) - F.col("_size"))  # a row per range
+    return placed.join(F.broadcast(shift.select("_range", "_before")), "_range").withColumn(name, F.col("_before") + F.col("_in")).drop("_range", "_in", "_before")

@@ -277,7 +277,7 @@ def page_digests(spark, sf):
     return table(spark, sf, "pages").select("page_id", S.html_digest(F.col("html")).alias("digest"))
 
 
-@query("""select page_id, lpad(lower(to_base(list_reduce(list_transform(string_split(url, ''), lambda c: cast(ord(c) as bigint)), lambda a, x: xor((a * 33) % 4294967296, x), cast(5381 as bigint)), 36)), 5, '0')[-5:] as hash from pages""")
+@query("""select page_id, ('00000' || lower(to_base(list_reduce(list_transform(string_split(url, ''), lambda c: cast(ord(c) as bigint)), lambda a, x: xor((a * 33) % 4294967296, x), cast(5381 as bigint)), 36)))[-5:] as hash from pages""")
 def short_hashes(spark, sf):
     return table(spark, sf, "pages").select("page_id", S.short_hash(F.col("url")).alias("hash"))
 

@@ -24,12 +24,21 @@ def unescape_ical(c: Column) -> Column:
     return F.regexp_replace(t, r"\\([,;\\])", "$1")
 
 
-def calendar_events(texts: DataFrame, text: str, *keep: str) -> DataFrame:
-    """(keep, uid, date, endDate, title, place, notes) per VEVENT; folded lines are joined, no time zone is applied."""
-    flat = F.regexp_replace(F.regexp_replace(F.col(text), "\r\n?", "\n"), "\n[ \t]", "")
-    block = F.explode(F.slice(F.split(flat, "BEGIN:VEVENT"), 2, 1 << 30)).alias("block")
-    field = lambda name: F.nullif(F.regexp_extract("block", rf"(?m)^{name}(?:;[^:\n]*)?:(.*)$", 1), F.lit(""))
+def unfolded(text: Column) -> Column:
+    """A calendar's text with its folded lines joined."""
+    return F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "\n[ \t]", "")
+
+
+def event_fields(block: Column) -> dict[str, Column]:
+    """The fields of one VEVENT of an unfolded text."""
+    field = lambda name: F.nullif(F.regexp_extract(block, rf"(?m)^{name}(?:;[^:\n]*)?:(.*)$", 1), F.lit(""))
     day = lambda name: F.date_format(F.try_to_date(F.left(field(name), F.lit(8)), "yyyyMMdd"), "yyyy-MM-dd")
     whole = field("DTEND").rlike(r"^\d{8}$")  # an all-day end is exclusive
     end = F.when(whole, F.date_format(F.date_sub(F.to_date(day("DTEND")), 1), "yyyy-MM-dd")).otherwise(day("DTEND"))
-    return texts.select(*keep, block).select(*keep, field("UID").alias("uid"), day("DTSTART").alias("date"), end.alias("endDate"), *[unescape_ical(field(f)).alias(n) for f, n in (("SUMMARY", "title"), ("LOCATION", "place"), ("DESCRIPTION", "notes"))])
+    return {"uid": field("UID"), "date": day("DTSTART"), "endDate": end} | {n: unescape_ical(field(f)) for f, n in (("SUMMARY", "title"), ("LOCATION", "place"), ("DESCRIPTION", "notes"))}
+
+
+def calendar_events(texts: DataFrame, text: str, *keep: str) -> DataFrame:
+    """(keep, uid, date, endDate, title, place, notes) per VEVENT; folded lines are joined, no time zone is applied."""
+    block = F.explode(F.slice(F.split(unfolded(F.col(text)), "BEGIN:VEVENT"), 2, 1 << 30)).alias("block")
+    return texts.select(*keep, block).select(*keep, *[c.alias(n) for n, c in event_fields(F.col("block")).items()])

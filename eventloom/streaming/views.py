@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 #: Words of user agents that are no people.
-BOTS = "bot|crawl|spider|slurp|preview|headless|curl|wget|python|scrapy|monitor"
+BOTS = r"bot|crawl|spider|slurp|preview|facebookexternalhit|embedly|quora link|whatsapp/|headless|phantom|puppeteer|playwright|selenium|lighthouse|pagespeed|gtmetrix|pingdom|uptime|monitor|curl|wget|python|httpclient|okhttp|java/|go-http|node-fetch|axios"
 
 
 def is_bot(agent: Column) -> Column:
