@@ -1,12 +1,16 @@
 """Embedding near-duplicates by a robust-pruned flat graph.
 
 Equal vectors of a label are one node. The nodes of a label are dealt to overlapping
-clusters (each to its ``OVERLAP`` nearest centroids); every shard builds a robust-pruned
+clusters: each to the nearest centroid, its home, and to every cluster that may be the home
+of a vector in range of it (one no farther from the plane between two centroids than two
+vectors in range can be apart). So whatever is in range of a node is in the node's home
+cluster, and links are counted alike from both ends. Every shard builds a robust-pruned
 graph, and a node's adjacency lists of all its shards are united. Every node then runs,
 in its home cluster, a greedy search from the medoid that keeps expanding while nodes in
 range turn up, and every pair found is verified by its cosine in double precision. Nodes
-whose vec_id is divisible by 100 audit each shard: they are also compared with all its
-nodes, and a shard whose recall is below ``RECALL`` is searched exhaustively, in blocks.
+whose vec_id is divisible by 100, and a few more of every shard, audit it: they are also
+compared with all its nodes, and a shard whose recall is below ``RECALL`` is searched
+exhaustively, in blocks. ``audited`` measures recall against all rows.
 
 Centroids come from a sample of at most ``SAMPLE`` nodes, and there are at most
 ``CENTROIDS`` of them; they are kept apart, so that no dense group is cut by them. A
@@ -31,10 +35,10 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import components, written
 
-SHARD, CAP, OVERLAP = 1000, 4096, 3
+SHARD, CAP = 1000, 4096
 SAMPLE, CENTROIDS = 20_000, 32_768
-DEGREE, CANDIDATES, ALPHA, BEAM = 24, 64, 1.2, 16
-RECALL, AUDIT, MARGIN = 0.99, 100, 0.03
+DEGREE, CANDIDATES, ALPHA, BEAM = 20, 40, 1.2, 16
+RECALL, AUDIT, FEW, MARGIN = 0.99, 100, 8, 0.03
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -58,39 +62,51 @@ def centroids(x: np.ndarray, k: int, rounds: int = 8, apart: float = 0.9) -> np.
     return c[kept]
 
 
+def pruned(x: np.ndarray, rows: np.ndarray, near: np.ndarray, degree: int, alpha: float) -> list[np.ndarray]:
+    """Of each row's candidates (-1: none) those that no nearer kept one covers, many rows at once."""
+    real = near >= 0
+    y = x[np.maximum(near, 0)]
+    d = np.where(real, 1 - np.einsum("rcd,rd->rc", y, x[rows]), np.inf)
+    order = np.argsort(d, axis=1, kind="stable")
+    at = np.arange(len(rows))[:, None]
+    near, d, y = near[at, order], d[at, order], y[at, order]
+    between = 1 - y @ y.transpose(0, 2, 1)
+    open_, kept = np.isfinite(d), np.zeros(near.shape, bool)
+    one = np.arange(len(rows))
+    for _ in range(degree):
+        j = open_.argmax(1)
+        some = open_[one, j]
+        if not some.any():
+            break
+        kept[one[some], j[some]] = True
+        open_ &= ~some[:, None] | (alpha * between[one, j] > d)
+        open_[one, j] = False
+    return [n[k] for n, k in zip(near, kept, strict=True)]
+
+
 def robust_prune(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[np.ndarray]:
     """Adjacency of a robust-pruned graph on unit rows: near neighbours that no kept one covers, both ways."""
     n = len(x)
     most = min(CANDIDATES, n - 1)
     if most < 1:
         return [np.zeros(0, np.int64)] * n
-
-    def pruned(i: int, near: np.ndarray) -> np.ndarray:
-        d = 1 - x[near] @ x[i]
-        order = np.argsort(d, kind="stable")
-        near, d = near[order], d[order]
-        between = 1 - x[near] @ x[near].T
-        open_, kept = np.ones(len(near), bool), []
-        while len(kept) < degree and open_.any():
-            j = int(open_.argmax())
-            kept.append(j)
-            open_ &= alpha * between[j] > d
-            open_[j] = False
-        return near[kept]
-
-    out = []
-    for a in range(0, n, 512):
-        s = x[a : a + 512] @ x.T
-        s[np.arange(len(s)), np.arange(a, a + len(s))] = -2
-        top = np.argpartition(-s, most - 1, axis=1)[:, :most]
-        out += [pruned(a + r, top[r]) for r in range(len(s))]
-    back: list[list[int]] = [[] for _ in range(n)]
-    for i, near in enumerate(out):
-        for j in near:
-            back[j].append(i)
-    for i in range(n):
-        both = np.unique(np.concatenate([out[i], np.array(back[i], np.int64)]))
-        out[i] = pruned(i, both) if len(both) > degree else both
+    out: list[np.ndarray] = []
+    for a in range(0, n, 256):
+        s = x[a : a + 256] @ x.T
+        rows = np.arange(a, a + len(s))
+        s[np.arange(len(s)), rows] = -2
+        out += pruned(x, rows, np.argpartition(-s, most - 1, axis=1)[:, :most], degree, alpha)
+    source, target = np.repeat(np.arange(n), [len(o) for o in out]), np.concatenate(out)
+    both = np.unique(np.concatenate([source * n + target, target * n + source]))
+    out = np.split(both % n, np.searchsorted(both // n, np.arange(1, n)))
+    large = np.array([i for i in range(n) if len(out[i]) > degree], np.int64)
+    for a in range(0, len(large), 64):
+        rows = large[a : a + 64]
+        near = np.full((len(rows), max(len(out[i]) for i in rows)), -1, np.int64)
+        for r, i in enumerate(rows):
+            near[r, : len(out[i])] = out[i]
+        for i, kept in zip(rows, pruned(x, rows, near, degree, alpha), strict=True):
+            out[i] = kept
     return out
 
 
@@ -133,21 +149,43 @@ def _vectors(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
 
 
-def _deal(spots: dict[tuple, np.ndarray]):
-    """Every node to its nearest clusters, the first of them its home."""
+def reach(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cluster, home): of unit rows, the clusters that may be the home of a vector in range of each.
+
+    Such a vector lies on the other side of the plane between the two centroids, and at most
+    the chord of the range away.
+    """
+    s = x @ c.T
+    home = s.argmax(1)
+    best = s[np.arange(len(x)), home]
+    chord = np.sqrt(2 - 2 * least) + 1e-9
+    row, k = np.nonzero(s >= (best - 2 * chord)[:, None])
+    apart = np.linalg.norm(c[home[row]] - c[k], axis=1)
+    kept = best[row] - s[row, k] <= chord * apart + 1e-12
+    row, k = row[kept], k[kept]
+    return row, k, k == home[row]
+
+
+def _deal(spots: dict[tuple, np.ndarray], least: float):
+    """Every node to its home cluster and to those that may be the home of a node in range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for cid, label, e, rep in zip(*(batch.column(c).to_pylist() for c in ("cid", "label", "embedding", "rep")), strict=True):
-                x = unit(np.array(e, np.float64))
-                c = spots.get((label, len(x)))
-                near = np.argsort(-(c @ x), kind="stable")[:OVERLAP].tolist() if c is not None else [0]
-                rows += [(cid, label, len(x), k, j == 0, rep % AUDIT == 0, x.tobytes()) for j, k in enumerate(near)]
-            types = [pa.int64(), batch.schema.field("label").type, pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
-            names = ["cid", "label", "dim", "cluster", "home", "audit", "unit"]
-            columns = list(zip(*rows, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+            kind = batch.schema.field("label").type
+            cid, label, rep = batch.column("cid").to_numpy(), batch.column("label").to_pylist(), batch.column("rep").to_numpy()
+            vectors = [np.array(e, np.float64) for e in batch.column("embedding").to_pylist()]
+            groups: dict[tuple, list[int]] = {}
+            for i, (one, v) in enumerate(zip(label, vectors, strict=True)):
+                groups.setdefault((one, len(v)), []).append(i)
+            for key, members in groups.items():
+                for a in range(0, len(members), 512):
+                    at = np.array(members[a : a + 512])
+                    x = unit(np.stack([vectors[i] for i in at]))
+                    c = spots.get(key)
+                    row, k, home = reach(x, c, least) if c is not None else (np.arange(len(at)), np.zeros(len(at), np.int64), np.ones(len(at), bool))
+                    own = at[row]
+                    columns = [cid[own], pa.array([key[0]] * len(row), kind), np.full(len(row), key[1], np.int32), k.astype(np.int32), home, rep[own] % AUDIT == 0, pa.array([x[r].tobytes() for r in row], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["cid", "label", "dim", "cluster", "home", "audit", "unit"])
 
     return run
 
@@ -171,9 +209,10 @@ def _search(least: float):
 
         graph = [place(np.asarray(a if a is not None else [], np.int64)) for a in nodes["near"]]
         start = int((x @ x.mean(0)).argmax())
-        y, mine, audit = _vectors(queries["unit"]), queries["cid"].to_numpy(), queries["audit"].to_numpy()
+        y, mine, audit = _vectors(queries["unit"]), queries["cid"].to_numpy(), queries["audit"].to_numpy().copy()
         found = [range_search(x, graph, start, q, least) for q in y]
         audited = met = 0
+        audit[:FEW] = True
         for i in np.flatnonzero(audit):
             exact = np.flatnonzero(x @ y[i] >= least)
             exact = exact[cid[exact] != mine[i]]
@@ -231,7 +270,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> tuple[DataFrame,
     spots = {k: centroids(unit(np.array(s, np.float64)), int(-(-totals[k] // (SHARD * scale)))) for k, s in sample.items() if k in totals}
 
     key = ["label", "dim", "cluster"]
-    dealt = written(nodes.mapInArrow(_deal(spots), f"cid long, label {label}, dim int, cluster int, home boolean, audit boolean, unit binary"))
+    dealt = written(nodes.mapInArrow(_deal(spots, least), f"cid long, label {label}, dim int, cluster int, home boolean, audit boolean, unit binary"))
     blocks = dealt.groupBy(*key).agg(F.ceil(F.count("*") / CAP).cast("int").alias("blocks"))
     placed = dealt.join(blocks, key).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     graph = placed.groupBy(*key, "block").applyInPandas(_build, "cid long, near array<long>")
@@ -252,3 +291,33 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> tuple[DataFrame,
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     audit = met.agg(F.sum("audited").alias("audited"), F.sum("met").alias("met"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), audit
+
+
+def audited(vectors: DataFrame, found: DataFrame, least: float = 0.98) -> DataFrame:
+    """One row (queries, links, met): vectors whose id is divisible by 100 against all of their label, in blocks.
+
+    ``links`` are those that brute force finds, ``met`` the part that ``n_links`` of ``found`` has.
+    """
+    rows = vectors.select("vec_id", "label", "embedding").where("vec_id is not null and label is not null and size(embedding) > 0")
+    rows = rows.where(F.forall("embedding", lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)) & ~F.isnan(v)) & F.exists("embedding", lambda v: v != 0))
+    asked = rows.where(F.col("vec_id") % AUDIT == 0).select(F.col("vec_id").alias("q_id"), F.col("label").alias("q_label"), F.col("embedding").alias("q"))
+    count = asked.groupBy("q_label").agg(F.ceil(F.count("*") / CAP).cast("int").alias("blocks"))
+    each = asked.join(count, "q_label").withColumn("block", F.pmod(F.xxhash64("q_id"), F.col("blocks")).cast("int")).drop("blocks").withColumn("part", F.explode(F.array(*map(F.lit, range(8)))))
+    others = rows.join(count.withColumnRenamed("q_label", "label"), "label").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(8)).cast("int"))
+
+    def run(key: tuple, queries: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(nodes):
+            return pd.DataFrame({"vec_id": [], "links": []})
+        links = np.zeros(len(queries), np.int64)
+        dims, q_dims = nodes["embedding"].map(len).to_numpy(), queries["q"].map(len).to_numpy()
+        for d in np.unique(q_dims):
+            at, of = np.flatnonzero(q_dims == d), np.flatnonzero(dims == d)
+            if len(of):
+                x, y = unit(np.stack(queries["q"].to_numpy()[at]).astype(np.float64)), unit(np.stack(nodes["embedding"].to_numpy()[of]).astype(np.float64))
+                links[at] = (x @ y.T >= least).sum(1)
+        return pd.DataFrame({"vec_id": queries["q_id"], "links": links})
+
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+    exact = each.groupBy("q_label", "block", "part").cogroup(others.groupBy("label", "block", "part")).applyInPandas(run, f"vec_id {kind}, links long")
+    exact = exact.groupBy("vec_id").agg((F.sum("links") - 1).alias("links")).join(found.select("vec_id", "n_links"), "vec_id")
+    return exact.agg(F.count("*").alias("queries"), F.sum("links").alias("links"), F.sum(F.least("links", "n_links")).alias("met"))

@@ -49,6 +49,44 @@ def test_blocks(spark, monkeypatch):
     assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in out.collect()), key=str) == brute(cases(), 0.98)
 
 
+def crowded(n=4000, dim=32):
+    """One label with pairs near the threshold, chains along a curve, a crowd, and strangers."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(n, dim))
+    x[500:1500] = x[:1000] + rng.normal(size=(1000, dim)) * 0.2
+    t = np.linspace(0, 6, 800)[:, None]
+    x[1500:2300] = np.cos(t) * x[0] + np.sin(t) * x[1]
+    x[2300:2900] = x[2] + rng.normal(size=(600, dim)) * 0.12
+    return [(i, v.astype(np.float32).tolist(), 0) for i, v in enumerate(x)]
+
+
+def test_links_of_one_crowded_label(spark, monkeypatch):
+    """Against brute force over all rows: links are the same from both ends, and recall is nearly whole."""
+    monkeypatch.setattr(V, "SHARD", 300)
+    rows = crowded()
+    x = np.array([r[1] for r in rows], np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.98).sum(1) - 1
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    out = V.near_duplicates(df)[0].cache()
+    got = {r["vec_id"]: r["n_links"] for r in out.collect()}
+    got = np.array([got[i] for i in range(len(rows))])
+    assert want.sum() > 50_000 and (got <= want).all() and got.sum() >= 0.999 * want.sum()
+    queries, links, met = V.audited(df, out).first()
+    assert (queries, links) == (40, want[::100].sum()) and met >= 0.99 * links
+
+
+def test_reach_misses_no_home():
+    rng = np.random.default_rng(5)
+    c = V.unit(rng.normal(size=(40, 8)))
+    a = V.unit(rng.normal(size=(3000, 8)))
+    b = V.unit(a + rng.normal(size=a.shape) * 0.05)
+    near = (a * b).sum(1) >= 0.98
+    row, k, home = V.reach(b, c, 0.98)
+    assert near.sum() > 500 and set(zip(np.flatnonzero(near).tolist(), (a @ c.T).argmax(1)[near].tolist(), strict=True)) <= set(zip(row.tolist(), k.tolist(), strict=True))
+    assert home.sum() == len(b)
+
+
 def test_recall_of_the_graph():
     rng = np.random.default_rng(0)
     x = V.unit(np.concatenate([rng.normal(size=(800, 64)), np.ones(64) + rng.normal(size=(200, 64)) * 0.08]))
