@@ -126,7 +126,8 @@ LOWER[list(SPACES)] = 0x20
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and n + 1 offsets of a string column; nulls are empty."""
-    column = column.fill_null("").cast(pa.large_string())
+    if not pa.types.is_large_binary(column.type):
+        column = column.fill_null("").cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = column.buffers()[2]
     data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)

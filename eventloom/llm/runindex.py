@@ -12,11 +12,14 @@ of one anchor travel as one context. Three steps, each exact:
 3. There a run-compressed Burrows-Wheeler transform is built over each group's contexts,
    with the first document of every interval of ``LENGTH``-byte matches sampled; every
    context is streamed through it by run-wise LF steps, and long matches are marked.
+   A group of more than ``GROUP`` contexts is too much for one task: its strings are
+   reduced to hashes, their least documents found by a partial aggregate, and joined back.
 
 Defined cases: a null or empty text, or one below ``LENGTH`` bytes, loses nothing; a row
 without doc_id neither loses nor repeats anything; repeated rows are each judged against
 smaller ids only, as are rows that share an id but not the text. Other columns are
-ignored; an empty table gives no rows. Equality of contexts rests on 64-bit hashes.
+ignored; an empty table gives no rows. Equality of contexts rests on 64-bit hashes; rows
+that share an id are told apart by 15 bits of their texts' checksums.
 """
 
 from __future__ import annotations
@@ -30,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import U, buffers, chunks, mix, only, powers, written
+from eventloom.llm.common import U, buffers, chunks, dropped, mix, only, powers, written
 
 LENGTH, K = 50, 16
 CORE = 17  # bytes beside the anchor on one of its sides: half of what a string has besides
 #: Bytes of contexts that an index is built over at once, beyond which the next group opens another.
 CHUNK = 1 << 19
+#: Contexts of one extension that one task indexes at most.
+GROUP = 20_000
 
 
 def pack(tag: np.ndarray, lo: np.ndarray, left: np.ndarray, span: np.ndarray) -> np.ndarray:
@@ -101,7 +106,8 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(h), bool)
         new[1:] = context[1:] != context[:-1]
         first_doc = doc[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))] if len(h) else doc
-        at = np.where(doc > first_doc, ~at, at)
+        settled = doc > first_doc
+        at, h = np.where(settled, ~at, at), np.where(settled, mix(doc).astype(np.int64), h)  # what is settled is dealt evenly, by document
         for i in range(0, len(h), 500_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 500_000]) for x in (h, context, doc, at)], ROW)
 
@@ -248,21 +254,44 @@ class RunIndex:
         return np.concatenate(found_s), np.concatenate(found_p)
 
 
+def _places(owners: np.ndarray, at: np.ndarray, s: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+    """(doc_id, at) of runs of neighbouring strings p of contexts s."""
+    order = np.lexsort((p, s))
+    s, p = s[order], p[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (p[1:] != p[:-1] + 1)
+    first = np.flatnonzero(new)
+    span = np.diff(np.append(first, len(s)))
+    own = at[s[first]]
+    lo = (own & 0xFFFFFFFF) + p[first]
+    return pa.RecordBatch.from_arrays([pa.array(owners[s[first]]), pa.array(pack(own >> 44, lo, np.zeros(len(lo), np.int64), span))], ["doc_id", "at"])
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, doc_id, at) of every string of some contexts."""
+    for batch in batches:
+        data, offsets = buffers(batch.column("bytes").cast(pa.large_binary()))
+        n = len(data)
+        power, inverse = powers(n + 1)
+        prefix = np.zeros(n + 1, U)
+        np.cumsum((data.astype(U) + U(1)) * power[:n], out=prefix[1:])
+        count = np.maximum(np.diff(offsets) - LENGTH + 1, 0)
+        of = np.repeat(np.arange(len(count)), count)
+        p = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        begins = offsets[of] + p
+        h = mix((prefix[begins + LENGTH] - prefix[begins]) * inverse[begins])
+        own = batch.column("from").to_numpy()[of]
+        at = pack(own >> 44, (own & 0xFFFFFFFF) + p, np.zeros(len(p), np.int64), np.ones(len(p), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), batch.column("doc_id").take(pa.array(of)), pa.array(at)], ["hash", "doc_id", "at"])
+
+
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Strings of contexts, sorted by key, that also start in a smaller document of their group."""
 
     def marked(docs: list[int], places: list[int], strings: list[bytes]) -> pa.RecordBatch:
         owners, at = np.array(docs, np.int64), np.array(places, np.int64)
         s, p = RunIndex(strings, owners).matched(owners) if strings else (np.zeros(0, np.int64),) * 2
-        order = np.lexsort((p, s))
-        s, p = s[order], p[order]
-        new = np.ones(len(s), bool)
-        new[1:] = (s[1:] != s[:-1]) | (p[1:] != p[:-1] + 1)
-        first = np.flatnonzero(new)
-        span = np.diff(np.append(first, len(s)))
-        own = at[s[first]]
-        lo = (own & 0xFFFFFFFF) + p[first]
-        return pa.RecordBatch.from_arrays([pa.array(owners[s[first]]), pa.array(pack(own >> 44, lo, np.zeros(len(lo), np.int64), span))], ["doc_id", "at"])
+        return _places(owners, at, s, p)
 
     chunk: tuple[list, list, list] = ([], [], [])
     group: tuple[list, list, list] = ([], [], [])
@@ -331,8 +360,14 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, carry: tuple[str, .
     rows = docs.where("doc_id is not null and octet_length(text) >= 50").mapInArrow(_deal, "anchor long, context long, doc long, at long")
     settled = written(rows.repartition("anchor").mapInArrow(_settle, "doc_id long, at long, open boolean"))
     asked = settled.where("open").groupBy("doc_id").agg(F.collect_list("at").alias("places"))
-    found = docs.join(asked, "doc_id").select("doc_id", "text", "places").mapInArrow(_fetch, "key long, doc_id long, from long, bytes binary")
-    marked = written(found.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_mark, "doc_id long, at long"))
-    gone = settled.where("not open").select("doc_id", "at").unionByName(marked).groupBy("doc_id").agg(F.collect_list("at").alias("places"))
+    found = written(docs.join(asked, "doc_id").select("doc_id", "text", "places").mapInArrow(_fetch, "key long, doc_id long, from long, bytes binary"))
+    large = found.groupBy("key").count().where(F.col("count") > GROUP).select("key")
+    small = found.join(large, "key", "left_anti").select("key", "doc_id", "from", "bytes")
+    marked = written(small.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_mark, "doc_id long, at long"))
+    strings = found.join(large, "key", "left_semi").select("doc_id", "from", "bytes").mapInArrow(_strings, "hash long, doc_id long, at long")
+    least = strings.groupBy("hash").agg(F.min("doc_id").alias("least"))
+    more = written(strings.join(least, "hash").where("doc_id > least").select("doc_id", "at"))
+    dropped(found)
+    gone = settled.where("not open").select("doc_id", "at").unionByName(marked).unionByName(more).groupBy("doc_id").agg(F.collect_list("at").alias("places"))
     schema = RESULT + (", kept string" if keep_text else "") + "".join(f", {c} {every.schema[c].dataType.simpleString()}" for c in carry)
     return every.join(gone, "doc_id", "left").select("doc_id", "text", "places", *carry).mapInArrow(_cut(keep_text, carry), schema)

@@ -43,6 +43,13 @@ def test_matches_brute_force(spark):
     assert sorted((tuple(r) for r in X.remove_repeats(df).collect()), key=str) == brute(rows)
 
 
+def test_large_groups_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(X, "GROUP", 3)
+    rows = corpus(2)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r) for r in X.remove_repeats(df).collect()), key=str) == brute(rows)
+
+
 def test_kept_text(spark):
     rows = [(1, "unique words only " * 1), (2, "a" * 60), (3, "b" + "a" * 60 + "c")]
     got = {r["doc_id"]: r["kept"] for r in X.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep_text=True).collect()}
