@@ -3,8 +3,11 @@
 A page is cut into leaf blocks in order; each is a vector of its hashed tag path, its
 hashed words and a few measures. A bidirectional LSTM (numpy) reads the whole sequence
 and classifies every block, so that a block is judged with the page around it. The model
-is trained on the driver from a bounded sample of pages, on labels that tag and class
-names give away, together with made-up pages of other layouts from the sample's words.
+is trained on the driver from a bounded sample of ``SAMPLE`` pages (whole, cut into runs of
+``RUN`` blocks), on labels that tag and class names give away, together with made-up pages
+of other layouts from the sample's words. From half of them all names are taken, and tags
+that name a part are made plain, before the model reads them: it then has to tell furniture
+by links, length, stops, place and neighbours, and so reads pages whose names say nothing.
 
 Defined cases: a null or empty page has an empty text; scripts, styles, forms, markup
 and comments are never blocks; white space of a block becomes one space; an unclosed
@@ -26,7 +29,9 @@ from pyspark.sql import functions as F
 
 #: Pages that the model is trained on, at most.
 SAMPLE = 400
-PATHS, WORDS, MEASURES, HIDDEN = 192, 64, 4, 24
+PATHS, WORDS, MEASURES, HIDDEN = 192, 64, 6, 24
+#: Blocks of a page that are read in training at once.
+RUN = 300
 
 #: Element names of HTML by their part in the page.
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -36,6 +41,8 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 #: Names in tags, classes and ids that tell furniture from content.
 FURNITURE = frozenset("nav menu header footer aside sidebar ad ads advert advertisement banner sponsor sponsored promo cookie cookies consent notice notification alert comment comments reply replies disqus share social related recommended subscribe newsletter breadcrumb breadcrumbs pagination pager widget popup modal login signup copyright legal toolbar masthead".split())
 CONTENT = frozenset("article main content story post entry body text".split())
+#: Elements that name a part of a page.
+PARTS = frozenset("nav header footer aside main article section menu".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>",
@@ -51,22 +58,23 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     out: list[tuple[str, tuple[str, ...], float]] = []
     parts: list[str] = []
-    links, at, path = 0, 0, ()
+    links, at, path, seen = 0, 0, (), False
 
     def flush() -> None:
-        nonlocal links, path
+        nonlocal links, seen
         text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
             out.append((text, path, min(1.0, links / max(1, len(text)))))
         parts.clear()
-        links = 0
+        links, seen = 0, False
 
     def say(raw: str) -> None:
-        nonlocal links, path
+        nonlocal links, path, seen
         if raw and not any(t in UNSEEN for t, _ in stack):
-            if not parts or not "".join(parts).strip():
+            if not seen:
                 path = tuple(n for t, names in stack if t not in INLINE or names for n in (t, *names))
             parts.append(raw)
+            seen = seen or not raw.isspace()
             if any(t == "a" for t, _ in stack):
                 links += len(raw.strip())
 
@@ -96,12 +104,26 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
                     stack.pop()
             if name not in VOID and not m[4].endswith("/"):
                 names = " ".join(next((g for g in found if g), "") for found in NAMES.findall(m[4])) if "=" in m[4] else ""
-                stack.append((name, tuple(re.findall(r"[a-z]+", names.lower())) if names else ()))
+                stack.append((name, told_names(names)))
     say(page[at:])
     flush()
     return out
 
 
+def told_names(names: str) -> tuple[str, ...]:
+    """The words of classes and ids; of a name of three words or more, which tells a topic rather than a part, only the last."""
+    out: list[str] = []
+    for name in names.lower().split():
+        words = re.findall(r"[a-z]+", name)
+        out += words if len(words) <= 2 else words[-1:]
+    return tuple(out)
+
+
+def nameless(path: tuple[str, ...]) -> tuple[str, ...]:
+    """A path as on a page whose names say nothing."""
+    return tuple(n for n in ("div" if n in PARTS else n for n in path) if n not in FURNITURE and n not in CONTENT or n == "body")
+
+
 def told(path: tuple[str, ...]) -> int:
     """1 if the names on a block's path say content, 0 if furniture."""
     return int(not FURNITURE & set(path))
@@ -128,7 +150,7 @@ def vectors(found: list[tuple[str, tuple[str, ...], float]]) -> np.ndarray:
         if words:
             x[i, PATHS : PATHS + WORDS] = np.bincount([slot(1, w, WORDS) for w in words], minlength=WORDS)
             x[i, PATHS : PATHS + WORDS] /= np.linalg.norm(x[i, PATHS : PATHS + WORDS])
-        x[i, -4:] = np.log1p(len(words)) / 5, links, float(text[-1:] in ".!?…"), (i + 1) / len(found)
+        x[i, -6:] = np.log1p(len(words)) / 5, links, float(text[-1:] in ".!?…"), (i + 1) / len(found), min(i, 20) / 20, float(any(c in text[:40] for c in "©®"))
     return x
 
 
@@ -147,7 +169,7 @@ class Labeller:
         for d in "fb":
             self.p |= {f"x{d}": make(n, 4 * HIDDEN), f"h{d}": make(HIDDEN, 4 * HIDDEN), f"c{d}": np.repeat(np.float32([0, 1, 0, 0]), HIDDEN)}
 
-    def _pass(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
+    def _pass(self, x: np.ndarray, mask: np.ndarray, d: str, traced: bool = False) -> tuple[np.ndarray, list]:
         b, t, _ = x.shape
         h = c = np.zeros((b, HIDDEN), np.float32)
         z_in = x @ self.p[f"x{d}"] + self.p[f"c{d}"]
@@ -159,18 +181,19 @@ class Labeller:
             m = mask[:, s, None]
             new = f * c + i * g
             tc = np.tanh(new)
-            trace.append((s, h, c, i, f, o, g, tc, m))
+            if traced:
+                trace.append((s, h, c, i, f, o, g, tc, m))
             c, h = m * new + (1 - m) * c, m * o * tc + (1 - m) * h
             out[:, s] = h
         return out, trace
 
-    def forward(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, tuple]:
-        (f, tf), (b, tb) = self._pass(x, mask, "f"), self._pass(x, mask, "b")
+    def forward(self, x: np.ndarray, mask: np.ndarray, traced: bool = False) -> tuple[np.ndarray, tuple]:
+        (f, tf), (b, tb) = self._pass(x, mask, "f", traced), self._pass(x, mask, "b", traced)
         both = np.concatenate([f, b], 2)
         return _sigmoid((both @ self.p["out"])[..., 0] + self.p["bias"]), (both, tf, tb)
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        p, (both, tf, tb) = self.forward(x, mask)
+        p, (both, tf, tb) = self.forward(x, mask, True)
         n = mask.sum()
         loss = -float((mask * (y * np.log(p + 1e-7) + (1 - y) * np.log(1 - p + 1e-7))).sum() / n)
         dz = (mask * (p - y) / n)[..., None].astype(np.float32)
@@ -191,7 +214,7 @@ class Labeller:
                 dh, dc = dz4 @ self.p[f"h{d}"].T + (1 - m) * dh, dn * f + (1 - m) * dc
         return loss, g
 
-    def train(self, pages: list[tuple[np.ndarray, np.ndarray]], rounds: int = 8, rate: float = 0.01, batch: int = 16, seed: int = 2) -> float:
+    def train(self, pages: list[tuple[np.ndarray, np.ndarray]], rounds: int = 7, rate: float = 0.01, batch: int = 16, seed: int = 2) -> float:
         """Adam over batches of pages of like length; the last round's mean loss."""
         rng, step = np.random.default_rng(seed), 0
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
@@ -229,8 +252,10 @@ def invented(words: list[str], count: int, seed: int = 3) -> list[str]:
     furniture, content = sorted(FURNITURE), sorted(CONTENT)
 
     def box(kind: str) -> str:
-        body = "".join(f"<li><a href='/'>{say(int(rng.integers(1, 4)))}</a></li>" for _ in range(rng.integers(1, 7)))
-        body = f"<ul>{body}</ul>" if rng.random() < 0.4 else "".join(f"<p>{say(int(rng.integers(2, 60)))}.</p>" for _ in range(rng.integers(1, 4)))
+        body = "".join(f"<li><a href='/'>{say(int(rng.integers(1, 4)))}</a></li>" for _ in range(rng.integers(2, 9)))
+        if kind in ("footer", "copyright", "legal") and rng.random() < 0.6:
+            body = f"<p>© {rng.integers(1990, 2030)} {say(int(rng.integers(1, 5)))}</p>"
+        body = body if body.startswith("<p>") else f"<ul>{body}</ul>" if rng.random() < (0.9 if kind in ("nav", "menu", "header", "breadcrumb", "sidebar", "related") else 0.4) else "".join(f"<p>{say(int(rng.integers(2, 60)))}.</p>" for _ in range(rng.integers(1, 4)))
         if kind in ("nav", "header", "footer", "aside") and rng.random() < 0.6:
             return f"<{kind}>{body}</{kind}>"
         tag = rng.choice(["div", "section", "ul", "aside"])
@@ -253,10 +278,16 @@ def invented(words: list[str], count: int, seed: int = 3) -> list[str]:
 def trained(pages: list[str]) -> Labeller:
     """A labeller from raw pages (a bounded sample) and as many invented ones."""
     found = [b for p in pages if (b := blocks(p))]
-    words = sorted({w for page in found for text, _, _ in page[:40] for w in text.split()[:20]})[:5000]
-    found += [b for p in invented(words, max(200, len(found))) if (b := blocks(p))]
-    model = Labeller()
-    model.train([(vectors(b), np.array([told(path) for _, path, _ in b], np.float32)) for b in (page[:300] for page in found)])
+    words = sorted({w for page in found for text, _, _ in page for w in text.split()})
+    words = words[:: max(1, len(words) // 5000)]
+    found = [page for page in found if not all(told(path) for _, path, _ in page)]  # a page without telling names has no labels
+    found += [b for p in invented(words, max(300, len(found) // 2)) if (b := blocks(p))]
+    runs = [page[i : i + RUN] for page in found for i in range(0, len(page), RUN)]
+    model, learned = Labeller(), []
+    for i, run in enumerate(runs):
+        read = [(text, nameless(path), links) for text, path, links in run] if i % 2 else run
+        learned.append((vectors(read), np.array([told(path) for _, path, _ in run], np.float32)))
+    model.train(learned, rounds=max(7, -(-5600 // max(1, len(learned)))))  # about as many steps for few pages as for many
     return model
 
 
@@ -291,5 +322,5 @@ def main_text(pages: DataFrame, model: Labeller, group: int = 64) -> DataFrame:
 
 def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Trains on at most ``sample`` pages, the first by a hash of the id, and reads all."""
-    rows = pages.where("html is not null and length(html) < 200000").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).select("html").collect()
+    rows = pages.where("html is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).select("html").collect()
     return main_text(pages, trained([r["html"] for r in rows]))
