@@ -40,6 +40,8 @@ SKETCH = 2048
 #: Buckets of more members than this are compared by sketches in blocks, smaller ones by a join.
 SMALL = 32
 BLOCK = 1024
+#: Rounds in which a class meets only the nearest of other components, before all that is left is compared.
+ROUNDS = 2
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -192,20 +194,25 @@ def _verified(k: int, percent: int):
     return run
 
 
-def _compared(percent: int):
-    """For the classes of a block pair of one large bucket, those of other components that sketches do not tell apart."""
+def _compared(percent: int, nearest: bool):
+    """For the classes of a block pair of one large bucket, those of other components that sketches do not tell apart, or the nearest."""
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         x = np.frombuffer(b"".join(group["sketch"]), U).reshape(len(group), -1)
-        size, cls, comp, block = (group[c].to_numpy() for c in ("n_shingles", "class", "component", "block"))
+        size, cls, comp, block, asks = (group[c].to_numpy() for c in ("n_shingles", "class", "component", "block", "asks"))
         one, two = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
         found = []
-        for i in one:
-            differ = np.bitwise_count(x[two] ^ x[i]).sum(1, dtype=np.int64)
-            hit = two[(differ * (100 + percent) <= (size[two] + size[i]) * (100 - percent)) & (comp[two] != comp[i])]
-            if len(hit):
-                found.append((cls[i], cls[hit]))
-        return pd.DataFrame(found, columns=["u", "near"])
+        for mine, others in ((one, two), (two, one)) if nearest and key[1] != key[2] else ((one, two),):
+            for i in mine[asks[mine]]:
+                differ = np.bitwise_count(x[others] ^ x[i]).sum(1, dtype=np.int64)
+                hit = (differ * (100 + percent) <= (size[others] + size[i]) * (100 - percent)) & (comp[others] != comp[i])
+                if hit.any():
+                    if nearest:
+                        best = np.flatnonzero(hit)[differ[hit].argmin()]
+                        found.append((cls[i], [cls[others[best]]], differ[best]))
+                    else:
+                        found.append((cls[i], cls[others[hit]], 0))
+        return pd.DataFrame(found, columns=["u", "near", "differ"])
 
     return run
 
@@ -243,26 +250,50 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     tried = written(best.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("u"), "v"))
     edges = written(verify(tried))
     group = written(components(edges))
-    # what shares a bucket and is in different components yet
-    placed = members.join(group.withColumnRenamed("node", "class"), "class", "left").select("key", "class", "need", "band", F.coalesce("component", "class").alias("component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size"))
-    left = written(placed.join(open_keys.where("a <> b").select("key", "size"), "key"))
+
+    def left_over() -> DataFrame:
+        """Members of buckets that hold several components yet, with the bucket's size."""
+        placed = members.join(group.withColumnRenamed("node", "class"), "class", "left").select("key", "class", "need", "band", F.coalesce("component", "class").alias("component"))
+        open_keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size"))
+        return written(placed.join(open_keys.where("a <> b").select("key", "size"), "key"))
+
+    def compared(many: DataFrame, nearest: bool) -> DataFrame:
+        """(u, near, differ) of large buckets, block against block; rows that ask are compared."""
+        who = many.select("class").distinct().join(classes.select("class", "rep"), "class").withColumnRenamed("rep", "doc_id")
+        who = who.join(sets.select("doc_id", "class", "n_shingles", "sketch"), ["doc_id", "class"]).dropDuplicates(["class"]).select("class", "n_shingles", "sketch")
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        rows = many.join(who, "class").withColumn("block", F.pmod(F.hash("class"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "component", "asks", "n_shingles", "sketch")
+        return rows.groupBy("key", "i", "j").applyInPandas(_compared(percent, nearest), "u long, near array<long>, differ long")
+
+    # what shares a large bucket and is in different components yet: first everybody with the nearest
+    # of other components in its largest bucket, a pair a class, which joins most of a group ...
+    left = left_over()
+    for _ in range(ROUNDS):
+        many = left.where(F.col("size") > SMALL)
+        chosen = many.groupBy("class").agg(F.max(F.struct("size", "key"))["key"].alias("key"), F.lit(True).alias("asks"))
+        many = many.join(chosen.select("key").distinct(), "key", "left_semi").join(chosen, ["key", "class"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+        best = compared(many, True).groupBy("u").agg(F.min(F.struct("differ", F.col("near")[0].alias("v")))["v"].alias("v"))
+        best = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        new = written(verify(best))
+        if new.isEmpty():
+            break
+        edges = edges.unionByName(new)
+        group = written(components(edges))
+        dropped(left)
+        left = left_over()
+    dropped(members)
+    # ... then all that is left: small buckets by a join, large ones by sketches
     few = left.where(F.col("size") <= SMALL)
     x = few.select("key", "band", F.col("class").alias("u"), F.col("component").alias("cu"), F.col("need").alias("nu"))
     y = few.select("key", F.col("class").alias("v"), F.col("component").alias("cv"), F.col("need").alias("nv"))
     rest = x.join(y, "key").where("u < v and cu <> cv").groupBy("u", "v", "band").agg(F.count("*").alias("n"), least_need)
-    many = left.where(F.col("size") > SMALL)
-    who = many.select("class").distinct().join(classes.select("class", "rep"), "class").withColumnRenamed("rep", "doc_id")
-    who = who.join(sets.select("doc_id", "class", "n_shingles", "sketch"), ["doc_id", "class"]).dropDuplicates(["class"]).select("class", "n_shingles", "sketch")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    many = many.join(who, "class").withColumn("block", F.pmod(F.hash("class"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    many = many.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "component", "n_shingles", "sketch")
-    alike = many.groupBy("key", "i", "j").applyInPandas(_compared(percent), "u long, near array<long>")
+    rest = written(rest.where("n >= need").select("u", "v").distinct())
+    alike = compared(left.where(F.col("size") > SMALL).withColumn("asks", F.lit(True)), False)
     alike = alike.groupBy("u").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")).select("u", F.explode("near").alias("v"))
-    alike = alike.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    rest = rest.where("n >= need").select("u", "v").unionByName(alike).distinct().join(tried, ["u", "v"], "left_anti")
-    more = written(verify(rest))
-    for done in (members, left, tried):
+    alike = written(alike.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    more = written(verify(rest.unionByName(alike).distinct().join(tried, ["u", "v"], "left_anti")))
+    for done in (left, tried, rest, alike):
         dropped(done)
     if not more.isEmpty():
         group = components(edges.unionByName(more))
