@@ -24,6 +24,7 @@ rows are repeated. An empty table gives an empty result. Other columns are ignor
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,8 @@ SKETCH = 2048
 #: Buckets of more members than this are compared by sketches in blocks, smaller ones by a join.
 SMALL = 32
 BLOCK = 1024
+#: Pairs that are judged at once: this many, or one to SHARE rows of the table.
+AT_ONCE, SHARE = 5_000, 16
 #: Rounds in which a class meets only the nearest of other components, before all that is left is compared.
 ROUNDS = 2
 
@@ -232,8 +235,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     shared = shared.where("first <> final and band >= 0").drop("final", "band")
     members = written(rows.join(shared.hint("shuffle_hash"), "key").select("key", "class", "need", "band", "first", "first_need"))
 
+    rows_in = sets.count()
+
     def verify(pairs: DataFrame) -> DataFrame:
-        """Pairs of classes (u, v) that link, judged on the texts of their first documents."""
+        """Pairs of classes (u, v) that link, written. Every pair brings both texts, so that no more
+        than a share of the table's rows are judged at once; their shuffle files go in between."""
+        pairs = written(pairs)
+        parts = max(1, -(-pairs.count() // max(AT_ONCE, rows_in // SHARE)))
+        part = F.pmod(F.xxhash64("u", "v"), F.lit(parts))
+        found = [written(judged(pairs.where(part == i) if parts > 1 else pairs)) for i in range(parts)]
+        dropped(pairs)
+        return reduce(DataFrame.unionByName, found)
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        """Those of some pairs that link, on the texts of their classes' first documents."""
         reps = classes.select("class", "rep")
         ids = pairs.join(reps.withColumnsRenamed({"class": "u", "rep": "rep_u"}), "u").join(reps.withColumnsRenamed({"class": "v", "rep": "rep_v"}), "v")
         one = docs.select(F.col("doc_id").alias("rep_v"), F.col("text").alias("text_v"))
@@ -248,7 +263,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     # of the first members that a class meets, the least and the one it shares most with: two pairs a class at most
     best = near.groupBy("v").agg(F.min("u").alias("a"), F.max(F.struct("n", "u"))["u"].alias("b"))
     tried = written(best.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("u"), "v"))
-    edges = written(verify(tried))
+    edges = verify(tried)
     group = written(components(edges))
 
     def left_over() -> DataFrame:
@@ -275,7 +290,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         many = many.join(chosen.select("key").distinct(), "key", "left_semi").join(chosen, ["key", "class"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
         best = compared(many, True).groupBy("u").agg(F.min(F.struct("differ", F.col("near")[0].alias("v")))["v"].alias("v"))
         best = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        new = written(verify(best))
+        new = verify(best)
         if new.isEmpty():
             break
         edges = edges.unionByName(new)
@@ -292,7 +307,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     alike = compared(left.where(F.col("size") > SMALL).withColumn("asks", F.lit(True)), False)
     alike = alike.groupBy("u").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")).select("u", F.explode("near").alias("v"))
     alike = written(alike.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    more = written(verify(rest.unionByName(alike).distinct().join(tried, ["u", "v"], "left_anti")))
+    more = verify(rest.unionByName(alike).distinct().join(tried, ["u", "v"], "left_anti"))
     for done in (left, tried, rest, alike):
         dropped(done)
     if not more.isEmpty():
