@@ -10,9 +10,11 @@ layouts by size band, and every candidate is verified on its exact sets.
 
 Exact at any size of bucket: every class of equal sets is first compared with two of the
 first members of its buckets (the least, and the one it shares most with), which settles
-copies in a number of pairs linear in the table; members that are then still in different
-components are compared with each other if they share as many pieces of a layout as a
-linked pair must: the smaller of the two sets' needs.
+copies in a number of pairs linear in the table. In buckets that hold several components
+then, the members outside of the bucket's largest component are compared with all others
+(of two members in different components, one at least is outside): first with the nearest,
+then with all that share as many pieces of a layout as a linked pair must (the smaller of
+the two sets' needs) or, in large buckets, whose sketches are near enough.
 
 Defined cases: a null, empty or blank text has no shingle and links with nothing; a text
 of fewer than ``k`` words is one shingle; equal sets are one class; sets are told apart by
@@ -40,9 +42,9 @@ REMEMBERED = 500_000
 SKETCH = 2048
 #: Buckets of more members than this are compared by sketches in blocks, smaller ones by a join.
 SMALL = 32
-BLOCK = 1024
+BLOCK = 2048
 #: Pairs that are judged at once: this many, or one to SHARE rows of the table.
-AT_ONCE, SHARE = 5_000, 16
+AT_ONCE, SHARE = 5_000, 4
 #: Rounds in which a class meets only the nearest of other components, before all that is left is compared.
 ROUNDS = 2
 
@@ -198,23 +200,21 @@ def _verified(k: int, percent: int):
 
 
 def _compared(percent: int, nearest: bool):
-    """For the classes of a block pair of one large bucket, those of other components that sketches do not tell apart, or the nearest."""
+    """For a block of asking classes and one of members of a large bucket: per class that asks, the
+    classes of other components that sketches do not tell apart, or the nearest of them."""
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def run(group: pd.DataFrame) -> pd.DataFrame:
         x = np.frombuffer(b"".join(group["sketch"]), U).reshape(len(group), -1)
-        size, cls, comp, block, asks = (group[c].to_numpy() for c in ("n_shingles", "class", "component", "block", "asks"))
-        one, two = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
+        size, cls, comp, asks = (group[c].to_numpy() for c in ("n_shingles", "class", "component", "asks"))
+        others = np.flatnonzero(~asks)
+        bits, sizes, comps, names = x[others], size[others], comp[others], cls[others]
         found = []
-        for mine, others in ((one, two), (two, one)) if nearest and key[1] != key[2] else ((one, two),):
-            for i in mine[asks[mine]]:
-                differ = np.bitwise_count(x[others] ^ x[i]).sum(1, dtype=np.int64)
-                hit = (differ * (100 + percent) <= (size[others] + size[i]) * (100 - percent)) & (comp[others] != comp[i])
-                if hit.any():
-                    if nearest:
-                        best = np.flatnonzero(hit)[differ[hit].argmin()]
-                        found.append((cls[i], [cls[others[best]]], differ[best]))
-                    else:
-                        found.append((cls[i], cls[others[hit]], 0))
+        for i in np.flatnonzero(asks):
+            differ = np.bitwise_count(bits ^ x[i]).sum(1, dtype=np.int64)
+            hit = np.flatnonzero((differ * (100 + percent) <= (sizes + size[i]) * (100 - percent)) & (comps != comp[i]))
+            if len(hit):
+                best = hit[differ[hit].argmin()]
+                found.append((cls[i], [names[best]] if nearest else names[hit], differ[best]))
         return pd.DataFrame(found, columns=["u", "near", "differ"])
 
     return run
@@ -240,6 +240,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     def verify(pairs: DataFrame) -> DataFrame:
         """Pairs of classes (u, v) that link, written. Every pair brings both texts, so that no more
         than a share of the table's rows are judged at once; their shuffle files go in between."""
+        reps = classes.select("class", "rep")
+        pairs = pairs.join(reps.withColumnsRenamed({"class": "u", "rep": "rep_u"}), "u").join(reps.withColumnsRenamed({"class": "v", "rep": "rep_v"}), "v")
         pairs = written(pairs)
         parts = max(1, -(-pairs.count() // max(AT_ONCE, rows_in // SHARE)))
         part = F.pmod(F.xxhash64("u", "v"), F.lit(parts))
@@ -248,12 +250,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         return reduce(DataFrame.unionByName, found)
 
     def judged(pairs: DataFrame) -> DataFrame:
-        """Those of some pairs that link, on the texts of their classes' first documents."""
-        reps = classes.select("class", "rep")
-        ids = pairs.join(reps.withColumnsRenamed({"class": "u", "rep": "rep_u"}), "u").join(reps.withColumnsRenamed({"class": "v", "rep": "rep_v"}), "v")
+        """Those of some pairs that link, on the texts of their classes' first documents; other texts are not shuffled."""
         one = docs.select(F.col("doc_id").alias("rep_v"), F.col("text").alias("text_v"))
-        two = docs.select(F.col("doc_id").alias("rep_u"), F.col("text").alias("text_u"))
-        both = ids.join(one, "rep_v").join(two, "rep_u")
+        two = docs.select(F.col("doc_id").alias("rep_u"), F.col("text").alias("text_u")).join(pairs.select("rep_u"), "rep_u", "left_semi")
+        both = pairs.join(one, "rep_v").join(two, "rep_u")
         return both.select("u", "v", "text_u", "text_v").mapInArrow(_verified(k, percent), "u long, v long").distinct()
 
     # linked sets share the smaller of their two needs in every layout that both are in
@@ -267,27 +267,32 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     group = written(components(edges))
 
     def left_over() -> DataFrame:
-        """Members of buckets that hold several components yet, with the bucket's size."""
+        """Members of buckets that hold several components yet, with the bucket's size; outside: not in its largest one."""
         placed = members.join(group.withColumnRenamed("node", "class"), "class", "left").select("key", "class", "need", "band", F.coalesce("component", "class").alias("component"))
-        open_keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size"))
-        return written(placed.join(open_keys.where("a <> b").select("key", "size"), "key"))
+        parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+        open_keys = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("size")).where(F.col("main.n") < F.col("size"))
+        found = placed.join(open_keys.select("key", "size", F.col("main.component").alias("main")), "key")
+        return written(found.withColumn("outside", F.col("component") != F.col("main")).drop("main"))
 
     def compared(many: DataFrame, nearest: bool) -> DataFrame:
-        """(u, near, differ) of large buckets, block against block; rows that ask are compared."""
+        """(u, near, differ) of the large buckets: blocks of the classes that ask against blocks of all members."""
         who = many.select("class").distinct().join(classes.select("class", "rep"), "class").withColumnRenamed("rep", "doc_id")
         who = who.join(sets.select("doc_id", "class", "n_shingles", "sketch"), ["doc_id", "class"]).dropDuplicates(["class"]).select("class", "n_shingles", "sketch")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        rows = many.join(who, "class").withColumn("block", F.pmod(F.hash("class"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "component", "asks", "n_shingles", "sketch")
-        return rows.groupBy("key", "i", "j").applyInPandas(_compared(percent, nearest), "u long, near array<long>, differ long")
-
-    # what shares a large bucket and is in different components yet: first everybody with the nearest
-    # of other components in its largest bucket, a pair a class, which joins most of a group ...
+        asking = many.groupBy("key").agg(F.count_if("asks").alias("asking"))
+        rows = many.join(asking.where("asking > 0"), "key").join(who, "class")
+        across, down = F.ceil(F.col("asking") / BLOCK).cast("int"), F.ceil(F.col("size") / BLOCK).cast("int")
+        columns = ("key", "class", "component", "n_shingles", "sketch")
+        one = rows.where("asks").select(*columns, F.lit(True).alias("asks"), F.pmod(F.hash("class"), across).alias("i"), F.explode(F.sequence(F.lit(0), down - 1)).alias("j"))
+        two = rows.select(*columns, F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), across - 1)).alias("i"), F.pmod(F.hash("class"), down).alias("j"))
+        return one.unionByName(two).groupBy("key", "i", "j").applyInPandas(_compared(percent, nearest), "u long, near array<long>, differ long")
+
+    # what shares a large bucket and is in different components yet: first every class outside of the
+    # main component with the nearest of others in its largest bucket, a pair a class, which joins most ...
     left = left_over()
     for _ in range(ROUNDS):
         many = left.where(F.col("size") > SMALL)
-        chosen = many.groupBy("class").agg(F.max(F.struct("size", "key"))["key"].alias("key"), F.lit(True).alias("asks"))
-        many = many.join(chosen.select("key").distinct(), "key", "left_semi").join(chosen, ["key", "class"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+        chosen = many.where("outside").groupBy("class").agg(F.max(F.struct("size", "key"))["key"].alias("key"), F.lit(True).alias("asks"))
+        many = many.join(chosen, ["key", "class"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
         best = compared(many, True).groupBy("u").agg(F.min(F.struct("differ", F.col("near")[0].alias("v")))["v"].alias("v"))
         best = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         new = verify(best)
@@ -300,12 +305,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     dropped(members)
     # ... then all that is left: small buckets by a join, large ones by sketches
     few = left.where(F.col("size") <= SMALL)
-    x = few.select("key", "band", F.col("class").alias("u"), F.col("component").alias("cu"), F.col("need").alias("nu"))
+    x = few.where("outside").select("key", "band", F.col("class").alias("u"), F.col("component").alias("cu"), F.col("need").alias("nu"))
     y = few.select("key", F.col("class").alias("v"), F.col("component").alias("cv"), F.col("need").alias("nv"))
-    rest = x.join(y, "key").where("u < v and cu <> cv").groupBy("u", "v", "band").agg(F.count("*").alias("n"), least_need)
+    # a pair may be outside of one bucket's main component as (u, v) and of another's as (v, u): keys are counted once
+    rest = x.join(y, "key").where("cu <> cv").select("key", "band", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "nu", "nv").dropDuplicates(["key", "band", "u", "v"])
+    rest = rest.groupBy("u", "v", "band").agg(F.count("*").alias("n"), least_need)
     rest = written(rest.where("n >= need").select("u", "v").distinct())
-    alike = compared(left.where(F.col("size") > SMALL).withColumn("asks", F.lit(True)), False)
-    alike = alike.groupBy("u").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")).select("u", F.explode("near").alias("v"))
+    alike = compared(left.where(F.col("size") > SMALL).withColumnRenamed("outside", "asks"), False).select("u", F.explode("near").alias("v"))
     alike = written(alike.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     more = verify(rest.unionByName(alike).distinct().join(tried, ["u", "v"], "left_anti"))
     for done in (left, tried, rest, alike):
