@@ -233,7 +233,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     # both sides read all four columns, so that one exchange serves both
     shared = rows.groupBy("key").agg(F.min("class").alias("first"), F.max("class").alias("final"), F.min_by("need", "class").alias("first_need"), F.max("band").alias("band"))
     shared = shared.where("first <> final and band >= 0").drop("final", "band")
-    members = written(rows.join(shared.hint("shuffle_hash"), "key").select("key", "class", "need", "band", "first", "first_need"))
+    members = written(rows.join(shared.hint("shuffle_hash"), "key").select("key", "class", "need", "band", "first", "first_need").dropDuplicates(["key", "class"]))
 
     rows_in = sets.count()
 
@@ -267,12 +267,25 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     group = written(components(edges))
 
     def left_over() -> DataFrame:
-        """Members of buckets that hold several components yet, with the bucket's size; outside: not in its largest one."""
+        """Members of buckets that hold several components yet, with the bucket's size; outside: not in its largest one.
+
+        A linked pair of different components shares the smaller of its needs in such buckets of one band.
+        A member that is in fewer of them than its own need and the least of its bucket links with nobody there.
+        """
         placed = members.join(group.withColumnRenamed("node", "class"), "class", "left").select("key", "class", "need", "band", F.coalesce("component", "class").alias("component"))
+        found = written(several(placed))
+        often = found.groupBy("class", "band").agg(F.count("*").alias("open"))
+        least = found.groupBy("key").agg(F.min("need").alias("least"))
+        able = found.join(often, ["class", "band"]).join(least, "key").where(F.col("open") >= F.least("need", "least"))
+        left = written(several(able.select("key", "class", "need", "band", "component")))
+        dropped(found)
+        return left
+
+    def several(placed: DataFrame) -> DataFrame:
         parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
         open_keys = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("size")).where(F.col("main.n") < F.col("size"))
         found = placed.join(open_keys.select("key", "size", F.col("main.component").alias("main")), "key")
-        return written(found.withColumn("outside", F.col("component") != F.col("main")).drop("main"))
+        return found.withColumn("outside", F.col("component") != F.col("main")).drop("main")
 
     def compared(many: DataFrame, nearest: bool) -> DataFrame:
         """(u, near, differ) of the large buckets: blocks of the classes that ask against blocks of all members."""
@@ -292,7 +305,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     for _ in range(ROUNDS):
         many = left.where(F.col("size") > SMALL)
         chosen = many.where("outside").groupBy("class").agg(F.max(F.struct("size", "key"))["key"].alias("key"), F.lit(True).alias("asks"))
-        many = many.join(chosen, ["key", "class"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+        many = many.join(chosen.select("key").distinct(), "key", "left_semi").join(chosen, ["key", "class"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
         best = compared(many, True).groupBy("u").agg(F.min(F.struct("differ", F.col("near")[0].alias("v")))["v"].alias("v"))
         best = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         new = verify(best)
