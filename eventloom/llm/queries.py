@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import attentionlm, chat, htmlblocks, hypervector, packing, paritysketch, runindex, templates, vectorgraph, warc
+from eventloom.llm import attentionlm, centroids, chat, grouping, htmlblocks, hypervector, lexical, packing, paritysketch, runindex, templates, vectorgraph, warc
 from eventloom.llm.subwords import VOCABULARY
 
 
@@ -71,6 +71,18 @@ def op10_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runindex.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouping.pack(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op12_heap_merge_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op13_interval_screened_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_sequential": op1_warc_sequential,
     "op2_hyperdimensional_langid": op2_hyperdimensional_langid,
@@ -82,8 +94,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_template_decontamination": op8_template_decontamination,
     "op9_parity_sketch_join": op9_parity_sketch_join,
     "op10_run_length_index": op10_run_length_index,
+    "op11_linear_grouping": op11_linear_grouping,
+    "op12_heap_merge_search": op12_heap_merge_search,
+    "op13_interval_screened_clusters": op13_interval_screened_clusters,
 }
 
+def _clusters_sql(centroids: int = 16, rounds: int = 3, dims: int = 64) -> str:
+    """The rounds one after another: every vector against every centroid, component by component."""
+    steps = [
+        f"""k as (select vec_id, row_number() over () as row, embedding as e from embeddings
+            where len(embedding) = {dims} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {dims}),
+        v as (select vec_id, row, i, cast(floor({dims} * cast(e[i] as double)) as bigint) as x from k, range(1, {dims} + 1) r(i)),
+        c0 as (select c, i, x from v join (select row as r, row_number() over (order by sha256('1:' || vec_id)) - 1 as c from k) on row = r where c < {centroids})"""
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"""d{n} as (select vec_id, row, c, cast(sum((v.x - c{n}.x) * (v.x - c{n}.x)) as bigint) as distance from v join c{n} using (i) group by all),
+        a{n} as (select vec_id, row, c, distance from d{n} qualify row_number() over (partition by row order by distance, c) = 1)""")
+        if n < rounds:
+            steps.append(f"""m{n} as (select c, i, cast(sum(x) as bigint) as s, count(*) as n from v join a{n} using (row) group by c, i),
+        c{n + 1} as (select c{n}.c, c{n}.i, case when n is null then c{n}.x else (s - ((s % n + n) % n)) // n end as x from c{n} left join m{n} on m{n}.c = c{n}.c and m{n}.i = c{n}.i)""")
+    return f"""
+        with {", ".join(steps)},
+        h as (select c, sha256(string_agg(cast(x as varchar), ',' order by i)) as centroid_sha256 from c{rounds} group by c)
+        select vec_id, c::int as cluster, distance, cast(sum(distance) over (partition by c) as bigint) as cluster_inertia, cast(sum(distance) over () as bigint) as inertia, centroid_sha256
+        from a{rounds} join h using (c)"""
+
+
 ORACLES: dict[str, str] = {
     "op1_warc_sequential": """
         with p as (select page_id, coalesce(html, '') as body from pages),
@@ -92,4 +128,18 @@ ORACLES: dict[str, str] = {
             case when first is null or page_id is not distinct from first then 'response' else 'revisit' end as record_type,
             case when page_id is distinct from first then first end as refers_to
         from p left join g on p.body = g.body""",
+    "op12_heap_merge_search": r"""
+        with t as (select row_number() over () as row, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+        q as (select item_id, term, count(*) as times from (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark) group by all),
+        d as (select row, doc_id, count(*) as n from t group by all),
+        a as (select count(*) as big_n, cast(sum(n) as bigint) as big_l from d),
+        p as (select row, term, count(*) as tf from t where term in (select term from q) group by all),
+        w as (select term, cast(floor(1000 * ln((2 * big_n + 2)::double / (2 * count(*) + 1)::double)) as bigint) as w from p, a group by term, big_n),
+        g as (select item_id, d.doc_id, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l)))) as bigint) as score
+            from q join p using (term) join w using (term) join d using (row), a group by item_id, row, d.doc_id)
+        select item_id, rank::int as rank, doc_id, score
+        from (select *, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank from g where score > 0) where rank <= 10""",
+    "op13_interval_screened_clusters": _clusters_sql(),
 }
