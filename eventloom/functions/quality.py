@@ -106,9 +106,19 @@ def same_place(place: Column, address: Column, place2: Column, address2: Column)
     return (bare(place) == bare(place2)) & (bare(address) == bare(address2))
 
 
-def removed(field: str, text: Column) -> Column:
-    """Whether the source says that a field is gone."""
-    return F.coalesce(text.rlike(REMOVALS[field]), F.lit(False)) if field in REMOVALS else F.lit(False)
+#: Columns in whose text a source says that a field is gone.
+SAYS = ("title", "notes", "time", "place", "deadline", "ageRequirement")
+
+
+def said(row: dict[str, Column]) -> Column:
+    """The text of a row in which a removal may be said."""
+    return F.concat_ws("\n", *[row[c] for c in SAYS if c in row])
+
+
+def removed(field: str, text: Column, state: Column | None = None) -> Column:
+    """Whether the source says that a field is gone, in its words or by a map of field states."""
+    stated = F.lit(False) if state is None else F.coalesce(F.try_element_at(state, F.lit(field)) == "removed", F.lit(False))
+    return stated | (F.coalesce(text.rlike(REMOVALS[field]), F.lit(False)) if field in REMOVALS else F.lit(False))
 
 
 def loss_reason(same: Column, cancelled: Column, explicit: Column, moved: Column, changed: Column) -> Column:

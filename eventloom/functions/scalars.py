@@ -14,6 +14,8 @@ HALF = "".join(chr(c - 0xFEE0) for c in map(ord, FULL))
 HIRAGANA = "".join(chr(c) for c in range(0x3041, 0x3097))
 KATAKANA = "".join(chr(c + 0x60) for c in map(ord, HIRAGANA))
 SPACE = r"[\s　 ]+"
+#: A character of white space as browsers count it.
+WHITE = r"[\s\x0b\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 # Query parameters that only track.
 TRACKING = "utm_source utm_medium utm_campaign utm_term utm_content fbclid gclid ref".split()
 
@@ -96,17 +98,20 @@ def short_hash(c: Column) -> Column:
 
 
 def clean_field(c: Column, most: int) -> Column:
-    """Without control, zero-width and direction characters; angle brackets widened; cut."""
-    t = F.regexp_replace(c, "[\\x00-\\x1f\\x7f​-‏‪-‮⁦-⁩﻿]", "")
-    return F.substring(F.trim(F.translate(t, "<>", "＜＞")), 1, most)
+    """Without control, zero-width and direction characters; line breaks and runs of white space are one blank; angle brackets widened; cut."""
+    t = F.regexp_replace(c, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f\\u200b-\\u200f\\u202a-\\u202e\\u2066-\\u2069\\ufeff]", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"[\r\n\t]+", " "), WHITE + "{2,}", " ")
+    t = F.regexp_replace(t, f"^{WHITE}+|{WHITE}+$", "")
+    return F.substring(F.translate(t, "<>", "＜＞"), 1, most)
 
 
 def mask_contact(c: Column) -> Column:
-    """An address keeps its first character and host, other texts their last two characters."""
-    name, host = F.substring_index(c, "@", 1), F.substring_index(c, "@", -1)
-    mail = F.concat(F.substring(name, 1, 1), F.repeat(F.lit("*"), F.greatest(F.lit(1), F.char_length(name) - 1)), F.lit("@"), host)
-    other = F.concat(F.repeat(F.lit("*"), F.greatest(F.lit(0), F.char_length(c) - 2)), F.right(c, F.lit(2)))
-    return F.when(c.contains("@"), mail).otherwise(other)
+    """A mail address keeps two characters and its host, another text two at each end; up to four characters are all stars."""
+    t = F.regexp_replace(F.coalesce(c, F.lit("")), f"^{WHITE}+|{WHITE}+$", "")
+    size, at = F.char_length(t), F.instr(t, "@")
+    mail = F.concat(F.left(t, F.least(F.lit(2), at - 1)), F.repeat(F.lit("*"), F.greatest(F.lit(1), at - 3)), F.substr(t, at))
+    other = F.concat(F.left(t, F.lit(2)), F.repeat(F.lit("*"), size - 4), F.right(t, F.lit(2)))
+    return F.when(at > 1, mail).when(size <= 4, F.repeat(F.lit("*"), size)).otherwise(other)
 
 
 def escape_html(c: Column) -> Column:
@@ -125,15 +130,17 @@ def safe_cell(c: Column) -> Column:
 
 
 def repeated_phrase(c: Column, least: int = 6, most: int = 12) -> Column:
-    return c.rlike(rf"(.{{{least},{most}}}).*\1")
+    """Whether a phrase of that many characters comes twice; white space does not count."""
+    return F.regexp_replace(c, f"{WHITE}+", "").rlike(rf"(?s)(.{{{least},{most}}}).*\1")
 
 
-def degraded(before: Column, now: Column) -> Column:
-    """Whether ``now`` is ``before`` without one or two characters of its middle."""
-    gap = F.char_length(before) - F.char_length(now)
-    ends = (F.left(before, F.lit(1)) == F.left(now, F.lit(1))) & (F.right(before, F.lit(1)) == F.right(now, F.lit(1)))
-    cut = before.startswith(now) | before.endswith(now)
-    return gap.between(1, 2) & (F.levenshtein(before, now) == gap) & ends & ~cut
+def degraded(before: Column, now: Column, least: int = 4) -> Column:
+    """Whether ``now`` is ``before`` without one or two characters of its middle; white space does not count, short texts never do."""
+    a, b = (F.regexp_replace(F.coalesce(x, F.lit("")), f"{WHITE}+", "") for x in (before, now))
+    gap = F.char_length(a) - F.char_length(b)
+    ends = (F.left(a, F.lit(1)) == F.left(b, F.lit(1))) & (F.right(a, F.lit(1)) == F.right(b, F.lit(1)))
+    cut = a.startswith(b) | a.endswith(b)
+    return (F.char_length(a) >= least) & (b != "") & gap.between(1, 2) & (F.levenshtein(a, b) == gap) & ends & ~cut
 
 
 def names_label(names: Column, shown: int) -> Column:

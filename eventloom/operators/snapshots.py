@@ -10,22 +10,21 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import quality as Q
 from eventloom.functions.scalars import compare_url, dedup_key, degraded
+from eventloom.operators.containment import like_keys
 from eventloom.operators.windows import first_by
 
 # From how many rows on a partition's loss is told, and how much of them may go.
 ZERO_FROM, SHARP_FROM, SHARP, WARN_FROM, WARN = 2, 5, 0.4, 3, 0.7
 MISSING_FROM, MISSING_SHARE, STALE_RUNS = 3, 0.3, 9
+CARRIED = ("time", "address", "deadline", "ageRequirement", "place", "notes", "deadlineDate")
 
 
-def like_titles(a: Column, b: Column, least: int = 3) -> Column:
-    """Equal keys, or one within the other; keys of fewer characters are like none."""
-    x, y = dedup_key(F.coalesce(a, F.lit(""))), dedup_key(F.coalesce(b, F.lit("")))
-    return (F.char_length(x) >= least) & (F.char_length(y) >= least) & (x.contains(y) | y.contains(x))
+def title_key(c: Column) -> Column:
+    return dedup_key(F.coalesce(c, F.lit("")))
 
 
-def like_places(a: Column, b: Column) -> Column:
-    """Places that do not contradict: one unknown, or one within the other."""
-    x, y = dedup_key(F.coalesce(a, F.lit(""))), dedup_key(F.coalesce(b, F.lit("")))
+def like_places(x: Column, y: Column) -> Column:
+    """Keys of places that do not contradict: one unknown, or one within the other."""
     return (x == "") | (y == "") | x.contains(y) | y.contains(x)
 
 
@@ -39,15 +38,16 @@ def field_losses(before: DataFrame, now: DataFrame, fields: Sequence[str], today
     both = _pair(before, now, "id")
     old, new = ({c: F.col(p + c) for c in now.columns} for p in ("_", ""))
     live = [~Q.ended(r["endDate"], r["date"], F.lit(today)) for r in (old, new)]
-    text = F.concat_ws("\n", *[new[c] for c in ("title", "notes", "time", "place", "deadline") if c in new])
     cancelled = Q.cancelled_row(new["status"], new["title"], new["notes"], new["place"])
+    tests = {"_same": Q.same_event(old, new), "_cancelled": cancelled, "_said": Q.said(new)}  # once per row, before the fields
+    both = both.where(live[0] & live[1]).withColumns(tests)
     out = []
     for f in fields:
         changed = ~Q.blank(new["deadline"]) if f == "deadlineDate" else F.lit(False)
-        reason = Q.loss_reason(Q.same_event(old, new), cancelled, Q.removed(f, text), F.lit(False), changed)
+        reason = Q.loss_reason(F.col("_same"), F.col("_cancelled"), Q.removed(f, F.col("_said"), new.get("fieldState")), F.lit(False), changed)
         out.append(F.when(~Q.blank(old[f]) & Q.blank(new[f]), F.struct(F.lit(f).alias("field"), reason.alias("reason"))))
     lost = F.explode(F.filter(F.array(*out), lambda x: x.isNotNull())).alias("x")
-    return both.where(live[0] & live[1]).select("id", lost).select("id", "x.field", "x.reason")
+    return both.select("id", lost).select("id", "x.field", "x.reason")
 
 
 def carried(before: DataFrame, now: DataFrame, today: str) -> DataFrame:
@@ -56,27 +56,40 @@ def carried(before: DataFrame, now: DataFrame, today: str) -> DataFrame:
     new = {c: F.col(c) for c in now.columns}
     old = {c: F.col(f"_{c}") for c in before.columns if c != "id"} | {"id": F.col("id")}
     open_ = Q.same_event(old, new) & ~Q.ended(new["endDate"], new["date"], F.lit(today)) & ~Q.cancelled_row(new["status"], new["title"], new["notes"], new["place"])
-    text = F.concat_ws("\n", *[new[c] for c in ("title", "notes", "time", "place", "deadline")])
-    takes = {f: open_ & ~Q.blank(old[f]) & Q.blank(new[f]) & ~Q.removed(f, text) for f in ("time", "address", "deadline")}
     worse = ~Q.blank(new["place"]) & F.coalesce(degraded(old["place"], new["place"]), F.lit(False))
-    takes["place"] = open_ & ~Q.blank(old["place"]) & ((Q.blank(new["place"]) & ~Q.removed("place", text)) | worse)
-    takes["notes"] = open_ & ~Q.blank(old["notes"]) & Q.blank(new["notes"])
-    takes["deadlineDate"] = takes["deadline"] & ~Q.blank(old["deadlineDate"]) & Q.blank(new["deadlineDate"])
-    names = F.filter(F.array(*[F.when(t, F.lit(f)) for f, t in takes.items()]), lambda x: x.isNotNull())
-    return both.select(*[F.when(takes[c], old[c]).otherwise(new[c]).alias(c) if c in takes else new[c].alias(c) for c in now.columns], names.alias("carried"))
+    tests = {"_open": open_, "_said": Q.said(new), "_worse": worse} | {f"_had_{f}": ~Q.blank(old[f]) for f in CARRIED if f in old} | {f"_none_{f}": Q.blank(new[f]) for f in CARRIED if f in old}
+    both = both.withColumns(tests)  # each test once per row; the fields below only combine them
+    had, none, gone = (lambda f: F.col(f"_had_{f}")), (lambda f: F.col(f"_none_{f}")), (lambda f: Q.removed(f, F.col("_said"), new.get("fieldState")))
+    takes = {f: F.col("_open") & had(f) & none(f) & ~gone(f) for f in ("time", "address", "deadline", "ageRequirement") if f in old}
+    takes["place"] = F.col("_open") & had("place") & ((none("place") & ~gone("place")) | F.col("_worse"))
+    takes["notes"] = F.col("_open") & had("notes") & none("notes")
+    takes["deadlineDate"] = takes["deadline"] & had("deadlineDate") & none("deadlineDate")
+    both = both.withColumns({f"_take_{f}": t for f, t in takes.items()})
+    names = F.filter(F.array(*[F.when(F.col(f"_take_{f}"), F.lit(f)) for f in takes]), lambda x: x.isNotNull())
+    return both.select(*[F.when(F.col(f"_take_{c}"), old[c]).otherwise(new[c]).alias(c) if c in takes else new[c].alias(c) for c in now.columns], names.alias("carried"))
+
+
+def _keyed(rows: DataFrame, block: Sequence[str], title: str) -> DataFrame:
+    """The distinct (block, title) with the title's key: made once per text, after the shuffle that finds them."""
+    return rows.select(*block, title).distinct().withColumn("_key", title_key(F.col(title)))
 
 
 def merged_into(gone: DataFrame, now: DataFrame, block: Sequence[str], title: str) -> DataFrame:
-    """Rows of ``gone`` that ``now`` has under another id: a like title in the same block."""
-    other = now.select(*[F.col(c).alias(f"_{c}") for c in block], F.col(title).alias("_title")).distinct()
-    same = reduce(lambda a, c: a & (F.col(c) == F.col(f"_{c}")), block[1:], F.col(block[0]) == F.col(f"_{block[0]}"))
-    return gone.join(other, same & like_titles(F.col(title), F.col("_title")), "left_semi")
+    """Rows of ``gone`` that ``now`` has under another id: a like title in the same block, found through the index of grams."""
+    keyed = _keyed(gone, block, title)
+    found = like_keys(keyed, _keyed(now, block, title), block, "_key").select(*block, "_key").distinct()
+    return gone.join(keyed.join(found, [*block, "_key"], "left_semi").select(*block, title), [*block, title], "left_semi").select(*gone.columns)
 
 
 def twins(a: DataFrame, b: DataFrame) -> DataFrame:
     """(id, twin): rows (id, date, title, place) of the same day with like titles and places that do not contradict."""
-    other = b.select(F.col("id").alias("twin"), "date", F.col("title").alias("_title"), F.col("place").alias("_place"))
-    return a.join(other, "date").where(like_titles(F.col("title"), F.col("_title")) & like_places(F.col("place"), F.col("_place"))).select("id", "twin")
+    keys = [_keyed(x, ["date"], "title") for x in (a, b)]
+    pairs = like_keys(*keys, ["date"], "_key")
+    titles = keys[0].join(pairs, ["date", "_key"]).select("date", "title", "other").join(keys[1].select("date", F.col("title").alias("_title"), F.col("_key").alias("other")), ["date", "other"])
+    mine = a.select("id", "date", "title", title_key(F.col("place")).alias("_place"))
+    theirs = b.select(F.col("id").alias("twin"), "date", F.col("title").alias("_title"), title_key(F.col("place")).alias("_at"))
+    both = mine.join(titles.select("date", "title", "_title"), ["date", "title"]).join(theirs, ["date", "_title"])
+    return both.where(like_places(F.col("_place"), F.col("_at"))).select("id", "twin")
 
 
 def filled(rows: DataFrame, other: DataFrame, pairs: DataFrame, fields: Sequence[str]) -> DataFrame:

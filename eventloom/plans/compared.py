@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import quality as Q
 from eventloom.functions import scalars as S
+from eventloom.operators import containment as C
 from eventloom.operators import entities as E
 from eventloom.operators import layouts as L
 from eventloom.operators import snapshots as N
@@ -287,3 +288,37 @@ def unique_collisions(spark, sf):
 @query("""select p_partkey, (row_number() over (order by p_partkey) - 1 - (3 * 17) % 23 + 2300) % 23 as turn from part""")
 def rotated_parts(spark, sf):
     return W.rotated(table(spark, sf, "part"), ["p_partkey"], 3, 23).select("p_partkey", F.col("turn").cast("long").alias("turn"))
+
+
+#: Names of parts in kana, and orders' titles that hold one: after a letter of a longer name, after a word that ends, before the festival.
+KANA = "アイウエオカキクコサシスセソタチツテトナニヌネノハ"
+PART_NAMES = f"(select distinct translate(replace(p_name, ' ', ''), 'abcdefghijklmnopqrstuvwxyz', '{KANA}') as stem from part)"
+
+
+@query(f"""with n as (select stem || '基地' as name, stem from {PART_NAMES}),
+    p as (select p_partkey, translate(replace(p_name, ' ', ''), 'abcdefghijklmnopqrstuvwxyz', '{KANA}') as stem from part),
+    o as (select o_orderkey, case o_orderkey % 5 when 0 then '北' when 1 then '航空自衛隊' when 2 then 'A' else '' end || stem || case when o_orderkey % 5 = 3 then '航空祭' when o_orderkey % 7 = 0 then '' else '基地' end || o_orderkey as t from orders join p on p_partkey = o_orderkey % (select count(*) from part)),
+    h as (select o_orderkey, name, 1 as r from o join n on contains(t, name) where not regexp_matches(left(t, instr(t, name) - 1), '[一-龥ぁ-んァ-ヶ]$') or regexp_matches(left(t, instr(t, name) - 1), '(自衛隊|空自|陸自|海自|航空|海上|陸上|・)$')
+        union all select o_orderkey, name, 0 from o join n on contains(t, stem || '航空祭')),
+    b as (select *, row_number() over (partition by o_orderkey order by r desc, length(name) desc, name desc) as i from h)
+    select o.o_orderkey, b.name from o left join b on b.o_orderkey = o.o_orderkey and b.i = 1""")
+def named_facilities(spark, sf):
+    stem = F.translate(F.replace("p_name", F.lit(" "), F.lit("")), "abcdefghijklmnopqrstuvwxyz", KANA)
+    part = table(spark, sf, "part").select("p_partkey", stem.alias("stem"))
+    k, size = F.col("o_orderkey"), part.agg(F.count("*").alias("size"))
+    head = F.when(k % 5 == 0, "北").when(k % 5 == 1, "航空自衛隊").when(k % 5 == 2, "A").otherwise("")
+    tail = F.when(k % 5 == 3, "航空祭").when(k % 7 == 0, "").otherwise("基地")
+    orders = table(spark, sf, "orders").join(F.broadcast(size)).select("o_orderkey", (k % F.col("size")).alias("p_partkey")).join(part, "p_partkey")
+    texts = orders.select("o_orderkey", F.concat(head, F.left("stem", F.lit(2)), F.lit(" "), F.substr("stem", F.lit(3)), tail, k.cast("string")).alias("t"))
+    return C.longest_name(texts, part.select(F.concat("stem", F.lit("基地")).alias("name")), "o_orderkey", "t", "name")
+
+
+@query("""with w as (select doc_id, regexp_replace(text, '[\\s　]+', '', 'g') as t from documents where text is not null), n as (select distinct replace(substr(t, 1 + doc_id % 50, 12 + doc_id % 9), 'ケ', 'ヶ') as name from w where doc_id % 25 = 0 and length(t) >= 80),
+    h as (select doc_id, name, row_number() over (partition by doc_id order by length(name) desc, name desc) as i from w join n on contains(w.t, name) where not regexp_matches(left(w.t, instr(w.t, name) - 1), '[一-龥ぁ-んァ-ヶ]$'))
+    select doc_id, name from documents left join h using (doc_id) where i = 1 or i is null""".replace("\\\\", "\\"))
+def longest_passages(spark, sf):
+    """Passages of a document in 25, cut from anywhere near its start, looked for in all documents without their blanks."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    t = F.regexp_replace("text", r"[\s　]+", "")
+    names = d.where("doc_id % 25 = 0").where(F.char_length(t) >= 80).select(F.substr(t, (1 + F.col("doc_id") % 50).cast("int"), (12 + F.col("doc_id") % 9).cast("int")).alias("name"))
+    return C.longest_name(d, names, "doc_id", "text", "name")
