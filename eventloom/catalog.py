@@ -1,8 +1,8 @@
 """Every registered query of the library's own operators, with its SQL."""
 
-from eventloom.plans import cases, compared, reports
+from eventloom.plans import cases, compared, lifecycle, reports
 
 FLAGSHIP = "trailing_views"
-QUERIES = reports.QUERIES | compared.QUERIES | cases.QUERIES
-ORACLES = reports.ORACLES | compared.ORACLES | cases.ORACLES
+QUERIES = reports.QUERIES | compared.QUERIES | lifecycle.QUERIES | cases.QUERIES
+ORACLES = reports.ORACLES | compared.ORACLES | lifecycle.ORACLES | cases.ORACLES
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
