@@ -18,7 +18,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", list(ORACLES))
 def test_same_rows_as_sql(spark, duck, name):
     got = QUERIES[name](spark, SF)
     cur = duck.execute(ORACLES[name])
