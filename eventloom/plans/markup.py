@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.sources import trees as T
+from eventloom.sources.shelf import Shelf, scratch
 from eventloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -22,6 +23,11 @@ def query(sql: str | None):
     return add
 
 
+def cut(spark):
+    """Writes elements to a folder that driver and executors share, and reads them again."""
+    return lambda df: Shelf(spark, scratch(spark)).write("v1", "elements", df)
+
+
 def lines(spark, sf: str) -> DataFrame:
     """Per order its lines in a list that is sorted; an order has a handful."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"))
@@ -38,7 +44,7 @@ def table_roles(spark, sf):
     """A table per order: a title across all columns, headings with blanks, a venue that reaches down over all rows."""
     row = lambda x, i: F.concat(F.lit("<tr><td>"), x["day"], F.lit("<td><b>説明会</b> "), text(x["l_partkey"]), F.when(i == 0, F.concat(F.lit('<td rowspan="'), text(F.size("x")), F.lit('">会場'), text(F.col("l_orderkey") % 7))).otherwise(""))
     html = F.concat(F.lit('<html><body><table><tr><th colspan="3">予定</th></tr><tr><th>月 日</th><th>行事</th><th>場　所</th></tr>'), F.array_join(F.transform("x", row), ""), F.lit("</table><p>終"))
-    nodes, texts = T.elements(lines(spark, sf).select("l_orderkey", html.alias("html")), "l_orderkey", "html")
+    nodes, texts = T.elements(lines(spark, sf).select("l_orderkey", html.alias("html")), "l_orderkey", "html", cut(spark))
     return T.with_roles(T.grid(nodes, texts)).select("id", "row", "role", "text")
 
 
@@ -53,7 +59,7 @@ def link_boxes(spark, sf):
         return F.concat(F.lit("<section id=s"), text(F.col("l_orderkey")), F.lit("-"), text(i + 1), F.lit(">"), head, deep, F.lit("</section>"))
 
     html = F.concat(F.lit("<body><h1>頁</h1><article id='o"), text(F.col("l_orderkey")), F.lit("'><h2>注文</h2>"), F.array_join(F.transform("x", section), ""), F.lit("</article>"))
-    nodes, texts = T.elements(lines(spark, sf).select("l_orderkey", html.alias("html")), "l_orderkey", "html")
+    nodes, texts = T.elements(lines(spark, sf).select("l_orderkey", html.alias("html")), "l_orderkey", "html", cut(spark))
     return boxes(nodes, texts)
 
 
@@ -70,5 +76,5 @@ def boxes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 @query(None)
 def paragraph_boxes(spark, sf):
     """For every paragraph of the given pages its nearest box with a heading; SQL cannot cut pages into elements, a test walks up from each."""
-    nodes, texts = T.elements(table(spark, sf, "pages").select("page_id", "html"), "page_id", "html")
+    nodes, texts = T.elements(table(spark, sf, "pages").select("page_id", "html"), "page_id", "html", cut(spark))
     return T.nearest_box(nodes, texts, F.col("tag") == "p", F.col("tag").isin(*T.HEADINGS), F.col("n") >= 1).select(F.col("id").alias("page_id"), "target", "box", "tag", "level")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: How far up a nearest box is looked for, and how deep elements nest at most (deeper ones become children of the last).
 LEVELS, DEEPEST = 8, 512
+#: Elements sent on at once: bounds a task's memory, not the result.
+MANY = 20_000
 NODE = "pre int, last int, depth int, parent int, tag string, attrs map<string,string>, begin int, end int, above array<int>, row int, table int"
 # Fixed values of the HTML standard: elements without content, elements whose content is text, and what an opening tag ends.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -88,12 +90,13 @@ def _elements(page: str) -> tuple[list[list], str]:
     return out, "".join(text)
 
 
-def elements(pages: DataFrame, id_: str, html: str) -> tuple[DataFrame, DataFrame]:
+def elements(pages: DataFrame, id_: str, html: str, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """((id, NODE), (id, text)): the elements of every page and its whole text; a null page has none.
 
     ``pre`` numbers elements in order from 0, those of a subtree are pre..last; begin..end is its
     part of the text; ``above`` are its nearest LEVELS ancestors, the parent first; ``row`` and
-    ``table`` the nearest tr and table around it. Rows of one id must be one.
+    ``table`` the nearest tr and table around it. Rows of one id must be one. ``cut`` may write the
+    elements and read them again, so that pages are not cut into elements for each use.
     """
     own = pages.select(F.col(id_).alias("id"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     kind = own.schema["id"].dataType.simpleString()
@@ -102,17 +105,20 @@ def elements(pages: DataFrame, id_: str, html: str) -> tuple[DataFrame, DataFram
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, page in enumerate(batch.column("html").to_pylist()):
-                rows = _elements(page)[0]
-                columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
-                ids = batch.column("id").slice(i, 1).take(pa.array([0] * len(rows), pa.int32()))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, types[t]) for c, (_, t) in zip(columns, fields, strict=True))], ["id", *(n for n, _ in fields)])
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([_elements(p)[1] for p in batch.column("html").to_pylist()], pa.string())], ["id", "text"])
-
-    return own.mapInArrow(trees, f"id {kind}, {NODE}"), own.mapInArrow(texts, f"id {kind}, text string")
+            held: list[tuple] = []
+            pages = batch.column("html").to_pylist()
+            for i, page in enumerate(pages):
+                rows, text = _elements(page)
+                held += [(i, *r, None) for r in rows]
+                held.append((i, *[None] * len(fields), text))  # the last row has the page's text
+                if len(held) > MANY or i == len(pages) - 1:
+                    at, *columns, texts = zip(*held, strict=True)
+                    ids = batch.column("id").take(pa.array(at, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, types[t]) for c, (_, t) in zip(columns, fields, strict=True)), pa.array(texts, pa.string())], ["id", *(n for n, _ in fields), "text"])
+                    held = []
+
+    both = cut(own.mapInArrow(trees, f"id {kind}, {NODE}, text string"))
+    return both.where("pre is not null").drop("text"), both.where("pre is null").select("id", "text")
 
 
 def compact(c: Column) -> Column:
@@ -202,14 +208,14 @@ def with_roles(cells: DataFrame) -> DataFrame:
     """
     bare = F.regexp_replace("text", r"\s", "")
     short = F.char_length("text") < HEADER_LENGTH
-    key = ["id", "table"]
-    rows = cells.groupBy(*key, "row").agg(F.max(short & bare.rlike(HEADER_DATE)).alias("_d"), F.max(short & bare.rlike(HEADER_TITLE)).alias("_t"))
-    head = rows.where("_d and _t").groupBy(*key).agg(F.min("row").alias("_head"))
-    named = cells.join(head, key)
-    at = {r: F.min(F.when(bare.rlike(p), F.col("col"))) for r, p in ROLES.items()}
-    columns = named.where("row = _head").groupBy(*key).agg(F.coalesce(at["date"], F.lit(0)).alias("_date"), F.coalesce(at["title"], F.lit(1)).alias("_title"), at["place"].alias("_place"))
+    whole, line = Window.partitionBy("id", "table"), Window.partitionBy("id", "table", "row")
+    any_ = lambda pattern: F.max(short & bare.rlike(pattern)).over(line)
+    named = cells.withColumn("_both", any_(HEADER_DATE) & any_(HEADER_TITLE))
+    named = named.withColumn("_head", F.min(F.when(F.col("_both"), F.col("row"))).over(whole))
+    first = lambda role: F.min(F.when((F.col("row") == F.col("_head")) & bare.rlike(ROLES[role]), F.col("col"))).over(whole)
+    named = named.withColumns({"_date": F.coalesce(first("date"), F.lit(0)), "_title": F.coalesce(first("title"), F.lit(1)), "_place": first("place")})
     roles = F.array_compact(F.array(*[F.when(F.col("col") == F.col(f"_{r}"), F.lit(r)) for r in ROLES]))
-    return named.where("row > _head").join(columns, key).select(*key, "row", "col", F.explode(roles).alias("role"), "text")
+    return named.where("row > _head").select("id", "table", "row", "col", F.explode(roles).alias("role"), "text")
 
 
 def label_values(cells: DataFrame) -> DataFrame:
