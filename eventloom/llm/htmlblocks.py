@@ -38,6 +38,8 @@ INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style noscript template svg iframe object head title form button select textarea option canvas audio video".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: Elements that a head may hold; any other one, or text, ends it.
+IN_HEAD = frozenset("base link meta noscript script style template title head html".split())
 #: Names in tags, classes and ids that tell furniture from content.
 FURNITURE = frozenset("nav menu header footer aside sidebar ad ads advert advertisement banner sponsor sponsored promo cookie cookies consent notice notification alert comment comments reply replies disqus share social related recommended subscribe newsletter breadcrumb breadcrumbs pagination pager widget popup modal login signup copyright legal toolbar masthead".split())
 CONTENT = frozenset("article main content story post entry body text".split())
@@ -45,7 +47,7 @@ CONTENT = frozenset("article main content story post entry body text".split())
 PARTS = frozenset("nav header footer aside main article section menu".split())
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>",
+    r"<!---?>|<!--.*?(?:--!?>|\Z)|<(script|style|noscript|template|svg|iframe|object|textarea|title)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>",
     re.S | re.I,
 )
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -68,8 +70,16 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
         parts.clear()
         links, seen = 0, False
 
+    def body() -> None:
+        """Ends a head whose end tag is left out."""
+        at_head = next((i for i, (t, _) in enumerate(stack) if t == "head"), None)
+        if at_head is not None:
+            del stack[at_head:]
+
     def say(raw: str) -> None:
         nonlocal links, path, seen
+        if raw and not raw.isspace():
+            body()
         if raw and not any(t in UNSEEN for t, _ in stack):
             if not seen:
                 path = tuple(n for t, names in stack if t not in INLINE or names for n in (t, *names))
@@ -94,6 +104,8 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
         elif name == "br":
             parts.append(" ")
         else:
+            if name not in IN_HEAD:
+                body()
             if name not in INLINE:
                 flush()
                 while stack and stack[-1][0] in INLINE:

@@ -47,3 +47,12 @@ def test_empty_repeated_clashing_and_long(spark):
     assert len(got) == 4 and got[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
     assert len({r["text"] for r in got if r["page_id"] == 1}) == 1 and [r["text"] for r in got if r["page_id"] is None] == [""]
     assert htmlblocks.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_pages_without_end_tags_and_with_odd_names_keep_their_text():
+    texts = lambda page: [b[0] for b in htmlblocks.blocks(page)]
+    assert texts("<html><head><meta charset=utf-8><title>x</title><body><p>Hello world</p><p>more") == ["Hello world", "more"]
+    assert texts("<head><meta charset=utf-8><p>Hello</p>") == ["Hello"] and texts("<head><title>t</title>plain text") == ["plain text"]
+    assert texts("<p>before</p><title-bar>x</title-bar><p>after</p>") == ["before", "x", "after"]
+    assert texts("<p>a</p><!--><p>b</p><!---><p>c</p><!-- x --!><p>d</p><!-- <p>no") == ["a", "b", "c", "d"]
+    assert texts("<p>a</p><script>x</scripty></script ><p>b</p>") == ["a", "b"]
