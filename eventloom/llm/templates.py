@@ -10,9 +10,10 @@ it), and the slots (the values behind the placeholders) must map consistently fr
 to document: that admits re-parameterised questions but not texts that only share a form.
 
 Defined cases: null or empty texts hold no window; windows of fewer than two plain
-tokens are not evidence; an item without a window is never found; repeated rows of a
-document or an item are each reported; a null id is kept as null; other columns are
-ignored. An empty table on either side gives no rows.
+tokens are not evidence; an item without a window is never found; rows that share an id
+but not the text are judged each, and a pair of ids is reported once, by its best;
+a null id, of a document or an item, is kept as null; other columns are ignored. An
+empty table on either side gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ IN_NUMBER, IN_NAMES, BEGIN, END = "\ue000", "\ue001", "\ue002", "\ue003"
 SPLIT = rf"[^\p{{L}}\p{{N}}{IN_NUMBER}{IN_NAMES}]+"
 #: A broadcast of benchmark windows or candidate ids needs no more rows than this; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: ... and no more bytes, as JSON, than this.
+BROADCAST_BYTES = 256 << 20
 
 
 def _marked(text: Column) -> Column:
@@ -70,8 +73,9 @@ def _starts(column: str, k: int) -> Column:
 
 
 def _bounded(df: DataFrame) -> DataFrame:
-    """Broadcast only what has been counted."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """Broadcast only what has been counted, in rows and in bytes."""
+    rows, size = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def _function(slots: Column) -> Column:
@@ -94,23 +98,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, coverage: float = 0
     diagonal, nearest first with those of diagonals at most ``drift`` tokens from it whose
     slots go with what is there.
     """
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("item_tokens"), template(F.col("text")).alias("tpl"))
-    grams = items.select("item_id", "item_tokens", "tpl", F.explode(_starts("tpl", k)).alias("ipos"))
+    items = benchmark.select("item_id", F.xxhash64("text").alias("item"), tokens(F.col("text")).alias("item_tokens"), template(F.col("text")).alias("tpl"))
+    grams = items.select("item_id", "item", "item_tokens", "tpl", F.explode(_starts("tpl", k)).alias("ipos"))
     piece = F.slice("tpl", F.col("ipos"), F.lit(k))
     grams = grams.where(F.size(F.filter(piece, lambda t: ~slot(t))) >= 2).select(
-        "item_id", "ipos", _hash("tpl", F.col("ipos"), k).alias("gram"), F.slice("item_tokens", F.col("ipos"), F.lit(k)).alias("item_raw"), piece.alias("form")
+        "item_id", "item", "ipos", _hash("tpl", F.col("ipos"), k).alias("gram"), F.slice("item_tokens", F.col("ipos"), F.lit(k)).alias("item_raw"), piece.alias("form")
     )
     grams = written(grams)
-    sizes = grams.groupBy("item_id").agg(F.countDistinct("ipos").alias("item_windows"))
-    rows = docs.select("doc_id", "text")
+    sizes = grams.groupBy(F.col("item_id").alias("_item_id"), F.col("item").alias("_item")).agg(F.countDistinct("ipos").alias("item_windows"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("doc"), "text")
+    pair = ("doc_id", "doc", "item_id", "item")  # texts that share an id are judged each
     at = rows.select("doc_id", template(F.col("text")).alias("tpl"))
     formed = at.select("doc_id", F.explode(F.transform(_starts("tpl", k), lambda i: _hash("tpl", i, k))).alias("gram"))
     found = written(formed.join(_bounded(grams.select("gram").distinct()), "gram", "left_semi").select("doc_id").distinct())
     found = _bounded(found.withColumnRenamed("doc_id", "found_id"))
     hit = rows.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left_semi")
-    every = hit.select("doc_id", tokens(F.col("text")).alias("raw"), template(F.col("text")).alias("tpl"))
-    every = every.select("doc_id", "raw", "tpl", F.explode(_starts("tpl", k)).alias("dpos"))
-    every = every.select("doc_id", "dpos", _hash("tpl", F.col("dpos"), k).alias("gram"), F.slice("raw", F.col("dpos"), F.lit(k)).alias("doc_raw"))
+    every = hit.select("doc_id", "doc", tokens(F.col("text")).alias("raw"), template(F.col("text")).alias("tpl"))
+    every = every.select("doc_id", "doc", "raw", "tpl", F.explode(_starts("tpl", k)).alias("dpos"))
+    every = every.select("doc_id", "doc", "dpos", _hash("tpl", F.col("dpos"), k).alias("gram"), F.slice("raw", F.col("dpos"), F.lit(k)).alias("doc_raw"))
     pairs = every.join(_bounded(grams), "gram").withColumn(
         "slots",
         F.transform(
@@ -118,19 +123,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, coverage: float = 0
             lambda x: F.struct(F.lower(x["item_raw"]).alias("a"), F.lower(x["doc_raw"]).alias("b")),
         ),
     )
-    lines = pairs.groupBy("doc_id", "item_id", (F.col("dpos") - F.col("ipos")).alias("diagonal")).agg(
+    lines = pairs.groupBy(*pair, (F.col("dpos") - F.col("ipos")).alias("diagonal")).agg(
         F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
     lines = lines.where(_function(F.col("slots"))).withColumn("away", F.explode(F.sequence(F.lit(-drift), F.lit(drift))))
-    near = lines.groupBy("doc_id", "item_id", (F.col("diagonal") + F.col("away")).alias("diagonal")).agg(
+    near = lines.groupBy(*pair, (F.col("diagonal") + F.col("away")).alias("diagonal")).agg(
         F.sort_array(F.collect_list(F.struct(F.abs("away").alias("far"), "away", "at", "slots"))).alias("lines")
     )
     near = near.where(F.col("lines")[0]["far"] == 0)
     own = F.struct(F.col("lines")[0]["at"].alias("at"), F.col("lines")[0]["slots"].alias("slots"))
-    near = near.select("doc_id", "item_id", F.aggregate(F.slice("lines", F.lit(2), F.size("lines")), own, _added).alias("all"))
-    near = near.select("doc_id", "item_id", F.size("all.at").cast("long").alias("n_windows"), F.size("all.slots").cast("long").alias("n_slots"))
+    near = near.select(*pair, F.aggregate(F.slice("lines", F.lit(2), F.size("lines")), own, _added).alias("all"))
+    near = near.select(*pair, F.size("all.at").cast("long").alias("n_windows"), F.size("all.slots").cast("long").alias("n_slots"))
     n, of = F.col("n_windows"), F.col("item_windows")
-    near = near.join(_bounded(sizes), "item_id").where((n >= F.least(F.lit(3), of)) & ((n >= coverage * of) | (n >= windows)))
+    near = near.join(_bounded(sizes), F.col("item_id").eqNullSafe(F.col("_item_id")) & (F.col("item") == F.col("_item"))).where((n >= F.least(F.lit(3), of)) & ((n >= coverage * of) | (n >= windows)))
     return near.groupBy("doc_id", "item_id").agg(
         F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max("n_slots").alias("n_slots")
     )

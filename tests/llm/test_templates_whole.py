@@ -39,3 +39,12 @@ def test_marks_keep_tokens_and_templates_aligned(spark):
     rows = df.collect()
     assert all(len(r["a"]) == len(r["b"]) for r in rows)
     assert rows[1]["b"][2:6] == ["0", "0", "0", "0"]
+
+
+def test_null_ids_and_rows_that_share_an_id(spark):
+    passage = "the quick brown fox carries seven heavy stones over the old bridge before dusk falls on the town"
+    other = "nobody in this village ever saw a green lantern burning so late behind the miller's locked door"
+    docs = spark.createDataFrame([(1, f"x {passage} y"), (1, f"x {passage} y"), (2, "nothing here at all to see for anyone today"), (2, other), (None, f"so {passage}"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, passage), (7, other), (7, "an entirely different question about rivers and boats"), (7, other)], "item_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"]) for r in T.leaks(docs, items).collect()), key=str)
+    assert got == sorted([(1, None), (2, 7), (None, None)], key=str)
