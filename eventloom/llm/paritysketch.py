@@ -245,14 +245,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         pairs = written(pairs)
         parts = max(1, -(-pairs.count() // max(AT_ONCE, rows_in // SHARE)))
         part = F.pmod(F.xxhash64("u", "v"), F.lit(parts))
-        found = [written(judged(pairs.where(part == i) if parts > 1 else pairs)) for i in range(parts)]
+        needed = pairs.select(F.explode(F.array("rep_u", "rep_v")).alias("doc_id")).distinct()
+        texts = written(docs.join(needed, "doc_id", "left_semi"))  # only these are shuffled, whatever the number of parts
+        found = [written(judged(pairs.where(part == i) if parts > 1 else pairs, texts)) for i in range(parts)]
         dropped(pairs)
+        dropped(texts)
         return reduce(DataFrame.unionByName, found)
 
-    def judged(pairs: DataFrame) -> DataFrame:
-        """Those of some pairs that link, on the texts of their classes' first documents; other texts are not shuffled."""
-        one = docs.select(F.col("doc_id").alias("rep_v"), F.col("text").alias("text_v"))
-        two = docs.select(F.col("doc_id").alias("rep_u"), F.col("text").alias("text_u")).join(pairs.select("rep_u"), "rep_u", "left_semi")
+    def judged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """Those of some pairs that link, on the texts of their classes' first documents."""
+        two = texts.join(pairs.select(F.col("rep_u").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep_u"), F.col("text").alias("text_u"))
+        one = texts.join(pairs.select(F.col("rep_v").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep_v"), F.col("text").alias("text_v"))
         both = pairs.join(one, "rep_v").join(two, "rep_u")
         return both.select("u", "v", "text_u", "text_v").mapInArrow(_verified(k, percent), "u long, v long").distinct()
 
