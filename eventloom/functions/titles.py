@@ -297,3 +297,20 @@ def far_future(title: Column, url: Column, source: Column, date: Column, today:
 def publishable(title: Column, place: Column, notes: Column, url: Column) -> Column:
     """Whether a row counts under the rules of titles and documents."""
     return F.coalesce(title != "", F.lit(False)) & ~junk_title(title) & ~doubtful_title(title) & ~document(title, place, notes, url)
+
+
+def corrected(c: Column, pairs: dict[str, str], rounds: int = 3) -> Column:
+    """A text in which each misreading is replaced, the leftmost first and of those that begin there the longest, again until nothing changes, ``rounds`` times at most.
+
+    A text is cut into misreadings and single characters in one walk, and each piece is looked up:
+    what a replacement writes is read again in the next round only. An empty misreading is passed over.
+    """
+    known = {k: v for k, v in pairs.items() if k}
+    if not known:
+        return c
+    quoted = "|".join(r"\Q" + k.replace(r"\E", r"\E\\E\Q") + r"\E" for k in sorted(known, key=len, reverse=True))
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    for _ in range(rounds):
+        pieces = F.regexp_extract_all(c, F.lit(f"(?s)(?:{quoted})|."), F.lit(0))
+        c = F.when(c.rlike(quoted), F.array_join(F.transform(pieces, lambda x: F.coalesce(F.try_element_at(table, x), x)), "")).otherwise(c)
+    return c

@@ -72,3 +72,21 @@ def disposition(df: DataFrame, gates: Sequence[tuple[str, Column]], name: str =
     for label, bad in reversed(gates):
         out = F.when(bad, label).otherwise(out)
     return df.withColumn(name, out)
+
+
+def lifted_facets(df: DataFrame, filters: dict[str, Column], values: dict[str, Column]) -> DataFrame:
+    """(facet, value, n): the list's count (facet ``list``), and per facet its values among the rows that all *other* filters pass.
+
+    A row carries one bit per filter it fails. With none it counts everywhere, with one in the facet
+    of that name, with more nowhere: one scan and one partial aggregate for all facets. A null test
+    fails; filters without values narrow the list and every facet.
+    """
+    bits = {name: 1 << i for i, name in enumerate(filters)}
+    mask = F.lit(0)
+    for name, test in filters.items():
+        mask = mask + F.when(F.coalesce(test, F.lit(False)), 0).otherwise(bits[name])
+    entry = lambda facet, value: F.struct(F.lit(facet).alias("facet"), value.alias("value"))
+    own = [F.when(F.col("_failed").isin(0, bits.get(name, 0)), entry(name, F.coalesce(c.cast("string"), F.lit(UNKNOWN)))) for name, c in values.items()]
+    named = df.select("*", mask.alias("_failed")).where(F.bit_count("_failed") <= 1)
+    counted = named.select(F.explode(F.array_compact(F.array(F.when(F.col("_failed") == 0, entry("list", F.lit(""))), *own))).alias("f"))
+    return counted.groupBy("f.facet", "f.value").agg(F.count("*").alias("n"))

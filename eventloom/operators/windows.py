@@ -115,3 +115,9 @@ def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     sizes = placed.groupBy("_range").agg(F.min(first).alias("_least"), F.count("*").alias("_size"))
     shift = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_least")) - F.col("_size"))  # a row per range
     return placed.join(F.broadcast(shift.select("_range", "_before")), "_range").withColumn(name, F.col("_before") + F.col("_in")).drop("_range", "_in", "_before")
+
+
+def locale_ranked(df: DataFrame, keys: Sequence[str], column: str, ties: Sequence[str] = (), locale: str = "ja", name: str = "rank") -> DataFrame:
+    """Places from 1 within each key in a locale's order (kana by sound, whatever their script, then kanji), ties by other columns; nulls last."""
+    w = Window.partitionBy(*keys).orderBy(F.collate(F.col(column), locale).asc_nulls_last(), *ties)
+    return df.withColumn(name, F.row_number().over(w))

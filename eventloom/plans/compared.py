@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import quality as Q
 from eventloom.functions import scalars as S
+from eventloom.functions import titles as T
+from eventloom.operators import aggregates as A
 from eventloom.operators import containment as C
 from eventloom.operators import entities as E
 from eventloom.operators import layouts as L
@@ -322,3 +324,38 @@ def longest_passages(spark, sf):
     t = F.regexp_replace("text", r"[\s　]+", "")
     names = d.where("doc_id % 25 = 0").where(F.char_length(t) >= 80).select(F.substr(t, (1 + F.col("doc_id") % 50).cast("int"), (12 + F.col("doc_id") % 9).cast("int")).alias("name"))
     return C.longest_name(d, names, "doc_id", "text", "name")
+
+
+FACETS = {"status": "o_orderstatus = 'F'", "priority": "o_orderpriority in ('1-URGENT', '2-HIGH')", "year": "year(o_orderdate) = 1997", "price": "o_totalprice > 100000"}
+
+
+@query("select 'list' as facet, '' as value, count(*) as n from orders where " + " and ".join(FACETS.values()) + "".join(
+    f" union all select '{name}', cast({value} as varchar), count(*) from orders where " + " and ".join(f for n, f in FACETS.items() if n != name) + " group by 2"
+    for name, value in (("status", "o_orderstatus"), ("priority", "o_orderpriority"), ("year", "year(o_orderdate)"))))
+def facets_lifted(spark, sf):
+    """The list under four filters, and each facet's values with its own filter lifted, in one scan."""
+    values = {"status": F.col("o_orderstatus"), "priority": F.col("o_orderpriority"), "year": F.year("o_orderdate")}
+    return A.lifted_facets(table(spark, sf, "orders"), {n: F.expr(f) for n, f in FACETS.items()}, values)
+
+
+@query("""with k as (select c_custkey, c_mktsegment, c_custkey % 5 as kanji from customer) select c_custkey, row_number() over (partition by c_mktsegment order by kanji = 0, c_custkey) as rank from k""")
+def locale_ranks(spark, sf):
+    """Names of customers in kana, every second one in the other script and every fifth behind a kanji, in Japanese order."""
+    digits = F.lpad(F.col("c_custkey").cast("string"), 8, "0")
+    kana = F.when(F.col("c_custkey") % 2 == 0, F.translate(digits, "0123456789", "あいうえおかきくけこ")).otherwise(F.translate(digits, "0123456789", "アイウエオカキクケコ"))
+    rows = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("亜"), kana)).otherwise(kana).alias("name"))
+    return W.locale_ranked(rows, ["c_mktsegment"], "name", ["c_custkey"]).select("c_custkey", "rank")
+
+
+MISREAD = {"the": "th", "then": "than", "thi": "they", "an": "on", "ion": "ian", "tha": "the", "e": "é"}
+ONCE = "list_transform(regexp_extract_all({}, '(?s)" + "|".join(sorted(MISREAD, key=len, reverse=True)) + "|.'), lambda x: coalesce(map {" + ", ".join(f"'{k}': '{v}'" for k, v in MISREAD.items()) + "}[x], x))"
+
+
+def _again(t: str, times: int) -> str:
+    return t if not times else f"array_to_string({ONCE.replace('{}', _again(t, times - 1), 1)}, '')"
+
+
+@query(f"select doc_id, md5({_again('text', 3)}) as digest from documents")
+def corrected_texts(spark, sf):
+    """Overlapping and nested misreadings in all documents: what one round writes the next may correct."""
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.corrected(F.col("text"), MISREAD)).alias("digest"))

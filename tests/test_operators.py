@@ -103,3 +103,19 @@ def test_rotation_and_nearest(spark):
     p = spark.createDataFrame([(1, 35.0, 139.0)], "a long, lat double, lon double")
     q = spark.createDataFrame([(7, 35.044, 139.0), (8, 35.046, 139.0), (9, 35.0, 139.05)], "b long, lat double, lon double")
     assert [(r["b"], r["rk"]) for r in joins.nearest(p, q, 5000, 5, "a", "b").orderBy("rk").collect()] == [(9, 1), (7, 2)]
+
+
+def test_lifted_facets_locale_ranks_and_misreadings(spark):
+    from eventloom.functions import titles
+    from eventloom.operators import aggregates, windows
+
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", None), (None, 1)], "k string, n int")
+    got = aggregates.lifted_facets(rows, {"k": F.col("k") == "a", "n": F.col("n") == 1}, {"k": F.col("k"), "n": F.col("n")}).collect()
+    assert {(r["facet"], r["value"]): r["n"] for r in got} == {("list", ""): 1, ("k", "a"): 1, ("k", "b"): 1, ("k", aggregates.UNKNOWN): 1, ("n", "1"): 1, ("n", "2"): 1}
+    names = spark.createDataFrame([("さくら",), ("アサヒ",), ("あき",), ("カメ",), ("亜",), (None,)], "name string").withColumn("g", F.lit(1))
+    ranked = windows.locale_ranked(names, ["g"], "name").orderBy("rank").collect()
+    assert [r["name"] for r in ranked] == ["あき", "アサヒ", "カメ", "さくら", "亜", None]
+    fix = lambda t, pairs: spark.range(1).select(titles.corrected(F.lit(t), pairs)).first()[0]
+    assert fix("abab aba", {"ab": "x", "aba": "y", "": "z"}) == "yb y"
+    assert fix("a.b", {".": "-", "a-": "c"}) == "cb" and fix("aaaa", {"a": "b", "b": "c", "c": "d", "d": "e"}) == "dddd"
+    assert fix(None, {"a": "b"}) is None and fix("x", {}) == "x" and fix(r"q\Eq", {r"\E": "!"}) == "q!q"
