@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.sources import literals as J
 from eventloom.sources import trees as T
 from eventloom.sources.shelf import Shelf, scratch
 from eventloom.sources.tables import table
@@ -78,3 +79,18 @@ def paragraph_boxes(spark, sf):
     """For every paragraph of the given pages its nearest box with a heading; SQL cannot cut pages into elements, a test walks up from each."""
     nodes, texts = T.elements(table(spark, sf, "pages").select("page_id", "html"), "page_id", "html", cut(spark))
     return T.nearest_box(nodes, texts, F.col("tag") == "p", F.col("tag").isin(*T.HEADINGS), F.col("n") >= 1).select(F.col("id").alias("page_id"), "target", "box", "tag", "level")
+
+
+@query("""select o_custkey as id, strftime(o_orderdate, '%Y-%m') as month, strftime(o_orderdate, '%d') as day, cast(row_number() over (partition by o_custkey, o_orderdate::date order by o_orderkey) - 1 as int) as pos, '注文 "{' || o_orderkey || '}"' as title from orders""")
+def literal_days(spark, sf):
+    """A script per customer with months, days and orders as an object literal: bare and quoted keys, comments, braces in strings, trailing commas."""
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.date_format("o_orderdate", "dd").alias("day"))
+    joined = lambda c: F.array_join(F.array_sort(F.collect_list(c)), "")
+    title = F.concat(F.lit("'注文 \"{"), text(F.col("o_orderkey")), F.lit("}\"', "))
+    titles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", title.alias("t")))), lambda x: x["t"]), "")
+    days = o.groupBy("o_custkey", "month", "day").agg(titles.alias("t"))
+    day = F.concat(F.lit("\n  "), F.when(F.col("day") < "15", F.concat(F.lit('"'), F.col("day"), F.lit('"'))).otherwise(F.col("day")), F.lit(": ["), F.col("t"), F.lit("], // it's } here"))
+    months = days.groupBy("o_custkey", "month").agg(joined(day).alias("t"))
+    month = F.concat(F.lit("'"), F.col("month"), F.lit("': { /* { */"), F.col("t"), F.lit("\n},"))
+    scripts = months.groupBy("o_custkey").agg(F.concat(F.lit("<script>var other = {a: 1};\nconst DAYS = {"), joined(month), F.lit("};\nrun(DAYS); var x = '};';</script>")).alias("html"))
+    return J.nested_rows(scripts.withColumnRenamed("o_custkey", "id"), "id", J.object_literal(F.col("html"), "DAYS"), ("month", "day"), "title")

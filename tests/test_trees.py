@@ -115,3 +115,19 @@ def test_boxes_of_the_given_pages_equal_a_walk(spark):
                     break
                 level, cur = level + 1, rows[cur][3]
     assert got == sorted(want) and len(got) > 100
+
+
+def test_object_literals(spark):
+    import json
+
+    from eventloom.sources import literals as J
+
+    def get(text, name="DATA"):
+        found = spark.range(1).select(J.object_literal(F.lit(text), name)).first()[0]
+        return json.loads(found) if found else None
+
+    assert get("let DATA = {a: 1, 'b c': \"x}\", 3: [1.5, -2, .5e1 , ], $d: null, e: undefined, /* } */ f: 'it\\'s \"q\"', // ]\n g: `two\nlines`,};x={}".replace(".5e1", "0.5e1")) == {"a": 1, "b c": "x}", "3": [1.5, -2, 5.0], "$d": None, "e": None, "f": 'it\'s "q"', "g": "two\nlines"}
+    assert get("DATA: [[1],{}]") == [[1], {}] and get("DATA = {a: {") is None and get("none") is None and get(None) is None
+    rows = spark.createDataFrame([(1, "D = {m: {1: ['a', 'b'], 2: []}}"), (2, "D = {m: run()}"), (3, None)], "id int, t string")
+    got = J.nested_rows(rows, "id", J.object_literal(F.col("t"), "D"), ("month", "day"), "title").where("title is not null").collect()
+    assert sorted(map(tuple, got)) == [(1, "m", "1", 0, "a"), (1, "m", "1", 1, "b")]
