@@ -43,6 +43,8 @@ SKETCH = 2048
 #: Buckets of more members than this are compared by sketches in blocks, smaller ones by a join.
 SMALL = 32
 BLOCK = 2048
+#: Ids (8 bytes each) that may be broadcast, once counted; more of them are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 #: Pairs that are judged at once: this many, or one to SHARE rows of the table.
 AT_ONCE, SHARE = 5_000, 4
 #: Rounds in which a class meets only the nearest of other components, before all that is left is compared.
@@ -245,11 +247,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         pairs = written(pairs)
         parts = max(1, -(-pairs.count() // max(AT_ONCE, rows_in // SHARE)))
         part = F.pmod(F.xxhash64("u", "v"), F.lit(parts))
-        needed = pairs.select(F.explode(F.array("rep_u", "rep_v")).alias("doc_id")).distinct()
-        texts = written(docs.join(needed, "doc_id", "left_semi"))  # only these are shuffled, whatever the number of parts
+        needed = written(pairs.select(F.explode(F.array("rep_u", "rep_v")).alias("doc_id")).distinct())
+        # ids that were counted are broadcast, so that no text is shuffled to find those that are needed
+        few = needed.count() <= BROADCAST_IDS
+        texts = written(docs.join(F.broadcast(needed) if few else needed, "doc_id", "left_semi"))
         found = [written(judged(pairs.where(part == i) if parts > 1 else pairs, texts)) for i in range(parts)]
-        dropped(pairs)
-        dropped(texts)
+        for done in (pairs, needed, texts):
+            dropped(done)
         return reduce(DataFrame.unionByName, found)
 
     def judged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
