@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from eventloom.sources import literals as J
+from eventloom.sources import pages as G
 from eventloom.sources import trees as T
 from eventloom.sources.shelf import Shelf, scratch
 from eventloom.sources.tables import table
@@ -94,3 +97,35 @@ def literal_days(spark, sf):
     month = F.concat(F.lit("'"), F.col("month"), F.lit("': { /* { */"), F.col("t"), F.lit("\n},"))
     scripts = months.groupBy("o_custkey").agg(F.concat(F.lit("<script>var other = {a: 1};\nconst DAYS = {"), joined(month), F.lit("};\nrun(DAYS); var x = '};';</script>")).alias("html"))
     return J.nested_rows(scripts.withColumnRenamed("o_custkey", "id"), "id", J.object_literal(F.col("html"), "DAYS"), ("month", "day"), "title")
+
+
+# What a page says of its charset, in which it is written, and what the server says, by page_id modulo 6.
+SAID = [("utf-8", "utf-8", None), ("Shift_JIS", "cp932", None), ("euc-jp", "euc_jp", "text/html"), ("iso-2022-jp", "iso2022_jp", None), ("utf-8", "cp932", "text/html; charset=sjis"), ("nonsense", "utf-8", None)]
+
+
+@F.pandas_udf(BinaryType())
+def _encoded(text: pd.Series, codec: pd.Series) -> pd.Series:
+    return pd.Series([t.encode(c) for t, c in zip(text, codec, strict=True)], dtype=object)
+
+
+@query(f"""with p as (select page_id, {[s for s, _, _ in SAID]!r}[(page_id % 6)::int + 1] as said, regexp_replace(coalesce(html, ''), '[^\x20-\x7E\n]', '', 'g') as html from pages),
+    t as (select page_id, '<meta charset="' || said || '">航空祭の説明会、第' || page_id || '回' || html as text from p)
+    select page_id, sha256(text) as digest, length(text) as n_chars from t""")
+def page_charsets(spark, sf):
+    """Pages written in four charsets, one of them declared by the server against the page's own word, one under an unknown name, come back equal."""
+    by = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in SAID]), (F.col("page_id") % 6).cast("int") + 1)
+    plain = F.regexp_replace(F.coalesce("html", F.lit("")), r"[^\x20-\x7E\n]", "")
+    whole = F.concat(F.lit('<meta charset="'), by(0), F.lit('">航空祭の説明会、第'), text(F.col("page_id")), F.lit("回"), plain)
+    raw = table(spark, sf, "pages").select("page_id", _encoded(whole, by(1)).alias("raw"), by(2).alias("content_type"))
+    out = raw.select("page_id", G.decoded(F.col("raw"), F.col("content_type")).alias("text"))
+    return out.select("page_id", F.sha2("text", 256).alias("digest"), F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("""select page_id, case page_id % 5 when 0 then 'https://a.jp/pco/' || page_id || '/top/x.html' when 1 then 'https://a.jp/up/' || page_id when 2 then 'https://a.jp/pco/' || page_id || '/?q=1' end as target from pages""")
+def page_forwards(spark, sf):
+    """Pages that send their readers on: down, up, to a query, to another host, too late; the given html follows."""
+    k = F.col("page_id")
+    go = F.when(k % 5 == 0, F.concat(F.lit("0; URL='./top/./x.html#a'"))).when(k % 5 == 1, F.concat(F.lit("3;url=../../up/"), text(k))).when(k % 5 == 2, "0,url=?q=1").when(k % 5 == 3, "0;url=https://b.jp/").otherwise("11;url=late.html")
+    html = F.concat(F.lit('<meta charset=utf-8><META content="'), go, F.lit('" http-equiv=Refresh>'), F.regexp_replace(F.coalesce("html", F.lit("")), r"(?i)<meta\b", "<m"))
+    pages = table(spark, sf, "pages").select("page_id", html.alias("html"), F.concat(F.lit("https://A.jp/pco/"), text(k), F.lit("/#top")).alias("url"))
+    return pages.select("page_id", G.forwarded_to(F.col("html"), F.col("url")).alias("target"))

@@ -1,9 +1,11 @@
-"""Pages and calendars as rows: links, assets, meta-refresh targets, VEVENT blocks. All in the JVM."""
+"""Pages and calendars as rows: links, assets, meta-refresh targets, VEVENT blocks, bytes by their charset. All in the JVM, but for charsets that it has no safe decoder for."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 ASSET = r"(?i)\.(?:pdf|jpe?g|png|gif|webp)(?:[?#]|$)"
 
@@ -42,3 +44,79 @@ def calendar_events(texts: DataFrame, text: str, *keep: str) -> DataFrame:
     """(keep, uid, date, endDate, title, place, notes) per VEVENT; folded lines are joined, no time zone is applied."""
     block = F.explode(F.slice(F.split(unfolded(F.col(text)), "BEGIN:VEVENT"), 2, 1 << 30)).alias("block")
     return texts.select(*keep, block).select(*keep, *[c.alias(n) for n, c in event_fields(F.col("block")).items()])
+
+
+# Labels of charsets that need a codec of their own, with its name; of single-byte Western text; all others are UTF-8.
+CODECS = {
+    "cp932": ("shift_jis", "shift-jis", "sjis", "x-sjis", "ms_kanji", "ms932", "windows-31j", "csshiftjis"),
+    "euc_jp": ("euc-jp", "x-euc-jp", "cseucpkdfmtjapanese"),
+    "iso2022_jp": ("iso-2022-jp", "csiso2022jp"),
+    "utf-16-le": ("utf-16", "utf-16le", "unicode", "ucs-2", "iso-10646-ucs-2"),
+    "utf-16-be": ("utf-16be",),
+    "gb18030": ("gb18030", "gbk", "gb2312", "x-gbk"),
+    "big5": ("big5", "big5-hkscs", "x-x-big5"),
+    "cp949": ("euc-kr", "ks_c_5601-1987", "windows-949"),
+}
+WESTERN = ("iso-8859-1", "iso8859-1", "latin1", "l1", "us-ascii", "ascii", "windows-1252", "cp1252", "x-cp1252")
+#: Bytes 80 to 9F that Western text uses as characters.
+UPPER = [(chr(b), bytes([b]).decode("cp1252")) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+
+
+@F.pandas_udf(StringType())
+def _by_codec(raw: pd.Series, codec: pd.Series) -> pd.Series:
+    return pd.Series([None if b is None or c is None else bytes(b).decode(c, "replace") for b, c in zip(raw, codec, strict=True)], dtype=object)
+
+
+def charset(raw: Column, content_type: Column | None = None) -> Column:
+    """The label declared by the content type, else within the first 5,000 bytes, in lower case; utf-8 if there is none."""
+    found = lambda c, quote: F.nullif(F.regexp_extract(c, rf"(?i)charset\s*=\s*{quote}([\w-]+)", 1), F.lit(""))
+    own = found(F.decode(F.substring(raw, 1, 5000), "ISO-8859-1"), """["']?""")
+    return F.lower(F.coalesce(*([] if content_type is None else [found(content_type, "")]), own, F.lit("utf-8")))
+
+
+def decoded(raw: Column, content_type: Column | None = None) -> Column:
+    """Bytes as text by their declared charset.
+
+    Unknown labels are read as UTF-8; what is no character of the charset becomes U+FFFD; a byte
+    order mark goes; null stays null. UTF-8 and Western text stay in the JVM, and only the bytes
+    of other charsets are sent to Python.
+    """
+    label = charset(raw, content_type)
+    codecs = F.create_map(*[F.lit(x) for codec, labels in CODECS.items() for label_ in labels for x in (label_, codec)])
+    codec = F.try_element_at(codecs, label)
+    western = F.translate(F.decode(raw, "ISO-8859-1"), "".join(a for a, _ in UPPER), "".join(b for _, b in UPPER))
+    text = F.when(label.isin(*WESTERN), western).when(codec.isNotNull(), _by_codec(F.when(codec.isNotNull(), raw), codec)).otherwise(F.make_valid_utf8(raw.cast("string")))
+    return F.regexp_replace(text, "^\ufeff", "")
+
+
+def resolved(href: Column, base: Column) -> Column:
+    """An address as seen from a page, without its fragment and with dots taken out of its path; null if it is neither http nor https."""
+    base, href = F.regexp_replace(base, "#.*$", ""), F.regexp_replace(F.trim(href), "#.*$", "")
+    origin = F.regexp_extract(base, r"(?i)^(https?://[^/?]+)", 1)
+    path = F.regexp_replace(F.substring(base, F.length(origin) + 1, F.length(base)), r"\?.*$", "")
+    whole = (
+        F.when(href.rlike("(?i)^https?://"), href)
+        .when(href.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None))
+        .when(href.startswith("//"), F.concat(F.regexp_extract(base, "^[^:]+:", 0), href))
+        .when(href.startswith("/"), F.concat(origin, href))
+        .when(href.startswith("?"), F.concat(origin, path, href))
+        .when(href == "", base)
+        .otherwise(F.concat(origin, F.regexp_replace(path, "[^/]*$", ""), F.when(path == "", "/").otherwise(""), href))
+    )
+    head, query = F.regexp_extract(whole, r"(?i)^https?://[^/?]+", 0), F.regexp_extract(whole, r"\?.*$", 0)
+    parts = F.split(F.regexp_replace(F.substring(whole, F.length(head) + 2, F.length(whole)), r"\?.*$", ""), "/")
+    step = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.array_append(done, x))
+    walked = F.aggregate(parts, F.array().cast("array<string>"), step)
+    tail = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(walked) > 0), "/").otherwise("")
+    return F.when(origin != "", F.concat(F.lower(head), F.lit("/"), F.array_join(walked, "/"), tail, query))
+
+
+def forwarded_to(html: Column, url: Column) -> Column:
+    """Where a page sends its reader at once (within ten seconds) on the same host, else null; the first such tag decides, if it leads elsewhere."""
+    tags = F.regexp_extract_all(F.left(html, F.lit(20000)), F.lit(r"(?i)<meta\b[^>]*>"), F.lit(0))
+    content = lambda t: F.coalesce(*[F.nullif(F.regexp_extract(t, rf"(?i)content\s*=\s*{q}([^{q}]*){q}", 1), F.lit("")) for q in "\"'"])
+    form = r"""(?i)^\s*(\d+(?:\.\d+)?)\s*[;,]\s*url\s*=\s*['"]?([^'"\s]+)"""
+    sends = lambda t: t.rlike(r"""(?i)http-equiv\s*=\s*["']?refresh""") & (F.regexp_extract(content(t), form, 1).try_cast("double") <= 10)
+    target = resolved(F.regexp_extract(content(F.try_element_at(F.filter(tags, sends), F.lit(1))), form, 2), url)
+    host = lambda c: F.lower(F.regexp_extract(c, r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    return F.when((host(target) == host(url)) & (target != resolved(url, url)), target)
