@@ -219,3 +219,58 @@ def future_marks(text: Column, today: Column) -> Column:
     rest = F.regexp_replace(F.regexp_replace(t, era, " "), west, " ")
     every = F.concat(F.transform(F.regexp_extract_all(t, F.lit(era), F.lit(0)), dated(2018)), F.transform(F.regexp_extract_all(t, F.lit(west), F.lit(0)), dated(0)), F.transform(F.regexp_extract_all(rest, F.lit(bare), F.lit(0)), loose))
     return F.size(F.array_distinct(F.filter(every, lambda x: x >= today)))
+
+
+# Forms of a date in lists of a site, the first that is found decides; one weekday in brackets behind it.
+ONE_NAME = r"(?:[（(]\s*([月火水木金土日祝])\s*[）)])?"
+LISTED_ERAS = {
+    "令和": rf"(?i)(?:令和|R)\s*(元|\d{{1,2}})\s*年?\s*(\d{{1,2}})\s*月\s*(\d{{1,2}})\s*日?{ONE_NAME}",
+    "平成": rf"平成\s*(元|\d{{1,2}})\s*年?\s*(\d{{1,2}})\s*月\s*(\d{{1,2}})\s*日?{ONE_NAME}",
+}
+LISTED_WESTERN = rf"(20\d{{2}})\s*[年/.\-]\s*(\d{{1,2}})\s*(?:月|[/.\-])\s*(\d{{1,2}})\s*日?{ONE_NAME}"
+LISTED_SHORT = rf"(?:^|[^\d])(\d{{1,2}})\s*[月/.]\s*(\d{{1,2}})\s*日?{ONE_NAME}"
+# Years in a heading, with a mark if they are fiscal ones, which begin in April.
+HEADING_WESTERN, HEADING_ERA = r"(20\d{2})\s*年(度)?", r"令和\s*(元|\d{1,2})\s*年(度)?"
+
+
+def heading_year(text: Column) -> Column:
+    """struct<year, fiscal> that a heading sets for what follows; null if it names no year."""
+    t = half_width(text)
+    found = lambda p, year: F.struct(year.alias("year"), (F.regexp_extract(t, p, 2) != "").alias("fiscal"))
+    western = found(HEADING_WESTERN, F.regexp_extract(t, HEADING_WESTERN, 1).try_cast("int"))
+    era = found(HEADING_ERA, ERAS["令和"] + era_number(F.regexp_extract(t, HEADING_ERA, 1)))
+    return F.when(t.rlike(HEADING_WESTERN), western).when(t.rlike(HEADING_ERA), era)
+
+
+def listed_date(text: Column, today: Column, context: Column | None = None) -> Column:
+    """struct<date, name> of a list's entry; null if it is no day, past, or not the weekday that it says.
+
+    With a context (struct<year, fiscal>, either of them null) a date without a year takes the heading's
+    year, or that of today, and in a fiscal year January to March fall into the next one. Without a
+    context it takes this or the next year by its weekday. The name is the one said, else the day's own.
+    """
+    t = half_width(squeeze(F.coalesce(text, F.lit(""))))
+    this = F.left(today, F.lit(4)).cast("int")
+
+    def built(pattern: str, year: Column, month: int) -> Column:
+        part = lambda i: F.regexp_extract(t, pattern, i)
+        day = day_text(year, part(month).cast("int"), part(month + 1).cast("int"))
+        return F.when(day >= today, F.struct(day.alias("date"), F.coalesce(F.nullif(part(month + 2), F.lit("")), day_name(day)).alias("name")))
+
+    month, day, name = (F.regexp_extract(t, LISTED_SHORT, i) for i in (1, 2, 3))
+    month, day = month.cast("int"), day.cast("int")
+    told = name.isin("", "祝")
+    agrees = lambda y: F.coalesce(day_name(day_text(y, month, day)) == name, F.lit(False))
+    if context is None:
+        year = F.when(told | agrees(this), this).when(agrees(this + 1), this + 1)
+    else:
+        year = F.coalesce(context["year"], this) + F.when(F.coalesce(context["fiscal"], F.lit(False)) & (month <= 3), 1).otherwise(0)
+        year = F.when(told | agrees(year), year)
+    out = F.lit(None)
+    for pattern, y, at in reversed([
+        *[(p, ERAS[era] + era_number(F.regexp_extract(t, p, 1)), 2) for era, p in LISTED_ERAS.items()],
+        (LISTED_WESTERN, F.regexp_extract(t, LISTED_WESTERN, 1).try_cast("int"), 2),
+        (LISTED_SHORT, year, 1),
+    ]):
+        out = F.when(t.rlike(pattern), built(pattern, y, at)).otherwise(out)
+    return out

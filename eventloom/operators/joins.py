@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.functions.scalars import haversine_m
+from eventloom.functions.scalars import half_width, haversine_m
 
 
 def missing(before: DataFrame, now: DataFrame, id_: str, reasons: Sequence[tuple[str, DataFrame, Sequence[str]]]) -> DataFrame:
@@ -112,3 +112,56 @@ def classified(before: DataFrame, now: DataFrame, key: str, digest: str) -> Data
     old = before.select(key, F.col(digest).alias("_old"), F.lit(True).alias("_hit"))
     state = F.when(F.col("_hit").isNull(), "baseline").when(F.col("_old").eqNullSafe(F.col(digest)), "unchanged").otherwise("changed")
     return now.join(old, key, "left").select(key, state.alias("state"))
+
+
+# What a reading says when it has found nothing.
+NOTHING = r"(?i)^(?:null|undefined|なし|不明|未定|該当なし|記載なし|N/A|-|―|—)$"
+
+
+def told(c: Column) -> Column:
+    """A reading's text, trimmed; null if it says that there is none."""
+    t = F.trim(F.regexp_replace(c.cast("string"), r"^[\s　]+|[\s　]+$", ""))
+    return F.when(~((t == "") | t.rlike(NOTHING)), t)
+
+
+def rechecked(rows: DataFrame, readings: DataFrame, id_: str, fields: Sequence[str]) -> DataFrame:
+    """The rows as a second reading of their source leaves them, with ``changes``: array<struct<field, before, after>>.
+
+    ``readings`` has (id, keys, fields), one row per id: a field that ``keys`` names takes the reading's
+    value, and null where the reading found none, as the old value has lost its support; other fields
+    stay. Spelling alone (widths of letters and digits, white space, case) is no change, and keeps the
+    old value as it is. Rows without a reading have no changes; readings without a row go.
+    """
+    new = readings.select(F.col(id_), F.col("keys").alias("_keys"), *[F.col(f).alias(f"_new_{f}") for f in fields])
+    both = rows.join(new, id_, "left")
+    plain = lambda c: F.lower(F.regexp_replace(half_width(c), r"[\s　]", ""))
+    # old and new values once per row, before they are compared and shown
+    both = both.withColumns({f"_was_{f}": told(F.col(f)) for f in fields} | {f"_now_{f}": told(F.col(f"_new_{f}")) for f in fields})
+    differs = {f: F.coalesce(F.array_contains("_keys", f), F.lit(False)) & ~plain(F.col(f"_was_{f}")).eqNullSafe(plain(F.col(f"_now_{f}"))) for f in fields}
+    both = both.withColumns({f"_to_{f}": d for f, d in differs.items()})
+    change = lambda f: F.when(F.col(f"_to_{f}"), F.struct(F.lit(f).alias("field"), F.col(f"_was_{f}").alias("before"), F.col(f"_now_{f}").alias("after")))
+    changes = F.array_compact(F.array(*[change(f) for f in fields]))
+    shown = [F.when(F.col(f"_to_{c}"), F.col(f"_now_{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in rows.columns]
+    return both.select(*shown, changes.alias("changes"))
+
+
+def with_reading(rows: DataFrame, readings: DataFrame, id_: str, ours: Sequence[str], theirs: Sequence[str], both: Sequence[str] = (), links: Sequence[str] = ()) -> DataFrame:
+    """Rows completed by a reading of their picture (one row per id).
+
+    Fields in ``ours`` take the reading's value where they are blank, those in ``theirs`` keep their own
+    where the reading is blank, those in ``both`` hold one below the other, and ``links`` are filled
+    like ``ours``, but with addresses only. Nothing on either side is null.
+    """
+    fields = [*ours, *theirs, *both, *links]
+    joined = rows.join(readings.select(id_, *[F.col(f).alias(f"_read_{f}") for f in fields]), id_, "left")
+    has = lambda c: F.when(~blank(c), c)
+
+    def merged(f: str) -> Column:
+        own, read = has(F.col(f)), has(F.col(f"_read_{f}"))
+        if f in both:
+            return F.nullif(F.concat_ws("\n", own, read), F.lit(""))
+        if f in links:
+            return F.coalesce(own, F.trim(F.when(read.startswith("http"), read)))
+        return F.coalesce(own, read) if f in ours else F.coalesce(read, own)
+
+    return joined.select(*[merged(c).alias(c) if c in fields else F.col(c) for c in rows.columns])

@@ -11,6 +11,7 @@ from eventloom.functions import titles as T
 from eventloom.operators import aggregates as A
 from eventloom.operators import containment as C
 from eventloom.operators import entities as E
+from eventloom.operators import joins as J
 from eventloom.operators import layouts as L
 from eventloom.operators import snapshots as N
 from eventloom.operators import windows as W
@@ -359,3 +360,36 @@ def _again(t: str, times: int) -> str:
 def corrected_texts(spark, sf):
     """Overlapping and nested misreadings in all documents: what one round writes the next may correct."""
     return table(spark, sf, "documents").select("doc_id", F.md5(T.corrected(F.col("text"), MISREAD)).alias("digest"))
+
+
+@query("""with o as (select o_orderkey as k from orders),
+    n as (select k, k % 5 <> 0 as hit, k % 7 <> 0 as titled, case when k % 4 = 0 then null when k % 4 = 1 then '見学会 ' || k || 'a' when k % 4 = 2 then '新見学会' || k else '見学会 ' || k || 'A' end as t, case when k % 3 = 0 then '別館' when k % 3 = 1 then null else '本館' end as p from o),
+    c as (select *, hit and titled and k % 4 in (0, 2) as ct, hit and k % 3 <> 2 as cp from n)
+    select k as id, case when ct then t else '見学会 ' || k || 'A' end as title, case when cp then p else '本館' end as place, '10:00' as time,
+    concat_ws(';', case when ct then 'title:' || coalesce(t, '-') end, case when cp then 'place:' || coalesce(p, '-') end) as changes from c""")
+def rechecked_rows(spark, sf):
+    """A second reading of four orders in five: other spelling, other values, nothing found, fields that were not read."""
+    k = F.col("o_orderkey")
+    orders = table(spark, sf, "orders").select("o_orderkey")
+    own = F.concat(F.lit("見学会 "), k.cast("string"), F.lit("A"))
+    rows = orders.select(k.alias("id"), own.alias("title"), F.lit("本館").alias("place"), F.lit("10:00").alias("time"))
+    title = F.when(k % 4 == 0, "不明").when(k % 4 == 1, F.concat(F.lit(" 見学会　"), k.cast("string"), F.lit("ａ"))).when(k % 4 == 2, F.concat(F.lit("新見学会"), k.cast("string"))).otherwise(own)
+    place = F.when(k % 3 == 0, "別館 ").when(k % 3 == 1, F.lit(None)).otherwise("本 館")
+    keys = F.when(k % 7 == 0, F.array(F.lit("place"))).otherwise(F.array(F.lit("title"), F.lit("place")))
+    readings = orders.where("o_orderkey % 5 <> 0").select(k.alias("id"), keys.alias("keys"), title.alias("title"), place.alias("place"), F.lit("x").alias("time"))
+    shown = F.transform("changes", lambda c: F.concat_ws(":", c["field"], F.coalesce(c["after"], F.lit("-"))))
+    return J.rechecked(rows, readings, "id", ["title", "place", "time"]).withColumn("changes", F.array_join(shown, ";"))
+
+
+@query("""select o_orderkey as id, case when o_orderkey % 2 = 0 then '自' || o_orderkey when o_orderkey % 3 = 0 then '読' || o_orderkey end as title, case when o_orderkey % 3 = 0 then '11:00' when o_orderkey % 2 = 0 then '10:00' end as time,
+    case when o_orderkey % 6 = 0 then '備考' || chr(10) || '抽選' when o_orderkey % 3 = 0 then '抽選' when o_orderkey % 2 = 0 then '備考' end as notes, case when o_orderkey % 2 = 0 then 'https://a.jp/' when o_orderkey % 9 = 0 then 'https://b.jp/' end as url from orders""")
+def rows_with_readings(spark, sf):
+    """Orders with fields of their own (even ones) and those read from a picture (every third), by each field's own order."""
+    k = F.col("o_orderkey")
+    orders = table(spark, sf, "orders").select("o_orderkey")
+    even = lambda c: F.when(k % 2 == 0, c).otherwise("")
+    mark = lambda s: F.concat(F.lit(s), k.cast("string"))
+    rows = orders.select(k.alias("id"), even(mark("自")).alias("title"), even(F.lit("10:00")).alias("time"), even(F.lit("備考")).alias("notes"), even(F.lit("https://a.jp/")).alias("url"))
+    link = F.when(k % 9 == 0, "https://b.jp/ ").otherwise("b.jp")
+    readings = orders.where("o_orderkey % 3 = 0").select(k.alias("id"), mark("読").alias("title"), F.lit("11:00").alias("time"), F.lit("抽選").alias("notes"), link.alias("url"))
+    return J.with_reading(rows, readings, "id", ["title"], ["time"], ["notes"], ["url"])

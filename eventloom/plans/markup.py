@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from eventloom.functions import dates as D
 from eventloom.sources import literals as J
 from eventloom.sources import pages as G
 from eventloom.sources import trees as T
@@ -129,3 +130,23 @@ def page_forwards(spark, sf):
     html = F.concat(F.lit('<meta charset=utf-8><META content="'), go, F.lit('" http-equiv=Refresh>'), F.regexp_replace(F.coalesce("html", F.lit("")), r"(?i)<meta\b", "<m"))
     pages = table(spark, sf, "pages").select("page_id", html.alias("html"), F.concat(F.lit("https://A.jp/pco/"), text(k), F.lit("/#top")).alias("url"))
     return pages.select("page_id", G.forwarded_to(F.col("html"), F.col("url")).alias("target"))
+
+
+@query("""select o_orderkey as id, case when o_orderkey % 10 <> 0 and d >= timestamp '2023-06-01' then strftime(d, '%Y-%m-%d') end as date from (select o_orderkey, o_orderdate + interval 28 year as d from orders)""")
+def listed_dates(spark, sf):
+    """A page per customer lists orders (28 years on, when days fall on the same weekdays) under headings of fiscal years; one in ten names a wrong weekday, one has a year of its own."""
+    k, d = F.col("o_orderkey"), F.add_months("o_orderdate", 12 * 28)
+    names = F.array(*[F.lit(x) for x in "日月火水木金土日"])
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", d.alias("d"), (F.year(d) - F.when(F.month(d) <= 3, 1).otherwise(0)).alias("fy"))
+    name = F.element_at(names, F.when(k % 10 == 0, F.dayofweek("d") % 7 + 1).otherwise(F.dayofweek("d")))
+    said = F.when(k % 10 == 1, F.date_format("d", "yyyy.M.d")).otherwise(F.concat(text(F.month("d")), F.lit("月"), text(F.dayofmonth("d")), F.lit("日（"), name, F.lit("）")))
+    entry = F.concat(F.lit("<li>第"), text(k), F.lit("番 "), said)
+    lists = o.groupBy("o_custkey", "fy").agg(F.array_join(F.array_sort(F.collect_list(entry)), "").alias("entries"))
+    heading = F.when(F.col("fy") % 2 == 0, F.concat(text(F.col("fy")), F.lit("年度"))).otherwise(F.concat(F.lit("令和"), F.when(F.col("fy") == 2019, "元").otherwise(text(F.col("fy") - 2018)), F.lit("年度の予定")))
+    part = F.concat(F.lit("<h2>"), heading, F.lit("</h2><h3>一覧</h3><ul>"), F.col("entries"), F.lit("</ul>"))
+    pages = lists.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fy", part.alias("p")))), lambda x: x["p"]), "").alias("html"))
+    nodes, texts = T.elements(pages, "o_custkey", "html", cut(spark))
+    entries = nodes.where("tag = 'li'").join(T.year_contexts(nodes, texts), ["id", "pre"]).join(texts, "id")
+    own = T.part_of(F.col("text"), F.col("begin"), F.col("end"))
+    day = D.listed_date(own, F.lit("2023-06-01"), F.col("context"))["date"]
+    return entries.select(F.regexp_extract(own, r"第(\d+)番", 1).cast("long").alias("id"), day.alias("date"))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.functions.dates import heading_year
+
 #: How far up a nearest box is looked for, and how deep elements nest at most (deeper ones become children of the last).
 LEVELS, DEEPEST = 8, 512
 #: Elements sent on at once: bounds a task's memory, not the result.
@@ -230,3 +232,17 @@ def definitions(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     own = nodes.where(F.col("tag").isin("dt", "dd")).join(texts, "id").select("id", "pre", "parent", "tag", compact(part_of(F.col("text"), F.col("begin"), F.col("end"))).alias("_text"))
     label = F.last(F.when(F.col("tag") == "dt", F.col("_text")), ignorenulls=True).over(Window.partitionBy("id", "parent").orderBy("pre"))
     return own.withColumn("label", label).where("tag = 'dd' and label is not null").select("id", "label", F.col("_text").alias("value"))
+
+
+def year_contexts(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, pre, context): for every element the year of the last heading or caption before it, itself included, that names one.
+
+    The context is struct<year, fiscal>, with nulls before the first such heading. One window over a
+    page's elements in order; only headings are joined with the page's text.
+    """
+    heads = nodes.where(F.col("tag").isin(*HEADINGS, "caption")).select("id", "pre", "begin", "end").join(texts, "id")
+    said = heads.select("id", "pre", heading_year(part_of(F.col("text"), F.col("begin"), F.col("end"))).alias("_said")).where("_said is not null")
+    order = Window.partitionBy("id").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last("_said", ignorenulls=True).over(order)
+    nothing = F.struct(F.lit(None).cast("int").alias("year"), F.lit(False).alias("fiscal"))
+    return nodes.select("id", "pre").join(said, ["id", "pre"], "left").select("id", "pre", F.coalesce(last, nothing).alias("context"))
