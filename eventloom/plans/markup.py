@@ -150,3 +150,23 @@ def listed_dates(spark, sf):
     own = T.part_of(F.col("text"), F.col("begin"), F.col("end"))
     day = D.listed_date(own, F.lit("2023-06-01"), F.col("context"))["date"]
     return entries.select(F.regexp_extract(own, r"第(\d+)番", 1).cast("long").alias("id"), day.alias("date"))
+
+
+@query("""with l as (select distinct l_orderkey as k, l_partkey as p from lineitem)
+    select k as id, 'https://a.jp/o/f/' || p || '.pdf' as url, 'pdf' as type, '資料 ' || p as label from l where p % 3 = 0
+    union all select k, 'https://a.jp/o/' || k || '/i/' || p || '.JPG', 'image', '図' || p from l where p % 3 = 1
+    union all select k, 'https://a.jp/s/' || p || '.webp', 'image', '像' from l where p % 3 = 2
+    union all select k, 'https://a.jp/s/' || p || '-2.webp', 'image', '' from l where p % 3 = 2""")
+def page_assets(spark, sf):
+    """A page per order shows a document, a picture in a link, or a picture with alternatives per line, in quotes of each kind or none."""
+    def item(x):
+        p = text(x["l_partkey"])
+        pdf = F.concat(F.lit("<a class=x href='../f/"), p, F.lit(".pdf?utm_source=m#p2'>資料\n <b>"), p, F.lit("</b></a>"))
+        linked = F.concat(F.lit("<a href=/g/"), p, F.lit(">図"), p, F.lit("<span><img src=\"i/"), p, F.lit(".JPG\"></span></a>"))
+        several = F.concat(F.lit("<picture><source srcset='/s/"), p, F.lit(".webp 1x, /s/"), p, F.lit("-2.webp 2x'><img alt=像 src=/s/"), p, F.lit(".webp></picture><a href=mailto:a@a.jp>m</a>"))
+        return F.when(x["l_partkey"] % 3 == 0, pdf).when(x["l_partkey"] % 3 == 1, linked).otherwise(several)
+
+    pages = lines(spark, sf).select("l_orderkey", F.concat(F.lit("<body><!-- <a href=x.pdf> -->"), F.array_join(F.transform("x", item), "")).alias("html"))
+    nodes, texts = T.elements(pages, "l_orderkey", "html", cut(spark))
+    urls = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("https://a.jp/o/"), text(F.col("o_orderkey")), F.lit("/")).alias("page_url"))
+    return T.assets(nodes, texts, urls)

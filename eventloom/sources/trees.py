@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.dates import heading_year
+from eventloom.functions.scalars import normal_url
+from eventloom.sources.pages import ASSET, resolved
 
 #: How far up a nearest box is looked for, and how deep elements nest at most (deeper ones become children of the last).
 LEVELS, DEEPEST = 8, 512
@@ -246,3 +248,29 @@ def year_contexts(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     last = F.last("_said", ignorenulls=True).over(order)
     nothing = F.struct(F.lit(None).cast("int").alias("year"), F.lit(False).alias("fiscal"))
     return nodes.select("id", "pre").join(said, ["id", "pre"], "left").select("id", "pre", F.coalesce(last, nothing).alias("context"))
+
+
+def assets(nodes: DataFrame, texts: DataFrame, urls: DataFrame, most: int = 120) -> DataFrame:
+    """(id, url, type, label): the documents (pdf) and pictures (image) that pages link or show, each once a page.
+
+    ``urls`` has (id, page_url). Addresses are resolved against the page and normalised. Links come
+    first, then pictures, then the alternatives of a source's ``srcset``; the first in page order gives
+    the label: a link's text, a picture's ``alt`` or else the text of the link around it, at most ``most``
+    characters of it. Pages without an address have no assets.
+    """
+    attr = lambda n: F.try_element_at("attrs", F.lit(n))
+    own = lambda: F.trim(F.left(compact(part_of(F.col("text"), F.col("begin"), F.col("end"))), F.lit(most)))
+    links = nodes.where((F.col("tag") == "a") & attr("href").isNotNull()).select("id", "pre", F.lit(0).alias("kind"), F.lit(0).alias("pos"), attr("href").alias("raw"), F.lit(None).cast("string").alias("alt"), F.col("pre").alias("link"))
+    shown = nodes.where((F.col("tag") == "img") & attr("src").isNotNull())
+    around = shown.select("id", "pre", F.posexplode("above").alias("level", "link")).join(nodes.where("tag = 'a'").select("id", F.col("pre").alias("link")), ["id", "link"])
+    around = around.groupBy("id", "pre").agg(F.min_by("link", "level").alias("link"))
+    pictures = shown.select("id", "pre", F.lit(1).alias("kind"), F.lit(0).alias("pos"), attr("src").alias("raw"), F.nullif(attr("alt"), F.lit("")).alias("alt")).join(around, ["id", "pre"], "left")
+    others = nodes.where((F.col("tag") == "source") & attr("srcset").isNotNull()).select("id", "pre", F.lit(2).alias("kind"), F.posexplode(F.split(attr("srcset"), ",")).alias("pos", "raw"))
+    others = others.select("id", "pre", "kind", "pos", F.split(compact("raw"), " ")[0].alias("raw"), F.lit("").alias("alt"), F.lit(None).cast("int").alias("link"))
+    found = links.unionByName(pictures).unionByName(others).where("raw <> ''").join(urls, "id")
+    found = found.withColumn("url", normal_url(resolved(F.col("raw"), F.col("page_url")))).where(F.col("url").rlike(ASSET))
+    first = found.groupBy("id", "url").agg(F.min_by(F.struct("alt", "link"), F.struct("kind", "pre", "pos")).alias("f")).select("id", "url", "f.*")
+    # only what is left takes a text from its page, and each link's text is read once
+    said = first.where("alt is null and link is not null").select("id", "link").distinct().join(nodes.select("id", F.col("pre").alias("link"), "begin", "end"), ["id", "link"]).join(texts, "id").select("id", "link", own().alias("said"))
+    kind = F.when(F.col("url").rlike(r"(?i)\.pdf(?:[?#]|$)"), "pdf").otherwise("image")
+    return first.join(said, ["id", "link"], "left").select("id", "url", kind.alias("type"), F.coalesce(F.left(F.trim("alt"), F.lit(most)), "said", F.lit("")).alias("label"))

@@ -131,3 +131,13 @@ def test_object_literals(spark):
     rows = spark.createDataFrame([(1, "D = {m: {1: ['a', 'b'], 2: []}}"), (2, "D = {m: run()}"), (3, None)], "id int, t string")
     got = J.nested_rows(rows, "id", J.object_literal(F.col("t"), "D"), ("month", "day"), "title").where("title is not null").collect()
     assert sorted(map(tuple, got)) == [(1, "m", "1", 0, "a"), (1, "m", "1", 1, "b")]
+
+
+def test_assets(spark):
+    html = '<a href="b.pdf#x"> 一  覧 </a><a href=""><img src=c.png></a><img alt="d" src="/D.GIF"><a href="./b.pdf">twice</a><source srcset=" , e.webp 2x,c.png"><img src=><a>none</a><a href="f.html">f</a>'
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "<a href=x.pdf>x</a>")], "page long, html string")
+    urls = spark.createDataFrame([(1, "https://a.jp/p/q.html"), (2, "https://a.jp/"), (3, None)], "id long, page_url string")
+    nodes, texts = T.elements(pages, "page", "html")
+    got = sorted(tuple(r) for r in T.assets(nodes, texts, urls).collect())
+    base = "https://a.jp/p/"
+    assert got == sorted([(1, base + "b.pdf", "pdf", "一 覧"), (1, base + "c.png", "image", ""), (1, "https://a.jp/D.GIF", "image", "d"), (1, base + "e.webp", "image", "")])
