@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -28,6 +29,11 @@ def fold_kana(c: Column) -> Column:
     return F.lower(F.translate(c, HIRAGANA, KATAKANA))
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def squeeze(c: Column) -> Column:
     """White space, the ideographic included, to one blank; trimmed."""
     return F.trim(F.regexp_replace(c, SPACE, " "))

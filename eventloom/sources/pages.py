@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from eventloom.functions.scalars import bound
+
 ASSET = r"(?i)\.(?:pdf|jpe?g|png|gif|webp)(?:[?#]|$)"
 
 
@@ -91,24 +93,30 @@ def decoded(raw: Column, content_type: Column | None = None) -> Column:
 
 def resolved(href: Column, base: Column) -> Column:
     """An address as seen from a page, without its fragment and with dots taken out of its path; null if it is neither http nor https."""
-    base, href = F.regexp_replace(base, "#.*$", ""), F.regexp_replace(F.trim(href), "#.*$", "")
-    origin = F.regexp_extract(base, r"(?i)^(https?://[^/?]+)", 1)
-    path = F.regexp_replace(F.substring(base, F.length(origin) + 1, F.length(base)), r"\?.*$", "")
-    whole = (
-        F.when(href.rlike("(?i)^https?://"), href)
-        .when(href.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None))
-        .when(href.startswith("//"), F.concat(F.regexp_extract(base, "^[^:]+:", 0), href))
-        .when(href.startswith("/"), F.concat(origin, href))
-        .when(href.startswith("?"), F.concat(origin, path, href))
-        .when(href == "", base)
-        .otherwise(F.concat(origin, F.regexp_replace(path, "[^/]*$", ""), F.when(path == "", "/").otherwise(""), href))
-    )
-    head, query = F.regexp_extract(whole, r"(?i)^https?://[^/?]+", 0), F.regexp_extract(whole, r"\?.*$", 0)
-    parts = F.split(F.regexp_replace(F.substring(whole, F.length(head) + 2, F.length(whole)), r"\?.*$", ""), "/")
-    step = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.array_append(done, x))
-    walked = F.aggregate(parts, F.array().cast("array<string>"), step)
-    tail = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(walked) > 0), "/").otherwise("")
-    return F.when(origin != "", F.concat(F.lower(head), F.lit("/"), F.array_join(walked, "/"), tail, query))
+    def joined(x: Column) -> Column:
+        href, origin, path = x["href"], x["origin"], x["path"]
+        return (
+            F.when(origin == "", F.lit(None))
+            .when(href.rlike("(?i)^https?://"), href)
+            .when(href.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None))
+            .when(href.startswith("//"), F.concat(F.regexp_extract(origin, "^[^:]+:", 0), href))
+            .when(href.startswith("/"), F.concat(origin, href))
+            .when(href.startswith("?"), F.concat(origin, path, href))
+            .when(href == "", F.concat(origin, path, x["query"]))
+            .otherwise(F.concat(origin, F.regexp_replace(path, "[^/]*$", ""), F.when(path == "", "/").otherwise(""), href))
+        )
+
+    def walked(x: Column) -> Column:
+        step = lambda done, y: F.when(y == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(y == ".", done).otherwise(F.array_append(done, y))
+        names = F.split(F.substring(x["path"], 2, 1 << 30), "/")
+        tail = lambda left: F.when(F.element_at(names, -1).isin(".", "..") & (F.size(left) > 0), "/").otherwise("")
+        ended = bound(F.aggregate(names, F.array().cast("array<string>"), step), lambda left: F.concat(F.array_join(left, "/"), tail(left)))
+        return F.concat(F.lower(x["origin"]), F.lit("/"), ended, x["query"])
+
+    pieces = lambda c: {n: F.regexp_extract(c, r"(?i)^(https?://[^/?#]+)?([^?#]*)(\?[^#]*)?", i).alias(n) for i, n in ((1, "origin"), (2, "path"), (3, "query"))}
+    seen = F.struct(*pieces(base).values(), F.regexp_replace(F.trim(href), "#.*$", "").alias("href"))
+    whole = bound(seen, joined)
+    return bound(bound(whole, lambda c: F.struct(*pieces(c).values())), lambda x: F.when(x["origin"] != "", walked(x)))
 
 
 def forwarded_to(html: Column, url: Column) -> Column:
@@ -117,6 +125,6 @@ def forwarded_to(html: Column, url: Column) -> Column:
     content = lambda t: F.coalesce(*[F.nullif(F.regexp_extract(t, rf"(?i)content\s*=\s*{q}([^{q}]*){q}", 1), F.lit("")) for q in "\"'"])
     form = r"""(?i)^\s*(\d+(?:\.\d+)?)\s*[;,]\s*url\s*=\s*['"]?([^'"\s]+)"""
     sends = lambda t: t.rlike(r"""(?i)http-equiv\s*=\s*["']?refresh""") & (F.regexp_extract(content(t), form, 1).try_cast("double") <= 10)
-    target = resolved(F.regexp_extract(content(F.try_element_at(F.filter(tags, sends), F.lit(1))), form, 2), url)
+    target = resolved(bound(F.try_element_at(F.filter(tags, sends), F.lit(1)), lambda t: F.regexp_extract(content(t), form, 2)), url)
     host = lambda c: F.lower(F.regexp_extract(c, r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    return F.when((host(target) == host(url)) & (target != resolved(url, url)), target)
+    return bound(target, lambda t: F.when((host(t) == host(url)) & (t != resolved(url, url)), t))

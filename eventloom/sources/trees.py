@@ -15,9 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.dates import heading_year
-from eventloom.functions.scalars import normal_url
+from eventloom.functions.scalars import bound, normal_url
 from eventloom.sources.pages import ASSET, resolved
 
+#: No address without such an ending in it can be that of a document or picture, so that others are not resolved.
+NAMED = r"(?i)\.(?:pdf|jpe?g|png|gif|webp)"
+
 #: How far up a nearest box is looked for, and how deep elements nest at most (deeper ones become children of the last).
 LEVELS, DEEPEST = 8, 512
 #: Elements sent on at once: bounds a task's memory, not the result.
@@ -268,7 +271,7 @@ def assets(nodes: DataFrame, texts: DataFrame, urls: DataFrame, most: int = 120)
     others = nodes.where((F.col("tag") == "source") & attr("srcset").isNotNull()).select("id", "pre", F.lit(2).alias("kind"), F.posexplode(F.split(attr("srcset"), ",")).alias("pos", "raw"))
     others = others.select("id", "pre", "kind", "pos", F.split(compact("raw"), " ")[0].alias("raw"), F.lit("").alias("alt"), F.lit(None).cast("int").alias("link"))
     found = links.unionByName(pictures).unionByName(others).where("raw <> ''").join(urls, "id")
-    found = found.withColumn("url", normal_url(resolved(F.col("raw"), F.col("page_url")))).where(F.col("url").rlike(ASSET))
+    found = found.where(F.col("raw").rlike(NAMED)).withColumn("url", bound(resolved(F.col("raw"), F.col("page_url")), normal_url)).where(F.col("url").rlike(ASSET))
     first = found.groupBy("id", "url").agg(F.min_by(F.struct("alt", "link"), F.struct("kind", "pre", "pos")).alias("f")).select("id", "url", "f.*")
     # only what is left takes a text from its page, and each link's text is read once
     said = first.where("alt is null and link is not null").select("id", "link").distinct().join(nodes.select("id", F.col("pre").alias("link"), "begin", "end"), ["id", "link"]).join(texts, "id").select("id", "link", own().alias("said"))
