@@ -61,17 +61,21 @@ def nearest(points: DataFrame, places: DataFrame, metres: float, k: int, point:
 
     Both have (id, lat, lon). Places go to a grid cell as large as the distance, points to the nine cells
     around theirs: an equi-join, no pair beyond neighbouring cells is made. A degree of longitude shrinks with
-    latitude, so cells are as wide as 75 degrees of latitude needs.
+    latitude, so cells are as wide as 75 degrees of latitude needs. Points of one spot share one search, and of
+    places at one spot only the first k by their id can be among the k nearest, so that pairs grow with the spots.
     """
     step = metres / 111_000
     wide = step / math.cos(math.radians(75))
     cell = lambda c, s: F.floor(F.col(c) / s)
-    near = places.select(F.col(place), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), cell("lat", step).alias("_i"), cell("lon", wide).alias("_j"))
+    spot = Window.partitionBy("lat", "lon").orderBy(place)
+    firsts = places.select(place, "lat", "lon").where("lat is not null and lon is not null").withColumn("_nth", F.row_number().over(spot)).where(F.col("_nth") <= k)
+    near = firsts.select(F.col(place), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), cell("lat", step).alias("_i"), cell("lon", wide).alias("_j"))
     around = F.explode(F.array(*[F.struct((cell("lat", step) + i).alias("_i"), (cell("lon", wide) + j).alias("_j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    mine = points.select(F.col(point), "lat", "lon", around.alias("c")).select(point, "lat", "lon", "c.*")
-    pairs = mine.join(near, ["_i", "_j"]).withColumn("metres", F.round(haversine_m(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))).cast("long"))
-    w = Window.partitionBy(point).orderBy("metres", place)
-    return pairs.where(F.col("metres") <= metres).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k).select(point, place, "metres", "rk")
+    mine = points.select("lat", "lon").distinct().select("lat", "lon", around.alias("c")).select("lat", "lon", "c.*")
+    pairs = mine.join(near.hint("merge"), ["_i", "_j"]).withColumn("metres", F.round(haversine_m(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))).cast("long"))
+    w = Window.partitionBy("lat", "lon").orderBy("metres", place)
+    best = pairs.where(F.col("metres") <= metres).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k).select("lat", "lon", place, "metres", "rk")
+    return points.select(point, "lat", "lon").join(best.hint("merge"), ["lat", "lon"]).select(point, place, "metres", "rk")
 
 
 def longest_contained(texts: DataFrame, names: DataFrame, id_: str, text: str, name: str, most_words: int) -> DataFrame:
