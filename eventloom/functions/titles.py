@@ -226,8 +226,12 @@ def split_place(place: Column, address: Column) -> Column:
 
 
 def plain_address(c: Column) -> Column:
-    """An address without its postal code, in single spaces and half-width letters."""
-    return squeeze(half_width(F.regexp_replace(F.coalesce(c, F.lit("")), r"〒?\s*\d{3}[-－―ー]?\d{4}", " ")))
+    """An address without its postal code, in single spaces and half-width letters.
+
+    Seven digits without mark or hyphen are one only where a word begins: elsewhere they number a house.
+    """
+    code = r"〒\s*\d{3}[-－―ー]?\d{4}|\s*\d{3}[-－―ー]\d{4}|(?<![^\s　])\d{7}(?!\d)"
+    return squeeze(half_width(F.regexp_replace(F.coalesce(c, F.lit("")), code, " ")))
 
 
 def foreign_script(c: Column) -> Column:
