@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.dates import day_text
-from eventloom.functions.scalars import half_width
+from eventloom.functions.scalars import bound, half_width
 
 # The names under which a field stands in brackets; weekdays from Monday.
 FIELDS = {"日時": "date", "開催日": "date", "日程": "date", "場所": "place", "会場": "place", "時間": "time", "締切": "deadline", "申込締切": "deadline", "対象": "age", "内容": "notes"}
@@ -54,11 +54,13 @@ def listed_days(text: Column, year: Column) -> Column:
 
 def day_spans(text: Column, year: Column) -> Column:
     """array<struct<date, end>>: two days joined by a wave are one span, listed ones are one each."""
-    days = listed_days(text, year)
-    joined = F.size(days) == 2
     wave = half_width(F.coalesce(text, F.lit(""))).rlike(r"日\s*(?:[（(][^）)]*[）)])?\s*[〜~～]\s*(?:\d{1,2}月)?\d{1,2}日")
-    one = F.array(F.struct(F.get(days, F.lit(0)).alias("date"), F.get(days, F.lit(1)).alias("end")))
-    return F.when(joined & wave, one).otherwise(F.transform(days, lambda d: F.struct(d.alias("date"), F.lit(None).cast("string").alias("end"))))
+
+    def spans(days: Column) -> Column:
+        one = F.array(F.struct(F.get(days, F.lit(0)).alias("date"), F.get(days, F.lit(1)).alias("end")))
+        return F.when((F.size(days) == 2) & wave, one).otherwise(F.transform(days, lambda d: F.struct(d.alias("date"), F.lit(None).cast("string").alias("end"))))
+
+    return bound(listed_days(text, year), spans)
 
 
 def locations(xml: Column) -> Column:

@@ -44,7 +44,9 @@ def cases(name: str, columns: str, apply: Callable[..., Sequence[Column]], rows:
 
     def query(spark, sf: str) -> DataFrame:
         samples = spark.createDataFrame([(i, *x) for i, x in enumerate(inputs)], "i int, " + ", ".join(f"{f} string" for f in fields))
-        parts = table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % len(rows)).cast("int").alias("i")).join(F.broadcast(samples), "i")
+        # a file of keys alone is so small that one task would read it: the work on them is dealt to all cores
+        keys = table(spark, sf, "part").select("p_partkey").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+        parts = keys.select("p_partkey", (F.col("p_partkey") % len(rows)).cast("int").alias("i")).join(F.broadcast(samples), "i")
         filled = [F.replace(F.col(f), F.lit("{k}"), F.col("p_partkey").cast("string")) for f in fields]
         return parts.select("p_partkey", *[c.alias(n) for c, n in zip(apply(*filled), names, strict=True)])
 
