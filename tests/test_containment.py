@@ -32,3 +32,13 @@ def test_merged_titles_and_twins(spark):
     a = spark.createDataFrame([(1, "d", "音楽まつり", "港"), (2, "d", "音楽まつり", None), (3, "d", "音楽まつり", "山")], "id int, date string, title string, place string")
     b = spark.createDataFrame([(8, "d", "秋の音楽まつり", "港の広場"), (9, "e", "音楽まつり", "港")], "id int, date string, title string, place string")
     assert sorted(map(tuple, N.twins(a, b).collect())) == [(1, 8), (2, 8)]
+
+
+def test_texts_meet_the_names_where_they_lie(spark):
+    """Grams of texts are many times the texts: they are cut once for names and once for stems, and not counted."""
+    names = [f"{a}{b}基地" for a in "甲乙丙丁" for b in ("", "山川", "山川草木花鳥", "山川草木花鳥風月雪")]
+    texts = spark.createDataFrame([*enumerate(names), (98, None), (99, "名なし")], "id int, t string")
+    got = C.longest_name(texts, spark.createDataFrame([(n,) for n in names], "name string"), "id", "t", "name")
+    assert {r["id"]: r["name"] for r in got.collect()} == {**dict(enumerate(names)), 98: None, 99: None}
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert plan.count("explode(array_distinct(regexp_extract_all(t#") + plan.count("explode(concat(regexp_extract_all(t#") == 2
