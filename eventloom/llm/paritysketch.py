@@ -39,6 +39,7 @@ from eventloom.llm.common import U, chunks, components, dropped, mix, only, word
 MULTIPLIERS = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53)]
 #: Texts whose class a task remembers, so as to emit the pieces of a copy once: bounds its memory, not the result.
 REMEMBERED = 500_000
+#: Bits of a sketch at least; a larger set has as many as shingles, or up to twice that, as a fuller sketch tells nothing apart.
 SKETCH = 2048
 #: Buckets of more members than this are compared by sketches in blocks, smaller ones by a join.
 SMALL = 32
@@ -136,11 +137,17 @@ def piece_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """SKETCH bits in which every shingle flips one: the Hamming distance of two is at most the symmetric difference."""
-    bits = np.bincount((s & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    """Bits in which every shingle flips one, a power of two: the Hamming distance of two is at most the symmetric difference."""
+    width = max(SKETCH, 1 << max(0, len(s) - 1).bit_length())
+    bits = np.bincount((s & U(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches of one width (a row each, in 64-bit words) in a smaller one: what the sets have in so many words of bits."""
+    return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, words), 1)
+
+
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,25 +210,68 @@ def _verified(k: int, percent: int):
 
 def _compared(percent: int, nearest: bool):
     """For a block of asking classes and one of members of a large bucket: per class that asks, the
-    classes of other components that sketches do not tell apart, or the nearest of them."""
+    classes of other components that sketches do not tell apart, or the nearest of them.
+
+    Two sketches are compared in the width of the smaller. Where asking classes are among the
+    members, too (the bucket is one block), a pair of two that ask is found once."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(group["sketch"]), U).reshape(len(group), -1)
-        size, cls, comp, asks = (group[c].to_numpy() for c in ("n_shingles", "class", "component", "asks"))
-        others = np.flatnonzero(~asks)
-        bits, sizes, comps, names = x[others], size[others], comp[others], cls[others]
-        found = []
-        for i in np.flatnonzero(asks):
-            differ = np.bitwise_count(bits ^ x[i]).sum(1, dtype=np.int64)
-            hit = np.flatnonzero((differ * (100 + percent) <= (sizes + size[i]) * (100 - percent)) & (comps != comp[i]))
-            if len(hit):
-                best = hit[differ[hit].argmin()]
-                found.append((cls[i], [names[best]] if nearest else names[hit], differ[best]))
-        return pd.DataFrame(found, columns=["u", "near", "differ"])
+        size, cls, comp, asks, stays = (group[c].to_numpy() for c in ("n_shingles", "class", "component", "asks", "stays"))
+        words = group["sketch"].map(len).to_numpy() // 8
+        found: dict[int, list[tuple[int, int]]] = {}
+        for width in np.unique(words):
+            wide = [(w, np.flatnonzero(words == w)) for w in np.unique(words) if w >= width]
+            rows = np.concatenate([r for _, r in wide])
+            bits = np.concatenate([folded(np.frombuffer(b"".join(group["sketch"].iloc[r]), U).reshape(len(r), -1), width) for w, r in wide])
+            order = np.argsort(size[rows], kind="stable")  # those of a like size are a slice
+            rows, bits = rows[order], bits[order]
+            sizes, names, comps, own = size[rows], cls[rows], comp[rows], words[rows] == width
+            one, both = stays[rows], stays[rows] & asks[rows]
+            low = np.searchsorted(sizes, -(-sizes * percent // 100))
+            high = np.searchsorted(sizes, sizes * 100 // percent, "right")
+            for i in np.flatnonzero(asks[rows]):
+                part = slice(low[i], high[i])
+                differ = np.bitwise_count(bits[part] ^ bits[i]).sum(1, dtype=np.int64)
+                hit = one[part] & (differ * (100 + percent) <= (sizes[part] + sizes[i]) * (100 - percent))
+                if not hit.any():
+                    continue
+                hit &= comps[part] != comps[i]
+                # a sketch of this width meets all that are as wide or wider, a wider one those of this width
+                if not own[i]:
+                    hit &= own[part]
+                if not nearest and both[i]:
+                    hit &= ~both[part] | (names[part] > names[i])
+                if hit.any():
+                    found.setdefault(rows[i], []).append((names[part][hit], differ[hit]))
+        out = []
+        for i, parts in found.items():
+            near, differ = (np.concatenate(x) for x in zip(*parts, strict=True))
+            best = differ.argmin()
+            out.append((cls[i], [near[best]] if nearest else near, differ[best]))
+        return pd.DataFrame(out, columns=["u", "near", "differ"])
 
     return run
 
 
+def compared(many: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """(u, near, differ) of the large buckets: blocks of the classes that ask against blocks of all members.
+
+    In a bucket of one block every member is sent once, in others once for each block that it meets."""
+    who = many.select("class").distinct().join(classes.select("class", "rep"), "class").withColumnRenamed("rep", "doc_id")
+    who = who.join(sets.select("doc_id", "class", "n_shingles", "sketch"), ["doc_id", "class"]).dropDuplicates(["class"]).select("class", "n_shingles", "sketch")
+    asking = many.groupBy("key").agg(F.count_if("asks").alias("asking"))
+    rows = many.join(asking.where("asking > 0"), "key").join(who, "class")
+    across, down = F.ceil(F.col("asking") / BLOCK).cast("int"), F.ceil(F.col("size") / BLOCK).cast("int")
+    # where a row goes, as (i, j, asks, stays): it asks in a line of blocks, and stays in another to be compared with
+    place = lambda i, j, asks, stays: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), asks.alias("asks"), stays.alias("stays"))
+    no, yes = F.lit(False), F.lit(True)
+    one = F.transform(F.sequence(F.lit(0), down - 1), lambda j: place(F.pmod(F.hash("class"), across), j, yes, no))
+    two = F.transform(F.sequence(F.lit(0), across - 1), lambda i: place(i, F.pmod(F.hash("class"), down), no, yes))
+    places = F.when(down == 1, F.array(place(F.lit(0), F.lit(0), F.col("asks"), yes))).when(F.col("asks"), F.concat(one, two)).otherwise(two)
+    rows = rows.select("key", "class", "component", "n_shingles", "sketch", F.explode(places).alias("p")).select("key", "class", "component", "n_shingles", "sketch", "p.*")
+    return rows.groupBy("key", "i", "j").applyInPandas(_compared(percent, nearest), "u long, near array<long>, differ long")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of (doc_id, text).
 
@@ -294,28 +344,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         found = placed.join(open_keys.select("key", "size", F.col("main.component").alias("main")), "key")
         return found.withColumn("outside", F.col("component") != F.col("main")).drop("main")
 
-    def compared(many: DataFrame, nearest: bool) -> DataFrame:
-        """(u, near, differ) of the large buckets: blocks of the classes that ask against blocks of all members."""
-        who = many.select("class").distinct().join(classes.select("class", "rep"), "class").withColumnRenamed("rep", "doc_id")
-        who = who.join(sets.select("doc_id", "class", "n_shingles", "sketch"), ["doc_id", "class"]).dropDuplicates(["class"]).select("class", "n_shingles", "sketch")
-        asking = many.groupBy("key").agg(F.count_if("asks").alias("asking"))
-        rows = many.join(asking.where("asking > 0"), "key").join(who, "class")
-        across, down = F.ceil(F.col("asking") / BLOCK).cast("int"), F.ceil(F.col("size") / BLOCK).cast("int")
-        columns = ("key", "class", "component", "n_shingles", "sketch")
-        one = rows.where("asks").select(*columns, F.lit(True).alias("asks"), F.pmod(F.hash("class"), across).alias("i"), F.explode(F.sequence(F.lit(0), down - 1)).alias("j"))
-        two = rows.select(*columns, F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), across - 1)).alias("i"), F.pmod(F.hash("class"), down).alias("j"))
-        return one.unionByName(two).groupBy("key", "i", "j").applyInPandas(_compared(percent, nearest), "u long, near array<long>, differ long")
-
     # what shares a large bucket and is in different components yet: first every class outside of the
     # main component with the nearest of others in its largest bucket, a pair a class, which joins most ...
     left = left_over()
     for _ in range(ROUNDS):
         many = left.where(F.col("size") > SMALL)
         chosen = many.where("outside").groupBy("class").agg(F.max(F.struct("size", "key"))["key"].alias("key"), F.lit(True).alias("asks"))
-        many = many.join(chosen.select("key").distinct(), "key", "left_semi").join(chosen, ["key", "class"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-        best = compared(many, True).groupBy("u").agg(F.min(F.struct("differ", F.col("near")[0].alias("v")))["v"].alias("v"))
+        # written, as it is read three times
+        many = written(many.join(chosen.select("key").distinct(), "key", "left_semi").join(chosen, ["key", "class"], "left").withColumn("asks", F.coalesce("asks", F.lit(False))))
+        best = compared(many, classes, sets, percent, True).groupBy("u").agg(F.min(F.struct("differ", F.col("near")[0].alias("v")))["v"].alias("v"))
         best = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         new = verify(best)
+        dropped(many)
         if new.isEmpty():
             break
         edges = edges.unionByName(new)
@@ -331,7 +371,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     rest = x.join(y, "key").where("cu <> cv").select("key", "band", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "nu", "nv").dropDuplicates(["key", "band", "u", "v"])
     rest = rest.groupBy("u", "v", "band").agg(F.count("*").alias("n"), least_need)
     rest = written(rest.where("n >= need").select("u", "v").distinct())
-    alike = compared(left.where(F.col("size") > SMALL).withColumnRenamed("outside", "asks"), False).select("u", F.explode("near").alias("v"))
+    alike = compared(left.where(F.col("size") > SMALL).withColumnRenamed("outside", "asks"), classes, sets, percent, False).select("u", F.explode("near").alias("v"))
     alike = written(alike.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     more = verify(rest.unionByName(alike).distinct().join(tried, ["u", "v"], "left_anti"))
     for done in (left, tried, rest, alike):
