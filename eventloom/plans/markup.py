@@ -64,25 +64,26 @@ def link_boxes(spark, sf):
         return F.concat(F.lit("<section id=s"), text(F.col("l_orderkey")), F.lit("-"), text(i + 1), F.lit(">"), head, deep, F.lit("</section>"))
 
     html = F.concat(F.lit("<body><h1>頁</h1><article id='o"), text(F.col("l_orderkey")), F.lit("'><h2>注文</h2>"), F.array_join(F.transform("x", section), ""), F.lit("</article>"))
-    nodes, texts = T.elements(lines(spark, sf).select("l_orderkey", html.alias("html")), "l_orderkey", "html", cut(spark))
-    return boxes(nodes, texts)
+    return boxes(T.trees(lines(spark, sf).select(F.col("l_orderkey").alias("id"), html.alias("html")), "html"))
 
 
-def boxes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def boxes(pages: DataFrame) -> DataFrame:
     """(id, href, box, level): the nearest box with a heading around every link, by the box's id or its tag."""
-    name = F.coalesce(F.try_element_at("attrs", F.lit("id")), "tag")
-    found = T.nearest_box(nodes, texts, (F.col("tag") == "a") & F.map_contains_key("attrs", F.lit("href")), F.col("tag").isin(*T.HEADINGS), F.col("n") >= 1)
-    hrefs = nodes.select("id", F.col("pre").alias("target"), F.try_element_at("attrs", F.lit("href")).alias("href"))
-    names = nodes.select("id", F.col("pre").alias("_pre"), name.alias("name"))
-    both = found.join(hrefs, ["id", "target"]).join(names.withColumnRenamed("_pre", "box"), ["id", "box"])
-    return both.select("id", "href", F.col("name").alias("box"), "level")
+    attr = lambda x, n: F.try_element_at(x["attrs"], F.lit(n))
+    href, name = lambda t: [attr(t, "href").alias("href")], lambda b: [F.coalesce(attr(b, "id"), b["tag"]).alias("name")]
+    found = T.nearest_in(pages, lambda x: (x["tag"] == "a") & F.map_contains_key(x["attrs"], F.lit("href")), heading, lambda b: b["n"] >= 1, href, name)
+    return found.select("id", "href", F.col("name").alias("box"), "level")
+
+
+def heading(x: F.Column) -> F.Column:
+    return x["tag"].isin(*T.HEADINGS)
 
 
 @query(None)
 def paragraph_boxes(spark, sf):
     """For every paragraph of the given pages its nearest box with a heading; SQL cannot cut pages into elements, a test walks up from each."""
-    nodes, texts = T.elements(table(spark, sf, "pages").select("page_id", "html"), "page_id", "html", cut(spark))
-    return T.nearest_box(nodes, texts, F.col("tag") == "p", F.col("tag").isin(*T.HEADINGS), F.col("n") >= 1).select(F.col("id").alias("page_id"), "target", "box", "tag", "level")
+    pages = T.trees(table(spark, sf, "pages").select(F.col("page_id").alias("id"), "html"), "html")
+    return T.nearest_in(pages, lambda x: x["tag"] == "p", heading, lambda b: b["n"] >= 1).select(F.col("id").alias("page_id"), "target", "box", "tag", "level")
 
 
 @query("""select o_custkey as id, strftime(o_orderdate, '%Y-%m') as month, strftime(o_orderdate, '%d') as day, cast(row_number() over (partition by o_custkey, o_orderdate::date order by o_orderkey) - 1 as int) as pos, '注文 "{' || o_orderkey || '}"' as title from orders""")
@@ -166,7 +167,6 @@ def page_assets(spark, sf):
         several = F.concat(F.lit("<picture><source srcset='/s/"), p, F.lit(".webp 1x, /s/"), p, F.lit("-2.webp 2x'><img alt=像 src=/s/"), p, F.lit(".webp></picture><a href=mailto:a@a.jp>m</a>"))
         return F.when(x["l_partkey"] % 3 == 0, pdf).when(x["l_partkey"] % 3 == 1, linked).otherwise(several)
 
-    pages = lines(spark, sf).select("l_orderkey", F.concat(F.lit("<body><!-- <a href=x.pdf> -->"), F.array_join(F.transform("x", item), "")).alias("html"))
-    nodes, texts = T.elements(pages, "l_orderkey", "html", cut(spark))
+    pages = lines(spark, sf).select(F.col("l_orderkey").alias("id"), F.concat(F.lit("<body><!-- <a href=x.pdf> -->"), F.array_join(F.transform("x", item), "")).alias("html"))
     urls = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("https://a.jp/o/"), text(F.col("o_orderkey")), F.lit("/")).alias("page_url"))
-    return T.assets(nodes, texts, urls)
+    return T.assets_in(T.trees(pages.join(urls, "id"), "html"))

@@ -10,9 +10,11 @@ import html as entities
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from eventloom.functions.dates import heading_year
 from eventloom.functions.scalars import bound, normal_url
@@ -23,8 +25,8 @@ NAMED = r"(?i)\.(?:pdf|jpe?g|png|gif|webp)"
 
 #: How far up a nearest box is looked for, and how deep elements nest at most (deeper ones become children of the last).
 LEVELS, DEEPEST = 8, 512
-#: Elements sent on at once: bounds a task's memory, not the result.
-MANY = 20_000
+#: Elements sent on at once, and pages and characters taken up at once: they bound a task's memory, not the result.
+MANY, PAGES, CHARACTERS = 20_000, 64, 4_000_000
 NODE = "pre int, last int, depth int, parent int, tag string, attrs map<string,string>, begin int, end int, above array<int>, row int, table int"
 # Fixed values of the HTML standard: elements without content, elements whose content is text, and what an opening tag ends.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -51,7 +53,7 @@ def _elements(page: str) -> tuple[list[list], str]:
     def say(part: str) -> None:
         nonlocal size
         if part:
-            text.append(entities.unescape(part))
+            text.append(entities.unescape(part) if "&" in part else part)
             size += len(text[-1])
 
     def end(depth: int) -> None:
@@ -61,28 +63,37 @@ def _elements(page: str) -> tuple[list[list], str]:
 
     while at < len(page):
         m = TOKEN.search(page, at)
-        say(page[at : m.start() if m else len(page)])
         if not m:
+            say(page[at:])
             break
+        if m.start() > at:
+            say(page[at : m.start()])
         at, tag = m.end(), (m[2] or "").lower()
         if not tag:
             continue
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if out[stack[i]][4] == tag), None)
-            if depth is not None:
-                end(depth)
+            for depth in range(len(stack) - 1, -1, -1):
+                if out[stack[depth]][4] == tag:
+                    end(depth)
+                    break
             continue
-        for i in range(len(stack) - 1, -1, -1):
+        closes, keeps = CLOSES.get(tag, ()), KEEPS.get(tag)
+        for i in range(len(stack) - 1, -1, -1) if closes else ():
             name = out[stack[i]][4]
-            if name in CLOSES.get(tag, ()):
+            if name in closes:
                 end(i)
-            elif name in KEEPS.get(tag, ()) or tag not in KEEPS:
+            elif keeps is None or name in keeps:
                 break
         attrs: dict[str, str] = {}
-        for a in ATTRIBUTE.finditer(m[3]):
-            attrs.setdefault(a[1].lower(), entities.unescape(a[2] or a[3] or a[4] or ""))
-        near = lambda t: next((i for i in reversed(stack) if out[i][4] == t), None)
-        out.append([len(out), len(out), len(stack), stack[-1] if stack else None, tag, list(attrs.items()), size, size, stack[: -LEVELS - 1 : -1], near("tr"), near("table")])
+        for name, *said in ATTRIBUTE.findall(m[3]) if m[3] else ():
+            value = said[0] or said[1] or said[2]
+            attrs.setdefault(name.lower(), entities.unescape(value) if "&" in value else value)
+        parent = row = table = None
+        if stack:
+            parent = stack[-1]
+            around = out[parent]
+            row, table = parent if around[4] == "tr" else around[9], parent if around[4] == "table" else around[10]
+        out.append([len(out), len(out), len(stack), parent, tag, list(attrs.items()), size, size, stack[: -LEVELS - 1 : -1], row, table])
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])|\Z", re.I).search(page, at)
             if tag in ("title", "textarea"):
@@ -107,27 +118,63 @@ def elements(pages: DataFrame, id_: str, html: str, cut: Callable[[DataFrame], D
     """
     own = pages.select(F.col(id_).alias("id"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     kind = own.schema["id"].dataType.simpleString()
-    fields = [f.split(" ", 1) for f in NODE.replace("map<string,string>", "map").split(", ")]
-    types = {"int": pa.int32(), "string": pa.string(), "map": pa.map_(pa.string(), pa.string()), "array<int>": pa.list_(pa.int32())}
+    fields = _fields()
 
-    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in _cut(batches):
             held: list[tuple] = []
-            pages = batch.column("html").to_pylist()
-            for i, page in enumerate(pages):
-                rows, text = _elements(page)
+            for i, (rows, text) in enumerate(found):
                 held += [(i, *r, None) for r in rows]
                 held.append((i, *[None] * len(fields), text))  # the last row has the page's text
-                if len(held) > MANY or i == len(pages) - 1:
-                    at, *columns, texts = zip(*held, strict=True)
-                    ids = batch.column("id").take(pa.array(at, pa.int32()))
-                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, types[t]) for c, (_, t) in zip(columns, fields, strict=True)), pa.array(texts, pa.string())], ["id", *(n for n, _ in fields), "text"])
-                    held = []
+            at, *columns, texts = zip(*held, strict=True)
+            ids = batch.column("id").take(pa.array(at, pa.int32()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)), pa.array(texts, pa.string())], ["id", *(n for n, _ in fields), "text"])
 
-    both = cut(own.mapInArrow(trees, f"id {kind}, {NODE}, text string"))
+    both = cut(own.mapInArrow(cut_rows, f"id {kind}, {NODE}, text string"))
     return both.where("pre is not null").drop("text"), both.where("pre is null").select("id", "text")
 
 
+def trees(pages: DataFrame, html: str) -> DataFrame:
+    """The pages' other columns with ``nodes``, the elements of ``elements`` in order, and ``text``, the whole text, in place of the html.
+
+    An element is at the place of its number, so that what asks for ancestors reads them there, without a join.
+    """
+    rest = [c for c in pages.columns if c != html]
+    own = pages.select(*rest, F.coalesce(F.col(html), F.lit("")).alias("html"))
+    kinds = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in rest)
+    fields = _fields()
+
+    def cut_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in _cut(batches):
+            columns = list(zip(*(r for rows, _ in found for r in rows), strict=True)) or [[]] * len(fields)
+            flat = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+            ends = pa.array(np.cumsum([0, *(len(rows) for rows, _ in found)]), pa.int32())
+            texts = pa.array([text for _, text in found], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.ListArray.from_arrays(ends, flat), texts], [*rest, "nodes", "text"])
+
+    node = ", ".join(f"{n}: {t}" for n, t in (f.split(" ", 1) for f in NODE.split(", ")))
+    return own.mapInArrow(cut_pages, f"{kinds}, nodes array<struct<{node}>>, text string")
+
+
+def _fields() -> list[tuple[str, pa.DataType]]:
+    types = {"int": pa.int32(), "string": pa.string(), "map": pa.map_(pa.string(), pa.string()), "array<int>": pa.list_(pa.int32())}
+    return [(n, types[t]) for n, t in (f.split(" ", 1) for f in NODE.replace("map<string,string>", "map").split(", "))]
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[list[list], str]]]]:
+    """Some pages at a time with the elements and the text of each."""
+    for batch in batches:
+        first, found, n, size = 0, [], 0, 0
+        for i in range(len(batch)):
+            if i % PAGES == 0:
+                pages = batch.column("html").slice(i, PAGES).to_pylist()
+            found.append(_elements(pages[i % PAGES]))
+            n, size = n + len(found[-1][0]), size + len(pages[i % PAGES])
+            if n > MANY or size > CHARACTERS or i == len(batch) - 1:
+                yield batch.slice(first, i + 1 - first), found
+                first, found, n, size = i + 1, [], 0, 0
+
+
 def compact(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[\s　\x{00a0}]+", " "))
 
@@ -136,30 +183,68 @@ def part_of(text: Column, begin: Column, end: Column) -> Column:
     return F.substr(text, begin + 1, end - begin)
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def _running(flags: pa.Array) -> pa.Array:
+    """The running count of the true ones of each list."""
+    ends = flags.offsets.to_numpy()
+    upto = np.cumsum(flags.values.to_numpy(zero_copy_only=False)[: ends[-1]], dtype=np.int32)
+    before = np.concatenate([np.zeros(1, np.int32), upto])[ends[:-1]]
+    counted = upto[ends[0] :] - np.repeat(before, np.diff(ends))
+    return pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(counted, pa.int32()))
+
+
+def _ways(pages: DataFrame, targets: Callable[[Column], Column], counted: Callable[[Column], Column], keep: Callable[[Column], list[Column]], named: Callable[[Column], list[Column]]) -> DataFrame:
+    """(id, target, ``keep`` of the target, boxes): the ancestors of each target in order, with ``n`` and ``named``, none beyond main."""
+    own = pages.where(F.exists("nodes", targets)).select("id", "nodes", _running(F.transform("nodes", lambda x: F.coalesce(counted(x), F.lit(False)))).alias("upto"))
+    nodes, upto = F.col("nodes"), F.col("upto")
+
+    def box(b: Column, level: Column) -> Column:
+        at = F.get(nodes, b)
+        return F.struct(level.alias("level"), b.alias("box"), at["tag"].alias("tag"), at["begin"].alias("begin"), at["end"].alias("end"), (F.get(upto, at["last"]) - F.get(upto, b)).alias("n"), *named(at))
+
+    ways = F.transform(F.filter(nodes, targets), lambda t: F.struct(t["pre"].alias("target"), *keep(t), F.transform(t["above"], box).alias("boxes")))
+    found = own.select("id", F.explode(ways).alias("w")).select("id", "w.*")
+    # a main element ends the way up: what lies above it is no box
+    main = F.array_position(F.transform("boxes", lambda x: x["tag"]), "main").cast("int")
+    return found.withColumn("boxes", F.when(main > 0, F.slice("boxes", F.lit(1), main)).otherwise(F.col("boxes")))
+
+
+def _box(x: Column) -> Column:
+    return ~x["tag"].isin("html", "body")
+
+
+def nearest_in(pages: DataFrame, targets: Callable[[Column], Column], counted: Callable[[Column], Column], good: Callable[[Column], Column], keep: Callable[[Column], list[Column]] = lambda t: [], named: Callable[[Column], list[Column]] = lambda b: []) -> DataFrame:
+    """``nearest_box`` over (id, nodes) of ``trees``: no row leaves its page, so that nothing is shuffled.
+
+    (id, target, box, tag, level) and what ``keep`` takes from the target and ``named`` from the box.
+    """
+    ways = _ways(pages, targets, counted, keep, named)
+    best = ways.withColumn("b", F.get(F.filter("boxes", lambda x: _box(x) & good(x)), F.lit(0))).where("b is not null")
+    more = [c for c in best.select("b.*").columns if c not in ("level", "box", "tag", "begin", "end", "n")]
+    return best.select("id", "target", "b.box", "b.tag", "b.level", *(c for c in ways.columns if c not in ("id", "target", "boxes")), *(f"b.{c}" for c in more))
+
+
 def nearest_box(nodes: DataFrame, texts: DataFrame, targets: Column, counted: Column, good: Column, field: str = "", fallback: bool = False) -> DataFrame:
     """(id, target, box, tag, level): for each target element its nearest ancestor (not html or body, none beyond main) that is good.
 
     ``good`` may use ``n``, how many elements that meet ``counted`` lie in the ancestor, and ``has``,
     whether its text has the pattern ``field``. With ``fallback``, the outermost ancestor that has the
     field serves if none is good. Counts are differences of a running count, so no pair of elements
-    of a page is compared; an ancestor's text is read once however many targets it has.
+    of a page is compared; an ancestor's text is read once however many targets it has. The elements of
+    a page meet in one row.
     """
-    order = Window.partitionBy("id").orderBy("pre")
-    marked = nodes.withColumn("_upto", F.sum(F.when(counted, 1).otherwise(0)).over(order)).select("id", "pre", "last", "tag", "begin", "end", "above", "_upto", F.coalesce(targets, F.lit(False)).alias("_target"))
-    asked = marked.where("_target").select("id", F.col("pre").alias("target"), F.posexplode("above").alias("level", "box"))
-    boxes = asked.select("id", "box").distinct().join(marked.select("id", F.col("pre").alias("box"), "last", "tag", "begin", "end", F.col("_upto").alias("_before")), ["id", "box"])
-    ends = marked.select("id", F.col("pre").alias("last"), F.col("_upto").alias("_after"))
-    boxes = boxes.join(ends, ["id", "last"]).withColumn("n", F.col("_after") - F.col("_before"))
+    marked = nodes.select("id", F.struct("pre", "last", "tag", "begin", "end", "above", F.coalesce(targets, F.lit(False)).alias("_target"), F.coalesce(counted, F.lit(False)).alias("_counted")).alias("x"))
+    pages = marked.groupBy("id").agg(F.sort_array(F.collect_list("x")).alias("nodes"))
+    ways = _ways(pages, lambda x: x["_target"], lambda x: x["_counted"], lambda t: [], lambda b: [])
+    asked = ways.select("id", "target", F.inline("boxes"))
     if field:
-        boxes = boxes.join(texts, "id").withColumn("has", part_of(F.col("text"), F.col("begin"), F.col("end")).rlike(field))
+        boxes = asked.select("id", "box", "begin", "end").distinct().join(texts, "id")
+        asked = asked.join(boxes.select("id", "box", part_of(F.col("text"), F.col("begin"), F.col("end")).rlike(field).alias("has")), ["id", "box"])
     else:
-        boxes = boxes.withColumn("has", F.lit(True))
-    judged = boxes.where(~F.col("tag").isin("html", "body")).select("id", "box", "tag", "has", good.alias("_good"))
-    # a main element ends the way up: what lies above it is no box
-    ways = asked.join(judged, ["id", "box"]).withColumn("_main", F.min(F.when(F.col("tag") == "main", F.col("level"))).over(Window.partitionBy("id", "target")))
-    ways = ways.where(F.col("_main").isNull() | (F.col("level") <= F.col("_main")))
+        asked = asked.withColumn("has", F.lit(True))
+    judged = asked.where(~F.col("tag").isin("html", "body")).withColumn("_good", good)
     pick = F.struct("level", "box", "tag")
-    best = ways.groupBy("id", "target").agg(F.min(F.when(F.col("_good") & F.col("has"), pick)).alias("_near"), F.max(F.when(F.col("has"), pick)).alias("_far"))
+    best = judged.groupBy("id", "target").agg(F.min(F.when(F.col("_good") & F.col("has"), pick)).alias("_near"), F.max(F.when(F.col("has"), pick)).alias("_far"))
     found = F.coalesce("_near", "_far") if fallback else F.col("_near")
     return best.select("id", "target", found.alias("_b")).where("_b is not null").select("id", "target", "_b.box", "_b.tag", "_b.level")
 
@@ -254,26 +339,34 @@ def year_contexts(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def assets(nodes: DataFrame, texts: DataFrame, urls: DataFrame, most: int = 120) -> DataFrame:
+    """``assets_in`` over elements and texts; ``urls`` has (id, page_url). The elements of a page meet in one row."""
+    pages = nodes.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pre", "tag", F.map_entries("attrs").alias("attrs"), "begin", "end", "above"))).alias("nodes"))
+    pages = pages.withColumn("nodes", F.transform("nodes", lambda x: x.withField("attrs", F.map_from_entries(x["attrs"]))))
+    return assets_in(pages.join(texts, "id").join(urls, "id"), most)
+
+
+def assets_in(pages: DataFrame, most: int = 120) -> DataFrame:
     """(id, url, type, label): the documents (pdf) and pictures (image) that pages link or show, each once a page.
 
-    ``urls`` has (id, page_url). Addresses are resolved against the page and normalised. Links come
+    ``pages`` has (id, page_url, nodes, text). Addresses are resolved against the page and normalised. Links come
     first, then pictures, then the alternatives of a source's ``srcset``; the first in page order gives
     the label: a link's text, a picture's ``alt`` or else the text of the link around it, at most ``most``
-    characters of it. Pages without an address have no assets.
+    characters of it. Pages without an address have no assets. Only what is found is sent on, with its label.
     """
-    attr = lambda n: F.try_element_at("attrs", F.lit(n))
-    own = lambda: F.trim(F.left(compact(part_of(F.col("text"), F.col("begin"), F.col("end"))), F.lit(most)))
-    links = nodes.where((F.col("tag") == "a") & attr("href").isNotNull()).select("id", "pre", F.lit(0).alias("kind"), F.lit(0).alias("pos"), attr("href").alias("raw"), F.lit(None).cast("string").alias("alt"), F.col("pre").alias("link"))
-    shown = nodes.where((F.col("tag") == "img") & attr("src").isNotNull())
-    around = shown.select("id", "pre", F.posexplode("above").alias("level", "link")).join(nodes.where("tag = 'a'").select("id", F.col("pre").alias("link")), ["id", "link"])
-    around = around.groupBy("id", "pre").agg(F.min_by("link", "level").alias("link"))
-    pictures = shown.select("id", "pre", F.lit(1).alias("kind"), F.lit(0).alias("pos"), attr("src").alias("raw"), F.nullif(attr("alt"), F.lit("")).alias("alt")).join(around, ["id", "pre"], "left")
-    others = nodes.where((F.col("tag") == "source") & attr("srcset").isNotNull()).select("id", "pre", F.lit(2).alias("kind"), F.posexplode(F.split(attr("srcset"), ",")).alias("pos", "raw"))
-    others = others.select("id", "pre", "kind", "pos", F.split(compact("raw"), " ")[0].alias("raw"), F.lit("").alias("alt"), F.lit(None).cast("int").alias("link"))
-    found = links.unionByName(pictures).unionByName(others).where("raw <> ''").join(urls, "id")
-    found = found.where(F.col("raw").rlike(NAMED)).withColumn("url", bound(resolved(F.col("raw"), F.col("page_url")), normal_url)).where(F.col("url").rlike(ASSET))
-    first = found.groupBy("id", "url").agg(F.min_by(F.struct("alt", "link"), F.struct("kind", "pre", "pos")).alias("f")).select("id", "url", "f.*")
-    # only what is left takes a text from its page, and each link's text is read once
-    said = first.where("alt is null and link is not null").select("id", "link").distinct().join(nodes.select("id", F.col("pre").alias("link"), "begin", "end"), ["id", "link"]).join(texts, "id").select("id", "link", own().alias("said"))
+    nodes, nothing = F.col("nodes"), F.lit(None).cast("string")
+    attr = lambda x, n: F.try_element_at(x["attrs"], F.lit(n))
+    entry = lambda kind, pre, pos, raw, alt, link: F.struct(F.lit(kind).alias("kind"), pre.alias("pre"), pos.alias("pos"), raw.alias("raw"), alt.alias("alt"), link.alias("link"))
+    around = lambda x: F.get(F.filter(x["above"], lambda b: F.get(nodes, b)["tag"] == "a"), F.lit(0))
+    links = F.transform(F.filter(nodes, lambda x: (x["tag"] == "a") & attr(x, "href").rlike(NAMED)), lambda x: entry(0, x["pre"], F.lit(0), attr(x, "href"), nothing, x["pre"]))
+    pictures = F.transform(F.filter(nodes, lambda x: (x["tag"] == "img") & attr(x, "src").rlike(NAMED)), lambda x: entry(1, x["pre"], F.lit(0), attr(x, "src"), F.nullif(attr(x, "alt"), F.lit("")), around(x)))
+    listed = lambda x: F.transform(F.split(attr(x, "srcset"), ","), lambda r, i: entry(2, x["pre"], i, F.get(F.split(compact(r), " "), F.lit(0)), F.lit(""), F.lit(None).cast("int")))
+    others = F.flatten(F.transform(F.filter(nodes, lambda x: (x["tag"] == "source") & attr(x, "srcset").rlike(NAMED)), listed))
+    named = F.filter(F.concat(links, pictures, others), lambda x: x["raw"].rlike(NAMED))
+    # a label is the alt, which may be empty, or the text of the link that is around or is the entry itself
+    said = lambda x: F.trim(F.left(compact(part_of(F.col("text"), F.get(nodes, x["link"])["begin"], F.get(nodes, x["link"])["end"])), F.lit(most)))
+    labelled = F.transform(named, lambda x: F.struct(*[x[c].alias(c) for c in ("kind", "pre", "pos", "raw")], F.coalesce(F.left(F.trim(x["alt"]), F.lit(most)), said(x), F.lit("")).alias("label")))
+    found = pages.select("id", "page_url", F.explode(labelled).alias("e")).select("id", "page_url", "e.*")
+    found = found.withColumn("url", bound(resolved(F.col("raw"), F.col("page_url")), normal_url)).where(F.col("url").rlike(ASSET))
+    first = found.groupBy("id", "url").agg(F.min(F.struct("kind", "pre", "pos", "label"))["label"].alias("label"))
     kind = F.when(F.col("url").rlike(r"(?i)\.pdf(?:[?#]|$)"), "pdf").otherwise("image")
-    return first.join(said, ["id", "link"], "left").select("id", "url", kind.alias("type"), F.coalesce(F.left(F.trim("alt"), F.lit(most)), "said", F.lit("")).alias("label"))
+    return first.select("id", "url", kind.alias("type"), "label")

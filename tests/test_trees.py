@@ -141,3 +141,25 @@ def test_assets(spark):
     got = sorted(tuple(r) for r in T.assets(nodes, texts, urls).collect())
     base = "https://a.jp/p/"
     assert got == sorted([(1, base + "b.pdf", "pdf", "一 覧"), (1, base + "c.png", "image", ""), (1, "https://a.jp/D.GIF", "image", "d"), (1, base + "e.webp", "image", "")])
+
+
+def test_pages_of_elements_ask_their_ancestors_without_a_shuffle(spark):
+    from eventloom.plans import markup
+
+    pages = spark.createDataFrame([(1, PAGE), (2, None), (3, "<div><h3>a</h3><p><a href=x>x</a>" * 3)], "id long, html string")
+    boxes = markup.boxes(T.trees(pages, "html"))
+    assert "Exchange" not in boxes._jdf.queryExecution().toString()
+    nodes, texts = tree(spark, [(1, PAGE), (2, None), (3, "<div><h3>a</h3><p><a href=x>x</a>" * 3)])
+    old = T.nearest_box(nodes, texts, (F.col("tag") == "a") & F.map_contains_key("attrs", F.lit("href")), F.col("tag").isin(*T.HEADINGS), F.col("n") >= 1)
+    assert sorted(r["level"] for r in boxes.collect()) == sorted(r["level"] for r in old.collect()) and boxes.count() == 5
+    own = T.trees(pages, "html").collect()
+    assert [[n["tag"] for n in r["nodes"]] for r in own] == [[n[4] for n in T._elements(p or "")[0]] for p in (PAGE, None, "<div><h3>a</h3><p><a href=x>x</a>" * 3)]
+
+
+def test_few_pages_are_taken_up_at_once(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(T, "CHARACTERS", 1000)
+    batch = pa.RecordBatch.from_pydict({"id": list(range(50)), "html": ["<p>" + "x" * 400] * 50})
+    parts = [(b.num_rows, len(found)) for b, found in T._cut(iter([batch]))]
+    assert parts == [(3, 3)] * 16 + [(2, 2)]
