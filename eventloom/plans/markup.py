@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -105,9 +105,9 @@ def literal_days(spark, sf):
 SAID = [("utf-8", "utf-8", None), ("Shift_JIS", "cp932", None), ("euc-jp", "euc_jp", "text/html"), ("iso-2022-jp", "iso2022_jp", None), ("utf-8", "cp932", "text/html; charset=sjis"), ("nonsense", "utf-8", None)]
 
 
-@F.pandas_udf(BinaryType())
-def _encoded(text: pd.Series, codec: pd.Series) -> pd.Series:
-    return pd.Series([t.encode(c) for t, c in zip(text, codec, strict=True)], dtype=object)
+@F.arrow_udf(BinaryType())
+def _encoded(text: pa.Array, codec: pa.Array) -> pa.Array:
+    return G.by_slices(lambda t, c: t.encode(c), pa.binary(), text, codec)
 
 
 @query(f"""with p as (select page_id, {[s for s, _, _ in SAID]!r}[(page_id % 6)::int + 1] as said, regexp_replace(coalesce(html, ''), '[^\x20-\x7E\n]', '', 'g') as html from pages),

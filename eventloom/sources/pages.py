@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -64,9 +66,22 @@ WESTERN = ("iso-8859-1", "iso8859-1", "latin1", "l1", "us-ascii", "ascii", "wind
 UPPER = [(chr(b), bytes([b]).decode("cp1252")) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
 
 
-@F.pandas_udf(StringType())
-def _by_codec(raw: pd.Series, codec: pd.Series) -> pd.Series:
-    return pd.Series([None if b is None or c is None else bytes(b).decode(c, "replace") for b, c in zip(raw, codec, strict=True)], dtype=object)
+#: Rows that are Python objects at once: bounds a task's memory, not the result.
+SLICE = 64
+
+
+def by_slices(convert: Callable[[object, object], object], kind: pa.DataType, first: pa.Array, second: pa.Array) -> pa.Array:
+    """``convert`` of each row's two values, null if one is; of a batch only a slice at a time is taken out of Arrow."""
+    out = []
+    for i in range(0, len(first), SLICE):
+        rows = zip(first.slice(i, SLICE).to_pylist(), second.slice(i, SLICE).to_pylist(), strict=True)
+        out.append(pa.array([None if a is None or b is None else convert(a, b) for a, b in rows], kind))
+    return pa.concat_arrays(out) if out else pa.array([], kind)
+
+
+@F.arrow_udf(StringType())
+def _by_codec(raw: pa.Array, codec: pa.Array) -> pa.Array:
+    return by_slices(lambda b, c: b.decode(c, "replace"), pa.string(), raw, codec)
 
 
 def charset(raw: Column, content_type: Column | None = None) -> Column:

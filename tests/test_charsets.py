@@ -51,3 +51,18 @@ def test_forwarded_to(spark):
     df = spark.createDataFrame(cases, "html string, want string")
     for r in df.select("want", G.forwarded_to(F.col("html"), F.lit("https://a.jp/d/i.html")).alias("got")).collect():
         assert r["got"] == r["want"]
+
+
+def test_a_batch_leaves_arrow_by_slices():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    raw = pa.array(["あ".encode("cp932") * 5000, None] * 2000, pa.binary())  # 20 MB of bytes
+    codec = pa.array(["cp932"] * 4000)
+    tracemalloc.start()
+    got = G.by_slices(lambda b, c: b.decode(c, "replace"), pa.string(), raw, codec)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.null_count == 2000 and got[0].as_py() == "あ" * 5000 and len(got) == 4000
+    assert peak < 5_000_000  # all at once are 40 MB of Python objects
