@@ -94,11 +94,36 @@ def twins(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def filled(rows: DataFrame, other: DataFrame, pairs: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Rows whose blanks take the value of their first twin, and the rows of ``other`` that are nobody's twin."""
-    first = pairs.groupBy("id").agg(F.min("twin").alias("twin"))
+    return _filled(rows, other, pairs.groupBy("id").agg(F.min("twin").alias("twin")), pairs.select("twin").distinct(), fields)
+
+
+def _filled(rows: DataFrame, other: DataFrame, first: DataFrame, twins_: DataFrame, fields: Sequence[str]) -> DataFrame:
     theirs = other.select(F.col("id").alias("twin"), *[F.col(f).alias(f"_{f}") for f in fields])
-    both = rows.join(first, "id", "left").join(theirs, "twin", "left")
+    both = rows.join(first.hint("merge"), "id", "left").join(theirs.hint("merge"), "twin", "left")
     own = both.select(*[F.when(Q.blank(F.col(c)), F.coalesce(f"_{c}", c)).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in rows.columns])
-    return own.unionByName(other.join(pairs.select(F.col("twin").alias("id")).distinct(), "id", "left_anti").select(*rows.columns))
+    return own.unionByName(other.join(twins_.select(F.col("twin").alias("id")).hint("merge"), "id", "left_anti").select(*rows.columns))
+
+
+def first_twins(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((id, twin), (twin)): of ``twins`` the first one of each row, and all rows of ``b`` that are somebody's.
+
+    Rows of one day, title and place have the same twins, so that these are looked for once for all of them:
+    the pairs of rows, whose number grows with the square of such groups, are not made.
+    """
+    kind = ["date", "title", "place"]
+    mine, theirs = (x.where("id is not null").select("id", "date", "title", F.coalesce("place", F.lit("")).alias("place")) for x in (a, b))
+    groups = [mine.select(*kind).distinct(), theirs.groupBy(*kind).agg(F.min("id").alias("_id"))]
+    pairs = twins(groups[0].select(F.struct(*kind).alias("id"), *kind), groups[1].select(F.struct("_id", *kind).alias("id"), *kind))
+    near = pairs.groupBy("id").agg(F.min("twin._id").alias("twin")).select("id.*", "twin")
+    asked = pairs.select("twin").distinct().select(*[F.col(f"twin.{c}").alias(c) for c in kind])
+    first = mine.join(near.hint("merge"), kind).groupBy("id").agg(F.min("twin").alias("twin"))
+    return first, theirs.join(asked.hint("merge"), kind, "left_semi").select(F.col("id").alias("twin")).distinct()
+
+
+def filled_by_twins(rows: DataFrame, other: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """``filled`` with the twins of both, without a row per pair of twins."""
+    first, theirs = first_twins(rows, other)
+    return _filled(rows, other, first, theirs, fields)
 
 
 def restored(now: DataFrame, before: DataFrame, fields: Sequence[str], place: Sequence[str]) -> DataFrame:

@@ -89,7 +89,7 @@ def twin_rows(spark, sf):
     union all select id, place from {SUPPLIERS} where id not in (select twin from {TWINS})""")
 def filled_rows(spark, sf):
     c, s = _twins(spark, sf)
-    return N.filled(c, s, N.twins(c, s), ["place"]).select("id", "place")
+    return N.filled_by_twins(c, s, ["place"]).select("id", "place")
 
 
 @query(f"select id, case when k % 4 = 0 and k % 3 <> 0 then null else price end as lat from {EV}")

@@ -42,3 +42,21 @@ def test_texts_meet_the_names_where_they_lie(spark):
     assert {r["id"]: r["name"] for r in got.collect()} == {**dict(enumerate(names)), 98: None, 99: None}
     plan = got._jdf.queryExecution().analyzed().toString()
     assert plan.count("explode(array_distinct(regexp_extract_all(t#") + plan.count("explode(concat(regexp_extract_all(t#") == 2
+
+
+def test_first_twins_equal_those_of_all_pairs(spark):
+    """Copies of a row have the same twins: they are found once for all copies, with the results of all pairs."""
+    rng = np.random.default_rng(1)
+    some = lambda *x: x[int(rng.integers(0, len(x)))]
+    make = lambda first: [(None if i == 7 else first + i // 2 if i % 9 == 0 else first + i, some("d", "e", None), some("音楽まつり", "秋の音楽まつり", "音楽", "港", None), some("", None, "港", "港の広場", "山")) for i in range(120)]
+    a, b = (spark.createDataFrame(make(n), "id int, date string, title string, place string") for n in (0, 1000))
+    want = sorted(map(str, N.filled(a, b, N.twins(a, b), ["place"]).collect()))
+    assert sorted(map(str, N.filled_by_twins(a, b, ["place"]).collect())) == want and len(want) < 240
+
+
+def test_copies_of_a_row_make_no_pairs(spark, monkeypatch):
+    made, twins = [], N.twins
+    monkeypatch.setattr(N, "twins", lambda a, b: made.append(twins(a, b)) or made[-1])
+    a, b = (spark.range(30).selectExpr(f"id + {n} as id", "'d' as date", "'音楽まつり' as title", "'港' as place") for n in (0, 1000))
+    got = N.filled_by_twins(a, b, ["place"])
+    assert made[0].count() == 1 and sorted(r["id"] for r in got.collect()) == list(range(30))
