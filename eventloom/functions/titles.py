@@ -1,15 +1,20 @@
-"""Titles, places and addresses: spelling, cleaning in order, and the tests that keep a row from publication. All in the JVM."""
+"""Titles, places and addresses: spelling, cleaning in order, and the tests that keep a row from publication. All in the JVM, but for readings corrected by a table."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from eventloom.functions.scalars import half_width, squeeze
 
+#: Texts that Python takes out of a batch at once.
+AT_ONCE = 64
 #: Half-width kana, marks included, each with its full-width character; those with a sound mark first.
 KANA = [chr(c) for c in range(0xFF61, 0xFFA0)]
 MARKED = [(k + m, unicodedata.normalize("NFKC", k + m)) for k in KANA for m in "ﾞﾟ" if len(unicodedata.normalize("NFKC", k + m)) == 1]
@@ -306,15 +311,25 @@ def publishable(title: Column, place: Column, notes: Column, url: Column) -> Col
 def corrected(c: Column, pairs: dict[str, str], rounds: int = 3) -> Column:
     """A text in which each misreading is replaced, the leftmost first and of those that begin there the longest, again until nothing changes, ``rounds`` times at most.
 
-    A text is cut into misreadings and single characters in one walk, and each piece is looked up:
-    what a replacement writes is read again in the next round only. An empty misreading is passed over.
+    A round is one walk over a text by one pattern: what a replacement writes is read again in the next
+    round only. An empty misreading is passed over.
     """
     known = {k: v for k, v in pairs.items() if k}
     if not known:
         return c
-    quoted = "|".join(r"\Q" + k.replace(r"\E", r"\E\\E\Q") + r"\E" for k in sorted(known, key=len, reverse=True))
-    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    for _ in range(rounds):
-        pieces = F.regexp_extract_all(c, F.lit(f"(?s)(?:{quoted})|."), F.lit(0))
-        c = F.when(c.rlike(quoted), F.array_join(F.transform(pieces, lambda x: F.coalesce(F.try_element_at(table, x), x)), "")).otherwise(c)
-    return c
+    found = re.compile("|".join(re.escape(k) for k in sorted(known, key=len, reverse=True)))
+
+    def whole(text: str | None) -> str | None:
+        for _ in range(rounds if text else 0):
+            before, text = text, found.sub(lambda m: known[m[0]], text)
+            if text == before:
+                break
+        return text
+
+    @F.arrow_udf(StringType())
+    def corrections(texts: pa.Array) -> pa.Array:
+        # a few texts at a time, which bounds what Python holds of a batch
+        parts = [pa.array([whole(t) for t in texts.slice(i, AT_ONCE).to_pylist()], pa.string()) for i in range(0, len(texts), AT_ONCE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+    return corrections(c)

@@ -119,3 +119,13 @@ def test_lifted_facets_locale_ranks_and_misreadings(spark):
     assert fix("abab aba", {"ab": "x", "aba": "y", "": "z"}) == "yb y"
     assert fix("a.b", {".": "-", "a-": "c"}) == "cb" and fix("aaaa", {"a": "b", "b": "c", "c": "d", "d": "e"}) == "dddd"
     assert fix(None, {"a": "b"}) is None and fix("x", {}) == "x" and fix(r"q\Eq", {r"\E": "!"}) == "q!q"
+
+
+def test_corrected_walks_once_a_round(spark):
+    """No text is cut into its characters, and none is made again for each place that names it."""
+    from eventloom.functions import titles
+
+    fixed = titles.corrected(F.col("t"), {"a+": "b", "𠮷": "吉", "吉b": "c", "": "x"})
+    rows = spark.createDataFrame([("𠮷a+" * 1000,), ("\n.\r",), ("",), (None,)], "t string").select(fixed.alias("t"))
+    assert [r["t"] for r in rows.collect()] == ["c" * 1000, "\n.\r", "", None]
+    assert rows._jdf.queryExecution().analyzed().toString().count("corrections(") == 1
