@@ -36,7 +36,7 @@ def cut(spark):
 def lines(spark, sf: str) -> DataFrame:
     """Per order its lines in a list that is sorted; an order has a handful."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"))
-    return li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "day"))).alias("x"))
+    return li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "day"))).alias("x"))
 
 
 def text(c) -> F.Column:
@@ -49,8 +49,7 @@ def table_roles(spark, sf):
     """A table per order: a title across all columns, headings with blanks, a venue that reaches down over all rows."""
     row = lambda x, i: F.concat(F.lit("<tr><td>"), x["day"], F.lit("<td><b>説明会</b> "), text(x["l_partkey"]), F.when(i == 0, F.concat(F.lit('<td rowspan="'), text(F.size("x")), F.lit('">会場'), text(F.col("l_orderkey") % 7))).otherwise(""))
     html = F.concat(F.lit('<html><body><table><tr><th colspan="3">予定</th></tr><tr><th>月 日</th><th>行事</th><th>場　所</th></tr>'), F.array_join(F.transform("x", row), ""), F.lit("</table><p>終"))
-    nodes, texts = T.elements(lines(spark, sf).select("l_orderkey", html.alias("html")), "l_orderkey", "html", cut(spark))
-    return T.with_roles(T.grid(nodes, texts)).select("id", "row", "role", "text")
+    return T.roles_in(T.tables_in(lines(spark, sf).select(F.col("l_orderkey").alias("id"), html.alias("html")), "html")).select("id", "row", "role", "text")
 
 
 @query("""with l as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate) as n from lineitem)

@@ -27,6 +27,8 @@ NAMED = r"(?i)\.(?:pdf|jpe?g|png|gif|webp)"
 LEVELS, DEEPEST = 8, 512
 #: Elements sent on at once, and pages and characters taken up at once: they bound a task's memory, not the result.
 MANY, PAGES, CHARACTERS = 20_000, 64, 4_000_000
+#: How many different tags a task remembers.
+KNOWN = 4096
 NODE = "pre int, last int, depth int, parent int, tag string, attrs map<string,string>, begin int, end int, above array<int>, row int, table int"
 # Fixed values of the HTML standard: elements without content, elements whose content is text, and what an opening tag ends.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -35,75 +37,108 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 CLOSES |= {t: {"p"} for t in "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()}
 #: Elements that an implied end does not pass.
 KEEPS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "tfoot": {"table"}}
-TOKEN = re.compile(r"<!---?>|<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = r"[A-Za-z][^\s/>]*", r"[^>\"']*+(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*+)*+"
+TOKEN = re.compile(rf"<!---?>|<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|</?{_TAG[0]}{_TAG[1]}>", re.S)
+PARTS = re.compile(rf"<(/?)({_TAG[0]})({_TAG[1]})>", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 # The columns of a table of events by their headings, and how long a heading may be.
 ROLES = {"date": "月日|日付|日時|開催日|期日|日程", "title": "イベント|行事|名称|内容|催", "place": "場所|会場|開催地"}
+#: A span as Spark casts it to an int, and the white space that ``compact`` makes one blank.
+SPAN, BLANKS = re.compile(r"[\x00-\x20\x7f]*([+-]?[0-9]+)[\x00-\x20\x7f]*"), re.compile("[ \\t\\n\\x0b\\f\\r\\u3000\\xa0]+")
 HEADER_DATE, HEADER_TITLE, HEADER_LENGTH = "月日|日付|日時|開催日|期日|日程", "イベント|行事|名称|内容", 25
 
 
-def _elements(page: str) -> tuple[list[list], str]:
+_OPEN, _VOID, _RAW, _END = range(4)
+_known: dict[str, tuple] = {}
+
+
+def _tag(token: str) -> tuple:
+    """(kind, name, attrs, closes, keeps) of a tag, of comments and declarations nothing; short tags that were seen are kept, up to KNOWN."""
+    m = PARTS.match(token)
+    found: tuple = ()
+    if m:
+        name, attrs = m[2].lower(), {}
+        for key, *said in ATTRIBUTE.findall(m[3]) if m[3] and not m[1] else ():
+            value = said[0] or said[1] or said[2]
+            attrs.setdefault(key.lower(), entities.unescape(value) if "&" in value else value)
+        kind = _END if m[1] else _RAW if name in RAW else _VOID if name in VOID else _OPEN
+        found = (kind, name, list(attrs.items()), CLOSES.get(name), KEEPS.get(name))
+    if len(token) < 64:
+        if len(_known) >= KNOWN:
+            _known.clear()
+        _known[token] = found
+    return found
+
+
+def _elements(page: str, levels: int = LEVELS) -> tuple[list[list], str]:
     """The elements of a page in order, [pre, last, depth, parent, tag, attrs, begin, end, above, row, table], and its text."""
     out: list[list] = []
     stack: list[int] = []
+    names: list[str] = []  # of the elements on the stack
     text: list[str] = []
     size = at = 0
-
-    def say(part: str) -> None:
-        nonlocal size
-        if part:
-            text.append(entities.unescape(part) if "&" in part else part)
-            size += len(text[-1])
+    tokens = TOKEN.finditer(page)
 
     def end(depth: int) -> None:
+        del names[depth:]
         while len(stack) > depth:
             node = out[stack.pop()]
             node[1], node[7] = len(out) - 1, size
 
-    while at < len(page):
-        m = TOKEN.search(page, at)
+    while True:
+        m = next(tokens, None)
+        begin = m.start() if m else len(page)
+        if begin > at:
+            part = page[at:begin]
+            if "&" in part:
+                part = entities.unescape(part)
+            text.append(part)
+            size += len(part)
         if not m:
-            say(page[at:])
             break
-        if m.start() > at:
-            say(page[at : m.start()])
-        at, tag = m.end(), (m[2] or "").lower()
-        if not tag:
+        at, token = m.end(), m[0]
+        found = _known.get(token)
+        if found is None:
+            found = _tag(token)
+        if not found:
             continue
-        if m[1]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if out[stack[depth]][4] == tag:
-                    end(depth)
-                    break
+        kind, tag, attrs, closes, keeps = found
+        if kind == _END:
+            depth = len(names) - 1
+            while depth >= 0 and names[depth] != tag:
+                depth -= 1
+            if depth >= 0:
+                end(depth)
             continue
-        closes, keeps = CLOSES.get(tag, ()), KEEPS.get(tag)
-        for i in range(len(stack) - 1, -1, -1) if closes else ():
-            name = out[stack[i]][4]
-            if name in closes:
-                end(i)
-            elif keeps is None or name in keeps:
-                break
-        attrs: dict[str, str] = {}
-        for name, *said in ATTRIBUTE.findall(m[3]) if m[3] else ():
-            value = said[0] or said[1] or said[2]
-            attrs.setdefault(name.lower(), entities.unescape(value) if "&" in value else value)
+        if closes:
+            for i in range(len(stack) - 1, -1, -1):
+                if names[i] in closes:
+                    end(i)
+                elif keeps is None or names[i] in keeps:
+                    break
         parent = row = table = None
+        n = len(out)
         if stack:
             parent = stack[-1]
             around = out[parent]
             row, table = parent if around[4] == "tr" else around[9], parent if around[4] == "table" else around[10]
-        out.append([len(out), len(out), len(stack), parent, tag, list(attrs.items()), size, size, stack[: -LEVELS - 1 : -1], row, table])
-        if tag in RAW:
+        out.append([n, n, len(stack), parent, tag, attrs, size, size, stack[: -levels - 1 : -1] if levels else (), row, table])
+        if kind == _OPEN:
+            if len(stack) < DEEPEST:
+                stack.append(n)
+                names.append(tag)
+        elif kind == _RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])|\Z", re.I).search(page, at)
             if tag in ("title", "textarea"):
-                say(page[at : close.start()])
+                part = entities.unescape(page[at : close.start()])
+                text.append(part)
+                size += len(part)
             out[-1][7] = size
             at = close.start()
             rest = re.compile(r"[^>]*>").match(page, at)
             at = rest.end() if rest else len(page)
-        elif tag not in VOID and len(stack) < DEEPEST:
-            stack.append(len(out) - 1)
+            tokens = TOKEN.finditer(page, at)
     end(0)
     return out, "".join(text)
 
@@ -249,6 +284,33 @@ def nearest_box(nodes: DataFrame, texts: DataFrame, targets: Column, counted: Co
     return best.select("id", "target", found.alias("_b")).where("_b is not null").select("id", "target", "_b.box", "_b.tag", "_b.level")
 
 
+class _Places:
+    """A fold over a table's cells in order that carries, per column, the cell that reaches down and for how many rows."""
+
+    def __init__(self) -> None:
+        self.tr, self.row, self.col, self.carried, self.fresh = None, -1, 0, {}, {}
+
+    def add(self, tr: int, across: int, down: int, cell: tuple) -> list[tuple]:
+        """(row, col, *cell) of what the cell covers in its row, after what reaches down into the row if the row begins with it."""
+        out = []
+        if tr != self.tr:
+            if self.carried or self.fresh:
+                self.carried = {c: (n - 1, v) for c, (n, v) in (self.carried | self.fresh).items() if n > 1}
+            self.tr, self.row, self.col, self.fresh = tr, self.row + 1, 0, {}
+            if self.carried:
+                out = [(self.row, c, *v) for c, (_, v) in sorted(self.carried.items())]
+        while self.col in self.carried:
+            self.col += 1
+        for _ in range(across):
+            if self.col in self.carried:
+                break
+            out.append((self.row, self.col, *cell))
+            if down > 1:
+                self.fresh[self.col] = (down, cell)
+            self.col += 1
+        return out
+
+
 def grid(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, table, row, col, tag, text): every cell of every table at each place it covers, rows and columns from 0.
 
@@ -261,29 +323,16 @@ def grid(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     kind = nodes.schema["id"].dataType.simpleString()
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = tr = None
-        row, col, carried, fresh = -1, 0, {}, {}
+        table, places = None, _Places()
         for batch in batches:
             ids, out = [], []
             for i, x in enumerate(batch.select(["table", "tr", "tag", "across", "down", "text"]).to_pylist()):
                 now = (batch.column("id")[i].as_py(), x["table"])
                 if now != table:
-                    table, tr, row, carried, fresh = now, None, -1, {}, {}
-                if x["tr"] != tr:
-                    carried = {c: (n - 1, v) for c, (n, v) in (carried | fresh).items() if n > 1}
-                    tr, row, col, fresh = x["tr"], row + 1, 0, {}
-                    for c, (_, (tag, text)) in sorted(carried.items()):
-                        ids.append(i)
-                        out.append((x["table"], row, c, tag, text))
-                while col in carried:
-                    col += 1
-                for _ in range(x["across"]):
-                    if col in carried:
-                        break
-                    fresh[col] = (x["down"], (x["tag"], x["text"]))
-                    ids.append(i)
-                    out.append((x["table"], row, col, x["tag"], x["text"]))
-                    col += 1
+                    table, places = now, _Places()
+                found = places.add(x["tr"], x["across"], x["down"], (x["tag"], x["text"]))
+                ids += [i] * len(found)
+                out += [(x["table"], *f) for f in found]
             columns = list(zip(*out, strict=True)) or [[]] * 5
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(ids, pa.int32())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["id", "table", "row", "col", "tag", "text"])
@@ -310,6 +359,91 @@ def with_roles(cells: DataFrame) -> DataFrame:
     return named.where("row > _head").select("id", "table", "row", "col", F.explode(roles).alias("role"), "text")
 
 
+def _span(said: str | None, most: int) -> int:
+    m = SPAN.fullmatch(said) if said else None
+    n = int(m[1]) if m else 1
+    return min(n, most) if 0 < n < 1 << 31 else 1
+
+
+def tables_in(pages: DataFrame, html: str) -> DataFrame:
+    """The pages' other columns, with ``table`` and ``cells``, the (row, col, tag, text) of ``grid`` in order: a row per table with a cell.
+
+    A table never leaves its page, so that nothing is shuffled; the elements themselves are not sent on. One table is one row.
+    """
+    rest = [c for c in pages.columns if c != html]
+    own = pages.select(*rest, F.coalesce(F.col(html), F.lit("")).alias("html"))
+    kinds = "".join(f"`{c}` {own.schema[c].dataType.simpleString()}, " for c in rest)
+    fields = [("row", pa.int32()), ("col", pa.int32()), ("tag", pa.string()), ("text", pa.string())]
+
+    def placed(rows: list[list], text: str) -> Iterator[tuple[int, list[tuple]]]:
+        cells = [r for r in rows if (r[4] == "td" or r[4] == "th") and r[9] is not None and r[10] is not None and r[9] > r[10]]
+        cut = BLANKS.sub
+        cells.sort(key=lambda r: (r[10], r[9]))
+        table = None
+        for r in cells:
+            if r[10] != table:
+                if table is not None:
+                    yield table, out
+                table, places, out = r[10], _Places(), []
+            across = down = 1
+            if r[5]:
+                said = dict(r[5])
+                across, down = _span(said.get("colspan"), 1000), _span(said.get("rowspan"), 65534)
+            out += places.add(r[9], across, down, (r[4], cut(" ", text[r[6] : r[7]]).strip(" ")))
+        if table is not None:
+            yield table, out
+
+    def batch_of(batch: pa.RecordBatch, at: list[int], tables: list[int], cells: list[list[tuple]]) -> pa.RecordBatch:
+        columns = list(zip(*(c for x in cells for c in x), strict=True))
+        flat = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+        ends = pa.array(np.cumsum([0, *map(len, cells)]), pa.int32())
+        taken = [batch.column(c).take(pa.array(at, pa.int32())) for c in rest]
+        return pa.RecordBatch.from_arrays([*taken, pa.array(tables, pa.int32()), pa.ListArray.from_arrays(ends, flat)], [*rest, "table", "cells"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, tables, cells, n = [], [], [], 0
+            for i in range(len(batch)):
+                if i % PAGES == 0:
+                    pages = batch.column("html").slice(i, PAGES).to_pylist()
+                for table, out in placed(*_elements(pages[i % PAGES], 0)):
+                    at.append(i)
+                    tables.append(table)
+                    cells.append(out)
+                    n += len(out)
+                    if n > MANY:
+                        yield batch_of(batch, at, tables, cells)
+                        at, tables, cells, n = [], [], [], 0
+            if at:
+                yield batch_of(batch, at, tables, cells)
+
+    return own.mapInArrow(fold, f"{kinds}table int, cells array<struct<row: int, col: int, tag: string, text: string>>")
+
+
+def roles_in(tables: DataFrame) -> DataFrame:
+    """``with_roles`` over rows of ``tables_in``: their other columns, row, col, role, text, without a shuffle."""
+    rest = [c for c in tables.columns if c != "cells"]
+    cells = F.col("cells")
+    bare = lambda x: F.regexp_replace(x["text"], r"\s", "")
+    row = lambda x: x["row"]
+    headings = lambda pattern, more: F.transform(F.filter(cells, lambda x: more(x) & (F.char_length(x["text"]) < HEADER_LENGTH) & bare(x).rlike(pattern)), row)
+
+    def named(head: Column) -> Column:
+        first = lambda heads, role: F.array_min(F.transform(F.filter(heads, lambda h: h["t"].rlike(ROLES[role])), lambda h: h["col"]))
+        heads = F.transform(F.filter(cells, lambda x: row(x) == head), lambda x: F.struct(x["col"].alias("col"), bare(x).alias("t")))
+        return bound(heads, lambda h: F.struct(head.alias("head"), F.coalesce(first(h, "date"), F.lit(0)).alias("date"), F.coalesce(first(h, "title"), F.lit(1)).alias("title"), first(h, "place").alias("place")))
+
+    def below(at: Column) -> Column:
+        roles = lambda x: F.array_compact(F.array(*[F.when(x["col"] == at[r], F.struct(x["row"].alias("row"), x["col"].alias("col"), F.lit(r).alias("role"), x["text"].alias("text"))) for r in ROLES]))
+        return F.flatten(F.transform(F.filter(cells, lambda x: row(x) > at["head"]), roles))
+
+    # rows that have a date heading are few, so that titles are looked for in them alone; each step is a value that the next one reads
+    dated = F.array_distinct(headings(HEADER_DATE, lambda x: F.lit(True)))
+    head = lambda rows: F.array_min(headings(HEADER_TITLE, lambda x: F.array_contains(rows, row(x))))
+    found = bound(dated, lambda rows: bound(head(rows), lambda h: bound(named(h), below)))
+    return tables.select(*rest, F.inline(found))
+
+
 def label_values(cells: DataFrame) -> DataFrame:
     """(id, table, row, label, value): the first two cells of rows that begin with a heading cell or have just two cells."""
     at = lambda i, c: F.max(F.when(F.col("col") == i, F.col(c)))

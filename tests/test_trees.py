@@ -163,3 +163,21 @@ def test_few_pages_are_taken_up_at_once(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"id": list(range(50)), "html": ["<p>" + "x" * 400] * 50})
     parts = [(b.num_rows, len(found)) for b, found in T._cut(iter([batch]))]
     assert parts == [(3, 3)] * 16 + [(2, 2)]
+
+
+def test_tables_of_pages_equal_the_grid_without_a_shuffle(spark):
+    from eventloom.plans import markup
+
+    html = """<table><tr><th>月 日</th><th>イベント名</th><th>場 所<tr><td>9/1\u3000x<td colspan=2 rowspan=" 2 ">祭り<table><tr><td>日時<td>内容</table><tr><td>9/2<tr><td colspan=2.5>9/3<td colspan=-1>a<td colspan=+2>b<td colspan=99999999999>c<td rowspan=x>d</table>
+      <table><tr><td>a<td rowspan=3>b<tr><td>日程<td>催し 行事 内容 行事 内容 行事 内容 行事 内容<tr><td>日程<td>内容<td>会場<tr><td>1<td>2<td>3<tr><td>日程<td>内容</table><tr><td>none"""
+    pages = spark.createDataFrame([(1, html), (2, "<p>none"), (3, None), (4, html * 2)], "id long, html string")
+    nodes, texts = T.elements(pages, "id", "html")
+    cells = T.grid(nodes, texts)
+    tables = T.tables_in(pages, "html")
+    own = tables.select("id", "table", F.inline("cells")).select(*cells.columns)
+    assert sorted(own.collect()) == sorted(cells.collect()) and own.count() > 50
+    roles = T.roles_in(tables)
+    want = T.with_roles(cells).select(*roles.columns)
+    assert sorted(roles.collect()) == sorted(want.collect()) and want.count() > 20
+    plan = markup.table_roles(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("Exchange") == 1  # the lines of an order, no cell
