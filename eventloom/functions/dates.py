@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from eventloom.functions.scalars import half_width, real_date, squeeze, weekday
+from eventloom.functions.scalars import bound, half_width, real_date, squeeze, weekday
 from eventloom.functions.titles import NO_TEXT, half_marks, separators
 
 # Words before a date without a year and weekday that make it one; a weekday in brackets; English weekdays.
@@ -60,8 +60,7 @@ TIME_AFTER = [
 
 def day_text(year: Column, month: Column, day: Column) -> Column:
     """YYYY-MM-DD, or null if there is no such day."""
-    text = F.format_string("%04d-%02d-%02d", year, month, day)
-    return F.when(real_date(text), text)
+    return bound(F.format_string("%04d-%02d-%02d", year, month, day), lambda text: F.when(real_date(text), text))
 
 
 def day_name(day: Column) -> Column:
@@ -249,28 +248,33 @@ def listed_date(text: Column, today: Column, context: Column | None = None) -> C
     year, or that of today, and in a fiscal year January to March fall into the next one. Without a
     context it takes this or the next year by its weekday. The name is the one said, else the day's own.
     """
-    t = half_width(squeeze(F.coalesce(text, F.lit(""))))
     this = F.left(today, F.lit(4)).cast("int")
 
-    def built(pattern: str, year: Column, month: int) -> Column:
-        part = lambda i: F.regexp_extract(t, pattern, i)
-        day = day_text(year, part(month).cast("int"), part(month + 1).cast("int"))
-        return F.when(day >= today, F.struct(day.alias("date"), F.coalesce(F.nullif(part(month + 2), F.lit("")), day_name(day)).alias("name")))
-
-    month, day, name = (F.regexp_extract(t, LISTED_SHORT, i) for i in (1, 2, 3))
-    month, day = month.cast("int"), day.cast("int")
-    told = name.isin("", "祝")
-    agrees = lambda y: F.coalesce(day_name(day_text(y, month, day)) == name, F.lit(False))
-    if context is None:
-        year = F.when(told | agrees(this), this).when(agrees(this + 1), this + 1)
-    else:
-        year = F.coalesce(context["year"], this) + F.when(F.coalesce(context["fiscal"], F.lit(False)) & (month <= 3), 1).otherwise(0)
-        year = F.when(told | agrees(year), year)
-    out = F.lit(None)
-    for pattern, y, at in reversed([
-        *[(p, ERAS[era] + era_number(F.regexp_extract(t, p, 1)), 2) for era, p in LISTED_ERAS.items()],
-        (LISTED_WESTERN, F.regexp_extract(t, LISTED_WESTERN, 1).try_cast("int"), 2),
-        (LISTED_SHORT, year, 1),
-    ]):
-        out = F.when(t.rlike(pattern), built(pattern, y, at)).otherwise(out)
-    return out
+    def agrees(y: Column, s: Column) -> Column:
+        return F.coalesce(day_name(day_text(y, s["month"], s["day"])) == s["name"], F.lit(False))
+
+    def short(s: Column) -> Column:
+        told = s["name"].isin("", "祝")
+        if context is None:
+            year = F.when(told | agrees(this, s), this).when(agrees(this + 1, s), this + 1)
+        else:
+            next_ = F.when(F.coalesce(context["fiscal"], F.lit(False)) & (s["month"] <= 3), 1).otherwise(0)
+            year = bound(F.coalesce(context["year"], this) + next_, lambda y: F.when(told | agrees(y, s), y))
+        return F.struct(year.alias("year"), s["month"].alias("month"), s["day"].alias("day"), s["name"].alias("name"))
+
+    def parts(t: Column) -> Column:
+        part = lambda p, i: F.regexp_extract(t, p, i)
+        rest = lambda p, i: [part(p, i).cast("int").alias("month"), part(p, i + 1).cast("int").alias("day"), part(p, i + 2).alias("name")]
+        out = F.when(t.rlike(LISTED_SHORT), bound(F.struct(*rest(LISTED_SHORT, 1)), short))
+        western = F.struct(part(LISTED_WESTERN, 1).try_cast("int").alias("year"), *rest(LISTED_WESTERN, 2))
+        out = F.when(t.rlike(LISTED_WESTERN), western).otherwise(out)
+        for era, p in reversed(LISTED_ERAS.items()):
+            out = F.when(t.rlike(p), F.struct((ERAS[era] + era_number(part(p, 1))).alias("year"), *rest(p, 2))).otherwise(out)
+        return out
+
+    def built(s: Column) -> Column:
+        name = lambda day: F.coalesce(F.nullif(s["name"], F.lit("")), day_name(day))
+        return bound(day_text(s["year"], s["month"], s["day"]), lambda day: F.when(day >= today, F.struct(day.alias("date"), name(day).alias("name"))))
+
+    # each step is a value that the next one reads: the text is cleaned once and its day built once, whatever the pattern
+    return bound(half_width(squeeze(F.coalesce(text, F.lit("")))), lambda t: bound(parts(t), built))

@@ -11,7 +11,6 @@ from eventloom.functions import dates as D
 from eventloom.sources import literals as J
 from eventloom.sources import pages as G
 from eventloom.sources import trees as T
-from eventloom.sources.shelf import Shelf, scratch
 from eventloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -28,11 +27,6 @@ def query(sql: str | None):
     return add
 
 
-def cut(spark):
-    """Writes elements to a folder that driver and executors share, and reads them again."""
-    return lambda df: Shelf(spark, scratch(spark)).write("v1", "elements", df)
-
-
 def lines(spark, sf: str) -> DataFrame:
     """Per order its lines in a list that is sorted; an order has a handful."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"))
@@ -89,10 +83,11 @@ def paragraph_boxes(spark, sf):
 def literal_days(spark, sf):
     """A script per customer with months, days and orders as an object literal: bare and quoted keys, comments, braces in strings, trailing commas."""
     o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.date_format("o_orderdate", "dd").alias("day"))
-    joined = lambda c: F.array_join(F.array_sort(F.collect_list(c)), "")
+    joined = lambda c: F.array_join(F.sort_array(F.collect_list(c)), "")
     title = F.concat(F.lit("'注文 \"{"), text(F.col("o_orderkey")), F.lit("}\"', "))
-    titles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", title.alias("t")))), lambda x: x["t"]), "")
-    days = o.groupBy("o_custkey", "month", "day").agg(titles.alias("t"))
+    titles = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", title.alias("t")))), lambda x: x["t"]), "")
+    # dealt by customer once, so that days, months and scripts need no deal of their own
+    days = o.repartition("o_custkey").groupBy("o_custkey", "month", "day").agg(titles.alias("t"))
     day = F.concat(F.lit("\n  "), F.when(F.col("day") < "15", F.concat(F.lit('"'), F.col("day"), F.lit('"'))).otherwise(F.col("day")), F.lit(": ["), F.col("t"), F.lit("], // it's } here"))
     months = days.groupBy("o_custkey", "month").agg(joined(day).alias("t"))
     month = F.concat(F.lit("'"), F.col("month"), F.lit("': { /* { */"), F.col("t"), F.lit("\n},"))
@@ -141,15 +136,14 @@ def listed_dates(spark, sf):
     name = F.element_at(names, F.when(k % 10 == 0, F.dayofweek("d") % 7 + 1).otherwise(F.dayofweek("d")))
     said = F.when(k % 10 == 1, F.date_format("d", "yyyy.M.d")).otherwise(F.concat(text(F.month("d")), F.lit("月"), text(F.dayofmonth("d")), F.lit("日（"), name, F.lit("）")))
     entry = F.concat(F.lit("<li>第"), text(k), F.lit("番 "), said)
-    lists = o.groupBy("o_custkey", "fy").agg(F.array_join(F.array_sort(F.collect_list(entry)), "").alias("entries"))
+    # dealt by customer once, so that years and pages need no deal of their own
+    lists = o.repartition("o_custkey").groupBy("o_custkey", "fy").agg(F.array_join(F.sort_array(F.collect_list(entry)), "").alias("entries"))
     heading = F.when(F.col("fy") % 2 == 0, F.concat(text(F.col("fy")), F.lit("年度"))).otherwise(F.concat(F.lit("令和"), F.when(F.col("fy") == 2019, "元").otherwise(text(F.col("fy") - 2018)), F.lit("年度の予定")))
     part = F.concat(F.lit("<h2>"), heading, F.lit("</h2><h3>一覧</h3><ul>"), F.col("entries"), F.lit("</ul>"))
-    pages = lists.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fy", part.alias("p")))), lambda x: x["p"]), "").alias("html"))
-    nodes, texts = T.elements(pages, "o_custkey", "html", cut(spark))
-    entries = nodes.where("tag = 'li'").join(T.year_contexts(nodes, texts), ["id", "pre"]).join(texts, "id")
-    own = T.part_of(F.col("text"), F.col("begin"), F.col("end"))
-    day = D.listed_date(own, F.lit("2023-06-01"), F.col("context"))["date"]
-    return entries.select(F.regexp_extract(own, r"第(\d+)番", 1).cast("long").alias("id"), day.alias("date"))
+    pages = lists.groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("fy", part.alias("p")))), lambda x: x["p"]), "").alias("html"))
+    entries = T.dated_entries(T.trees(pages.select("html"), "html"), lambda x: x["tag"] == "li")
+    number = F.regexp_extract("text", r"第(\d+)番", 1).cast("long")
+    return entries.select(number.alias("id"), D.listed_date(F.col("text"), F.lit("2023-06-01"), F.col("context"))["date"].alias("date"))
 
 
 @query("""with l as (select distinct l_orderkey as k, l_partkey as p from lineitem)

@@ -176,7 +176,7 @@ def trees(pages: DataFrame, html: str) -> DataFrame:
     """
     rest = [c for c in pages.columns if c != html]
     own = pages.select(*rest, F.coalesce(F.col(html), F.lit("")).alias("html"))
-    kinds = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in rest)
+    kinds = "".join(f"`{c}` {own.schema[c].dataType.simpleString()}, " for c in rest)
     fields = _fields()
 
     def cut_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +188,7 @@ def trees(pages: DataFrame, html: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.ListArray.from_arrays(ends, flat), texts], [*rest, "nodes", "text"])
 
     node = ", ".join(f"{n}: {t}" for n, t in (f.split(" ", 1) for f in NODE.split(", ")))
-    return own.mapInArrow(cut_pages, f"{kinds}, nodes array<struct<{node}>>, text string")
+    return own.mapInArrow(cut_pages, f"{kinds}nodes array<struct<{node}>>, text string")
 
 
 def _fields() -> list[tuple[str, pa.DataType]]:
@@ -472,6 +472,23 @@ def year_contexts(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return nodes.select("id", "pre").join(said, ["id", "pre"], "left").select("id", "pre", F.coalesce(last, nothing).alias("context"))
 
 
+def dated_entries(pages: DataFrame, entries: Callable[[Column], Column]) -> DataFrame:
+    """The other columns of ``trees``, pre, text and the context of ``year_contexts`` of every element that meets ``entries``, without a shuffle.
+
+    A running count of the headings that name a year tells which of them is an element's last one.
+    """
+    rest = [c for c in pages.columns if c not in ("nodes", "text")]
+    own = lambda x: part_of(F.col("text"), x["begin"], x["end"])
+    head = lambda x: x["tag"].isin(*HEADINGS, "caption")
+    said = F.transform("nodes", lambda x: F.when(head(x), bound(own(x), heading_year)))
+    upto = _running(F.transform("_said", lambda x: x.isNotNull()))
+    counted = pages.withColumn("_said", said).select(*rest, "nodes", "text", F.filter("_said", lambda x: x.isNotNull()).alias("_heads"), upto.alias("_upto"))
+    nothing = F.struct(F.lit(None).cast("int").alias("year"), F.lit(False).alias("fiscal"))
+    context = lambda x: F.coalesce(F.get("_heads", F.get("_upto", x["pre"]) - 1), nothing)
+    found = F.transform(F.filter("nodes", entries), lambda x: F.struct(x["pre"].alias("pre"), own(x).alias("text"), context(x).alias("context")))
+    return counted.select(*rest, F.inline(found))
+
+
 def assets(nodes: DataFrame, texts: DataFrame, urls: DataFrame, most: int = 120) -> DataFrame:
     """``assets_in`` over elements and texts; ``urls`` has (id, page_url). The elements of a page meet in one row."""
     pages = nodes.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pre", "tag", F.map_entries("attrs").alias("attrs"), "begin", "end", "above"))).alias("nodes"))

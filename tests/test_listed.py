@@ -59,3 +59,20 @@ def test_with_reading_leaves_rows_without_one(spark):
     readings = spark.createDataFrame([(1, "r", " ", "m", "ftp://a")], "id int, title string, time string, notes string, url string")
     got = {r["id"]: tuple(r)[1:] for r in J.with_reading(rows, readings, "id", ["title"], ["time"], ["notes"], ["url"]).collect()}
     assert got == {1: ("t", None, "m", None), 2: (None, "a", "n", "u")}
+
+
+def test_dated_entries_equal_the_contexts_without_a_shuffle(spark):
+    html = "<li>9月1日<h2><b>２０２６</b>年度</h2><ul><li>2月3日<li>5月5日</ul><h3>一覧</h3><li>6月1日<table><caption>令和元年<tr><td>c</table><ul><li>7月1日<ul><li>8月1日</ul></ul><h4>令和9年度</h4><li>1月9日"
+    pages = spark.createDataFrame([(1, html), (2, "<h1>x</h1><li>y"), (3, None), (4, "<h1>2025年</h1>"), (5, html)], "id long, html string")
+    own = T.dated_entries(T.trees(pages, "html"), lambda x: x["tag"] == "li")
+    assert "Exchange" not in own._jdf.queryExecution().toString()
+    nodes, texts = T.elements(pages, "id", "html")
+    old = nodes.where("tag = 'li'").join(T.year_contexts(nodes, texts), ["id", "pre"]).join(texts, "id")
+    want = old.select("id", "pre", T.part_of(F.col("text"), F.col("begin"), F.col("end")).alias("text"), "context")
+    assert sorted(own.collect()) == sorted(want.collect()) and own.count() == 15
+
+
+def test_an_entry_is_cleaned_once_and_not_for_each_pattern(spark):
+    day = D.listed_date(F.col("t"), F.lit("2026-08-18"), F.struct(F.lit(2026).alias("year"), F.lit(True).alias("fiscal")))
+    plan = spark.createDataFrame([("9月1日",)], "t string").select(day["date"].alias("d"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(") == 1
