@@ -59,3 +59,46 @@ def test_notices_wait_unless_delivery_failed(spark, tmp_path):
     want = {1: "send", 2: "duplicate", 3: "send", 4: "duplicate", 5: "send", 7: "duplicate", 8: "send", 9: "duplicate", 10: "send", 11: "duplicate"}
     assert {int(r["request"]): r["action"] for r in got.collect()} == want
     assert got.select("batch").distinct().count() == 2
+
+
+class Handle:
+    """Stands for Spark's handle: keeps one value and the timers, and counts what is asked of it."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, [], 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.calls += 1
+        self.timers.append(ms)
+
+    def fire(self, processor, watermark):
+        """What is given when the timers up to the watermark go off, in order."""
+        due, self.timers = sorted(t for t in self.timers if t <= watermark), [t for t in self.timers if t > watermark]
+        now = type("Times", (), {"getCurrentWatermarkInMs": lambda self: watermark})()
+        return [r for t in due for r in processor.handleExpiredTimer(("a",), now, type("Expired", (), {"getExpiryTimeInMs": lambda self, t=t: t})())]
+
+
+def test_a_counter_asks_its_state_once_however_many_days(spark):
+    handle, counter = Handle(), C._Counter(["id", "day", "n", "total", "last", "kept"], 10 * C.DAY)
+    counter.init(handle)
+    hit = lambda d, n=1: {"day": f"{d:02}", "n": n, "at": d * C.DAY}
+    assert len(list(counter.handleInputRows(("a",), [hit(d) for d in range(20)], None))) == 20
+    assert handle.calls == 3 and handle.timers == [10 * C.DAY // 1000]
+    list(counter.handleInputRows(("a",), [hit(0), {"day": "03", "n": 2, "at": 12 * C.DAY}], None))
+    gone = handle.fire(counter, 15 * C.DAY // 1000)
+    assert [(r.day, r.n, r.total, r.kept) for r in gone] == [("00", 2, 23, False), ("01", 1, 23, False), ("02", 1, 23, False), ("04", 1, 23, False), ("05", 1, 23, False)]
+    assert handle.timers == [16 * C.DAY // 1000] and handle.calls == 8
+    assert len(handle.fire(counter, 60 * C.DAY // 1000)) == 15 and handle.timers == [] and handle.value[3] == 23
