@@ -102,3 +102,16 @@ def test_a_counter_asks_its_state_once_however_many_days(spark):
     assert [(r.day, r.n, r.total, r.kept) for r in gone] == [("00", 2, 23, False), ("01", 1, 23, False), ("02", 1, 23, False), ("04", 1, 23, False), ("05", 1, 23, False)]
     assert handle.timers == [16 * C.DAY // 1000] and handle.calls == 8
     assert len(handle.fire(counter, 60 * C.DAY // 1000)) == 15 and handle.timers == [] and handle.value[3] == 23
+
+
+def test_a_notice_has_one_timer(spark):
+    handle, notice = Handle(), C._Notice(["k", "request", "action"], 24 * C.DAY // 24)
+    notice.init(handle)
+    ask = lambda i, at, failed=False: {"at": at * C.DAY, "failed": failed, "request": str(i)}
+    for day in range(5):
+        assert [r.action for r in notice.handleInputRows(("a",), [ask(day, day)], None)] == ["send"]
+    assert handle.calls == 11 and handle.timers == [C.DAY // 1000 + 1]
+    handle.fire(notice, 4 * C.DAY // 1000)
+    assert handle.value and handle.timers == [5 * C.DAY // 1000 + 1]
+    handle.fire(notice, 6 * C.DAY // 1000)
+    assert handle.value is None and handle.timers == []
