@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.functions.scalars import bound
+
 #: The tokens of a literal: comments, strings in three quotes, numbers, names, marks; white space falls between them.
-TOKEN = r"""(?s)//[^\n\r]*|/\*.*?(?:\*/|\z)|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`|-?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[\p{L}_$][\p{L}\p{N}_$]*|[^\s]"""
+TOKEN = r"""(?s)//[^\n\r]*|/\*.*?(?:\*/|\z)|"[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|`[^`\\]*+(?:\\.[^`\\]*+)*+`|-?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[\p{L}_$][\p{L}\p{N}_$]*|[^\s]"""
 
 
 def _string(token: Column) -> Column:
@@ -33,17 +35,19 @@ def object_literal(text: Column, name: str) -> Column:
         depth = a["depth"] + F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0)
         return F.struct(depth.alias("depth"), (a["at"] + 1).alias("at"), F.when((a["end"] == 0) & (depth == 0), a["at"] + 1).otherwise(a["end"]).alias("end"))
 
-    end = F.aggregate(tokens, zero, step)["end"]
-    own = F.slice(tokens, F.lit(1), F.greatest(end, F.lit(0)))
-
     def written(t: Column, after: Column) -> Column:
         key = (after == ":") & t.rlike(r"\A[\p{L}\p{N}_$.-]")
         plain = F.when(t.isin("undefined", "NaN"), "null").when(t.rlike(r"\A['`]"), _string(t)).otherwise(t)
         return F.when((t == ",") & after.isin("}", "]"), "").when(key, F.concat(F.lit('"'), t, F.lit('"'))).otherwise(plain)
 
-    # each token beside the next one: an index into ``own`` would cut the text again for each
-    after = F.slice(tokens, F.lit(2), F.greatest(end, F.lit(0)))
-    return F.when((start > 0) & (end > 0), F.array_join(F.slice(F.zip_with(own, after, written), F.lit(1), F.greatest(end, F.lit(0))), ""))
+    def whole(tokens: Column, end: Column) -> Column:
+        # each token beside the next one: an index into the tokens would look one up for each
+        pairs = F.zip_with(F.slice(tokens, F.lit(1), end), F.slice(tokens, F.lit(2), end), written)
+        return F.array_join(pairs, "")
+
+    # the text is cut into tokens once, and their end is found once
+    ended = lambda tokens: bound(F.aggregate(tokens, zero, step)["end"], lambda end: F.when(end > 0, whole(tokens, end)))
+    return F.when(start > 0, bound(tokens, ended))
 
 
 def nested_rows(rows: DataFrame, id_: str, literal: Column, levels: tuple[str, ...], value: str) -> DataFrame:

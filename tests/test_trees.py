@@ -181,3 +181,16 @@ def test_tables_of_pages_equal_the_grid_without_a_shuffle(spark):
     assert sorted(roles.collect()) == sorted(want.collect()) and want.count() > 20
     plan = markup.table_roles(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert plan.split("== Physical Plan ==")[1].count("Exchange") == 1  # the lines of an order, no cell
+
+
+def test_object_literals_are_cut_once_and_hold_long_strings(spark):
+    import json
+
+    from eventloom.sources import literals as J
+
+    for quote in "\"'`":
+        said = "x" * 100_000 + "\\\\" + "y" * 100_000  # one escaped backslash
+        rows = spark.createDataFrame([(f"let D = {{a: {quote}{said}{quote}}};",)], "t string").repartition(2)
+        found = rows.select(J.object_literal(F.col("t"), "D").alias("d"))
+        assert json.loads(found.first()[0]) == {"a": "x" * 100_000 + "\\" + "y" * 100_000}
+    assert found._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 1
