@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from eventloom.operators import containment as C
 from eventloom.operators import snapshots as N
@@ -60,3 +61,12 @@ def test_copies_of_a_row_make_no_pairs(spark, monkeypatch):
     a, b = (spark.range(30).selectExpr(f"id + {n} as id", "'d' as date", "'音楽まつり' as title", "'港' as place") for n in (0, 1000))
     got = N.filled_by_twins(a, b, ["place"])
     assert made[0].count() == 1 and sorted(r["id"] for r in got.collect()) == list(range(30))
+
+
+def test_candidates_do_not_grow_with_the_block(spark):
+    """Titles of two letters share every gram of three: of 4,096 others each meets those of a longer gram only."""
+    keys = spark.range(1 << 12).select(F.lit("b").alias("block"), F.translate(F.lpad(F.bin("id"), 12, "0"), "01", "ab").alias("key"))
+    longer = keys.select("block", F.concat("key", F.lit("c")).alias("key"))
+    pairs = C.candidates(keys, longer, ["block"], "key")
+    assert pairs.count() == 1 << 12  # some 2 million by grams of three
+    assert C.contained(keys, longer, ["block"], "key").count() == 1 << 12
