@@ -1,21 +1,21 @@
 """Embedding near-duplicates by a robust-pruned flat graph.
 
-Equal vectors of a label are one node. The nodes of a label are dealt to overlapping
-clusters: each to the nearest centroid, its home, and to every cluster that may be the home
-of a vector in range of it (one no farther from the plane between two centroids than two
-vectors in range can be apart). So whatever is in range of a node is in the node's home
-cluster, and links are counted alike from both ends. Every shard builds a robust-pruned
-graph, and a node's adjacency lists of all its shards are united. Every node then runs,
-in its home cluster, a greedy search from the medoid that keeps expanding while nodes in
-range turn up, and every pair found is verified by its cosine in double precision. Nodes
-whose vec_id is divisible by 100, and a few more of every shard, audit it: they are also
-compared with all its nodes, and a shard whose recall is below ``RECALL`` is searched
+Equal vectors of a label are one node. The nodes of a label are dealt to clusters: each lies
+in that of the nearest centroid, its home, and in no other. A task builds the robust-pruned
+graph of a home's nodes. Its nodes search it, and so do those nodes of other homes that may
+have one of them in range (no farther from the plane between the two centroids than two
+vectors in range can be apart); of two homes one is asked by the other, so a pair is met
+once. A search is greedy from the medoid and keeps expanding while nodes in range turn up;
+every pair found is verified by its cosine in double precision and counts for both ends.
+Askers whose vec_id is divisible by 100, and a few more of every task, audit it: they are
+also compared with all its nodes, and a task whose recall is below ``RECALL`` is searched
 exhaustively, in blocks. ``audited`` measures recall against all rows.
 
 Centroids come from a sample of at most ``SAMPLE`` nodes, and there are at most
 ``CENTROIDS`` of them; they are kept apart, so that no dense group is cut by them. A
-cluster of more than ``CAP`` nodes is cut into blocks, and every block of queries meets
-every block of nodes: a task holds two blocks whatever the size of a group.
+cluster of more than ``CAP`` nodes is cut into blocks, and those who ask a block into parts
+of about ``PART``: a task holds a block and a part, whatever the size of a group. Vectors
+travel as they are given, once for their home and once for each home that they ask.
 
 Defined cases: vectors that are null, empty, zero, or hold null, NaN or infinite
 components, and rows without label or vec_id, link with nothing (component: themselves).
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import components, written
 
-SHARD, CAP = 1000, 4096
+SHARD, CAP, PART = 4000, 4096, 16_384
 SAMPLE, CENTROIDS = 20_000, 32_768
 DEGREE, CANDIDATES, ALPHA, BEAM = 20, 40, 1.2, 16
 RECALL, AUDIT, FEW, MARGIN = 0.99, 100, 8, 0.03
@@ -145,10 +145,6 @@ def range_search(x: np.ndarray, graph: list[np.ndarray], start: int, q: np.ndarr
     return np.concatenate(hits)
 
 
-def _vectors(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
-
-
 def reach(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, cluster, home): of unit rows, the clusters that may be the home of a vector in range of each.
 
@@ -166,53 +162,97 @@ def reach(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.nd
     return row, k, k == home[row]
 
 
-def _deal(spots: dict[tuple, np.ndarray], least: float):
-    """Every node to its home cluster and to those that may be the home of a node in range."""
+def asks(home: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether nodes of a cluster ask another one: of two clusters one asks the other, each about as often as it is asked."""
+    return ((home + other) % 2 == 0) == (home < other)
+
+
+def _homes(spots: dict[tuple, np.ndarray], least: float, batch: pa.RecordBatch) -> Iterator[tuple]:
+    """((label, dim), rows, their home, (place among the rows, cluster) of the clusters that they ask) of some nodes, few at a time."""
+    label, groups = batch.column("label").to_pylist(), {}
+    embedding = batch.column("embedding")
+    sizes = np.diff(np.asarray(embedding.offsets))
+    flat, at = embedding.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+    for i, (one, n) in enumerate(zip(label, sizes.tolist(), strict=True)):
+        groups.setdefault((one, n), []).append(i)
+    for key, members in groups.items():
+        for a in range(0, len(members), 512):
+            rows = np.array(members[a : a + 512])
+            raw = np.stack([flat[at[i] : at[i + 1]] for i in rows])
+            raw = raw if raw.dtype == np.float32 else raw.astype(np.float64)
+            home, row, other = np.zeros(len(rows), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if key in spots:
+                row, other, own = reach(unit(raw.astype(np.float64)), spots[key], least)
+                home[row[own]] = other[own]
+                asked = ~own & asks(home[row], other)
+                row, other = row[asked], other[asked]
+            yield key, rows, raw, home, row, other
+
+
+def _sizes(spots: dict[tuple, np.ndarray], least: float):
+    """(label, dim, cluster, nodes, askers) of clusters, as a batch counts them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kind = batch.schema.field("label").type
-            cid, label, rep = batch.column("cid").to_numpy(), batch.column("label").to_pylist(), batch.column("rep").to_numpy()
-            vectors = [np.array(e, np.float64) for e in batch.column("embedding").to_pylist()]
-            groups: dict[tuple, list[int]] = {}
-            for i, (one, v) in enumerate(zip(label, vectors, strict=True)):
-                groups.setdefault((one, len(v)), []).append(i)
-            for key, members in groups.items():
-                for a in range(0, len(members), 512):
-                    at = np.array(members[a : a + 512])
-                    x = unit(np.stack([vectors[i] for i in at]))
-                    c = spots.get(key)
-                    row, k, home = reach(x, c, least) if c is not None else (np.arange(len(at)), np.zeros(len(at), np.int64), np.ones(len(at), bool))
-                    own = at[row]
-                    columns = [cid[own], pa.array([key[0]] * len(row), kind), np.full(len(row), key[1], np.int32), k.astype(np.int32), home, rep[own] % AUDIT == 0, pa.array([x[r].tobytes() for r in row], pa.binary())]
-                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["cid", "label", "dim", "cluster", "home", "audit", "unit"])
+            for key, _, _, home, _, other in _homes(spots, least, batch):
+                if key in spots:
+                    n = len(spots[key])
+                    counts = np.bincount(home, minlength=n), np.bincount(other, minlength=n)
+                    columns = [pa.array([key[0]] * n, kind), pa.array(np.full(n, key[1], np.int32)), pa.array(np.arange(n, dtype=np.int32)), *map(pa.array, counts)]
+                    yield pa.RecordBatch.from_arrays(columns, ["label", "dim", "cluster", "nodes", "askers"])
 
     return run
 
 
-def _build(group: pd.DataFrame) -> pd.DataFrame:
-    cid = group["cid"].to_numpy()
-    return pd.DataFrame({"cid": cid, "near": [cid[g] for g in robust_prune(_vectors(group["unit"]))]})
+def _deal(spots: dict[tuple, np.ndarray], large: dict[tuple, tuple[int, int]], least: float):
+    """Every node to its home, and as an asker to the blocks behind its own and to the other clusters that it asks."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = batch.schema.field("label").type
+            cid, copies, rep = (batch.column(c).to_numpy() for c in ("cid", "copies", "rep"))
+            for key, rows, raw, home, row, other in _homes(spots, least, batch):
+                to: list[tuple[int, int, int, int, bool]] = []  # place, cluster, block, part, whether as a node
+                some = cid[rows].view(np.uint64)
+                for i, (h, c) in enumerate(zip(home.tolist(), some.tolist(), strict=True)):
+                    blocks, parts = large.get((*key, h), (1, 1))
+                    own = c % blocks
+                    to += [(i, h, own, p, True) for p in range(parts)]
+                    to += [(i, h, b, c // blocks % parts, False) for b in range(own + 1, blocks)]
+                for i, k in zip(row.tolist(), other.tolist(), strict=True):
+                    blocks, parts = large.get((*key, k), (1, 1))
+                    to += [(i, k, b, int(some[i]) // blocks % parts, False) for b in range(blocks)]
+                place, cluster, block, part, node = (np.array(c) for c in zip(*to, strict=True))
+                whole = [r.tobytes() for r in raw]
+                for a in range(0, len(to), 4096):
+                    cut = slice(a, a + 4096)
+                    at = rows[place[cut]]
+                    columns = [pa.array([key[0]] * len(at), kind), np.full(len(at), key[1], np.int32), *(c[cut].astype(np.int32) for c in (cluster, block, part)), node[cut], cid[at], copies[at], rep[at] % AUDIT == 0, pa.array([whole[i] for i in place[cut]], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["label", "dim", "cluster", "block", "part", "node", "cid", "copies", "audit", "vector"])
+
+    return run
 
-def _search(least: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        nodes, queries = group[group["node"]], group[~group["node"]]
-        if not len(nodes) or not len(queries):
-            return pd.DataFrame({"cid": [], "links": [], "root": [], "audited": [], "met": []})
-        x, cid, copies = _vectors(nodes["unit"]), nodes["cid"].to_numpy(), nodes["copies"].to_numpy()
-        order = np.argsort(cid)
 
-        def place(near: np.ndarray) -> np.ndarray:
-            at = np.minimum(np.searchsorted(cid, near, sorter=order), len(cid) - 1)
-            return order[at[cid[order[at]] == near]]
+def _search(least: float, dtype: type):
+    def vectors(column: pd.Series, dim: int) -> np.ndarray:
+        return unit(np.frombuffer(b"".join(column), dtype).reshape(len(column), dim).astype(np.float64))
 
-        graph = [place(np.asarray(a if a is not None else [], np.int64)) for a in nodes["near"]]
-        start = int((x @ x.mean(0)).argmax())
-        y, mine, audit = _vectors(queries["unit"]), queries["cid"].to_numpy(), queries["audit"].to_numpy().copy()
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        nodes, askers = group[group["node"]], group[~group["node"]]
+        if not len(nodes):
+            return pd.DataFrame({"cid": [], "links": [], "root": [], "audited": [], "met": []})
+        dim, n = int(group["dim"].iloc[0]), len(nodes)
+        if group["part"].iloc[0] == 0:  # the nodes themselves ask once
+            askers = pd.concat([nodes, askers])
+        x, cid = vectors(nodes["vector"], dim), nodes["cid"].to_numpy()
+        y, mine = vectors(askers["vector"], dim) if len(askers) else x[:0], askers["cid"].to_numpy()
+        graph, start = robust_prune(x), int((x @ x.mean(0)).argmax())
         found = [range_search(x, graph, start, q, least) for q in y]
+        audit = askers["audit"].to_numpy(bool).copy()
         audited = met = 0
         audit[:FEW] = True
+        audit[n : n + FEW] = True
         for i in np.flatnonzero(audit):
             exact = np.flatnonzero(x @ y[i] >= least)
             exact = exact[cid[exact] != mine[i]]
@@ -220,15 +260,17 @@ def _search(least: float):
             met += len(np.intersect1d(exact, found[i]))
         if met < RECALL * audited:
             found = [np.flatnonzero(r >= least) for a in range(0, len(y), 256) for r in y[a : a + 256] @ x.T]
-        links, pairs = [], []
+        pairs = [np.zeros((0, 2), np.int64)]
         for i, f in enumerate(found):
             f = f[(x[f] @ y[i] >= least) & (cid[f] != mine[i])]
-            links.append(int(copies[f].sum()))
-            pairs.append(cid[f])
-        # components of what this group has seen
-        every = np.unique(np.concatenate([mine, *pairs]))
-        a = np.searchsorted(every, np.repeat(mine, [len(p) for p in pairs]))
-        b = np.searchsorted(every, np.concatenate(pairs))
+            if len(f):
+                pairs.append(np.stack([np.full(len(f), mine[i]), cid[f]], 1))
+        pairs = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)  # a pair within the block is found from both ends, or from one
+        # links and components of what this task has seen
+        every, at = np.unique(np.concatenate([cid, mine]), return_index=True)
+        copies = np.concatenate([nodes["copies"].to_numpy(), askers["copies"].to_numpy()])[at]
+        a, b = np.searchsorted(every, pairs[:, 0]), np.searchsorted(every, pairs[:, 1])
+        links = np.bincount(a, copies[b], len(every)) + np.bincount(b, copies[a], len(every))
         root = np.arange(len(every))
         while True:
             new = root.copy()
@@ -238,10 +280,9 @@ def _search(least: float):
             if (new == root).all():
                 break
             root = new
-        touched = np.unique(np.concatenate([a, b])) if len(a) else np.zeros(0, np.int64)
-        out = pd.DataFrame({"cid": mine, "links": links, "root": every[root[np.searchsorted(every, mine)]], "audited": 0, "met": 0})
-        extra = np.setdiff1d(every[touched], mine)
-        out = pd.concat([out, pd.DataFrame({"cid": extra, "links": 0, "root": every[root[np.searchsorted(every, extra)]], "audited": 0, "met": 0})])
+        shown = links > 0
+        shown[0] = True  # a row for the audit
+        out = pd.DataFrame({"cid": every[shown], "links": links[shown].astype(np.int64), "root": every[root[shown]], "audited": 0, "met": 0})
         out.iloc[0, 3:] = [audited, met]
         return out
 
@@ -270,16 +311,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> tuple[DataFrame,
     spots = {k: centroids(unit(np.array(s, np.float64)), int(-(-totals[k] // (SHARD * scale)))) for k, s in sample.items() if k in totals}
 
     key = ["label", "dim", "cluster"]
-    dealt = written(nodes.mapInArrow(_deal(spots, least), f"cid long, label {label}, dim int, cluster int, home boolean, audit boolean, unit binary"))
-    blocks = dealt.groupBy(*key).agg(F.ceil(F.count("*") / CAP).cast("int").alias("blocks"))
-    placed = dealt.join(blocks, key).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    graph = placed.groupBy(*key, "block").applyInPandas(_build, "cid long, near array<long>")
-    graph = written(graph.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    held = placed.join(graph, "cid").join(nodes.select("cid", "copies"), "cid")
-    held = held.select(*key, F.col("block").alias("i"), every.alias("j"), F.lit(True).alias("node"), "cid", "copies", "audit", "unit", "near")
-    asked = placed.where("home").select(*key, every.alias("i"), F.col("block").alias("j"), F.lit(False).alias("node"), "cid", F.lit(0).cast("long").alias("copies"), "audit", "unit", F.lit(None).cast("array<long>").alias("near"))
-    met = written(held.unionByName(asked).groupBy(*key, "i", "j").applyInPandas(_search(least), "cid long, links long, root long, audited long, met long"))
+    counts = nodes.mapInArrow(_sizes(spots, least), f"label {label}, dim int, cluster int, nodes long, askers long").groupBy(*key).agg(F.sum("nodes").alias("nodes"), F.sum("askers").alias("askers")) if spots else None
+    many = counts.where((F.col("nodes") > CAP) | (F.col("askers") > PART)).collect() if spots else []  # a row per centroid at most
+    large = {}
+    for r in many:
+        blocks = max(1, -(-r["nodes"] // CAP))
+        large[(r["label"], r["dim"], r["cluster"])] = blocks, max(1, -(-(r["askers"] + (r["nodes"] if blocks > 1 else 0)) // PART))
+    dealt = nodes.mapInArrow(_deal(spots, large, least), f"label {label}, dim int, cluster int, block int, part int, node boolean, cid long, copies long, audit boolean, vector binary")
+    dtype = np.float32 if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
+    met = written(dealt.groupBy(*key, "block", "part").applyInPandas(_search(least, dtype), "cid long, links long, root long, audited long, met long"))
 
     group = components(met.where("cid <> root").select(F.col("cid").alias("u"), F.col("root").alias("v")))
     links = met.groupBy("cid").agg(F.sum("links").alias("links"))
