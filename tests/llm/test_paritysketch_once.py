@@ -1,0 +1,25 @@
+import random
+
+import pytest
+
+from eventloom.llm import paritysketch as P
+from tests.llm.test_paritysketch import brute, corpus
+
+
+def chain():
+    """Texts of 400 words, each 28 words further on: every one links with its neighbours alone."""
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(2300)]
+    return [(i, " ".join(words[28 * i : 28 * i + 400])) for i in range(60)]
+
+
+@pytest.mark.parametrize(("rows", "few", "calls"), [(corpus(11), 16, [False]), (chain(), 0, [False, True, True, False])])
+def test_large_buckets_are_compared_once_unless_crowded(spark, monkeypatch, rows, few, calls):
+    """Before, every large bucket was compared with the nearest first, however little came of it."""
+    for name, value in (("SMALL", 1), ("BLOCK", 2), ("FEW", few)):
+        monkeypatch.setattr(P, name, value)
+    made, compared = [], P.compared
+    monkeypatch.setattr(P, "compared", lambda *a: made.append(a[4]) or compared(*a))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in P.jaccard_components(df, 4, 85).collect()} == brute(rows, 4, 85)
+    assert made == calls
